@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .checks import require_all, require_columns
-from .cleaning import SPATIAL_COLUMNS, clean_coordinates
+from .cleaning import clean_coordinates
 from .components import connected_components
 from .radius import Grid, counts_within, distinct_points, linked_entities
 from .scale import dense_index, materialize, skew_safe_join
@@ -86,5 +86,3 @@ def assign_clusters(incidents: DataFrame, eps_meters: float = 300.0, min_samples
 def assignments(clustered: DataFrame) -> DataFrame:
     return clustered.select("incident_id", "cluster_id", "latitude", "longitude", "district")
 
-
-__all__ = ["SPATIAL_COLUMNS", "assign_clusters", "assignments", "check_parameters", "label_points"]

@@ -211,24 +211,18 @@ def dense_index(
         .withColumn("_part", F.spark_partition_id())
         .withColumn("_pos", F.monotonically_increasing_id())
     )
-    keys = [*groups, "_part"]
-    counts = placed.groupBy(*keys).agg(
+    marks = {g: f"_g{i}" for i, g in enumerate(groups)}
+    counts = placed.groupBy(*[F.col(g).alias(m) for g, m in marks.items()], F.col("_part").alias("_p")).agg(
         F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_first")
     )
-    before = Window.partitionBy(*groups).orderBy("_part") if groups else Window.orderBy("_part")
-    offsets = counts.select(
-        *keys,
-        (
-            F.coalesce(F.sum("_n").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-            - F.col("_first")
-        ).alias("_shift"),
-    )
-    condition = placed["_part"] == offsets["_part"]
-    for g in groups:
-        condition = condition & placed[g].eqNullSafe(offsets[g])
-    return placed.join(offsets, condition).select(
-        *[placed[c] for c in df.columns],
-        (placed["_pos"] + offsets["_shift"]).cast("bigint").alias(name),
+    before = Window.partitionBy(*marks.values()).orderBy("_p")
+    earlier = F.coalesce(F.sum("_n").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select(*marks.values(), "_p", (earlier - F.col("_first")).alias("_shift"))
+    same = F.col("_part") == F.col("_p")
+    for g, m in marks.items():
+        same = same & F.col(g).eqNullSafe(F.col(m))
+    return placed.join(offsets, same).select(
+        *df.columns, (F.col("_pos") + F.col("_shift")).cast("bigint").alias(name)
     )
 
 

@@ -131,7 +131,101 @@ def event_decisions(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("event_id") * 2 + F.col("step")).alias("decision_id"),
         F.col("event_id").alias("flag_id"),
         F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("reviewer_id"),
-        lookup(choices, ((F.col("event_id") + F.col("step")) % 3).cast("int")).alias("decision"),
+        lookup(choices, ((F.floor(F.col("event_id") / 3) + F.col("step")) % 3).cast("int")).alias("decision"),
         F.concat(F.lit("reason "), F.col("step").cast("string")).alias("reason"),
         (F.col("ts") + F.make_dt_interval(hours=F.col("step"))).alias("created_at"),
     )
+
+
+def event_case_graph(spark: SparkSession, folder: str) -> DataFrame:
+    """Event incidents with person ids that cannot be mistaken for incident ids."""
+    e = event_incidents(spark, folder)
+    return e.withColumn("offender_id", F.concat(F.lit("U"), F.col("offender_id").cast("string")))
+
+
+def order_case_graph(spark: SparkSession, folder: str) -> DataFrame:
+    """Order incidents with one offender and the suppliers of the order as victims."""
+    victims = order_victims(spark, folder).groupBy("incident_id").agg(
+        F.array_sort(F.collect_list(F.concat(F.lit("V"), F.col("victim_id").cast("string")))).alias("victim_id")
+    )
+    o = order_incidents(spark, folder).withColumn("offender_id", F.concat(F.lit("C"), F.col("offender_id").cast("string")))
+    return o.join(victims, "incident_id", "left")
+
+
+def unclean_incidents(spark: SparkSession, folder: str) -> DataFrame:
+    """Event incidents as text columns with unparsable, out-of-range and missing values among them."""
+    e = event_incidents(spark, folder)
+    i, k = F.col("incident_id"), F.col("k")
+    return e.select(
+        F.when(i % 31 != 0, i).alias("incident_id"),
+        "crime_type",
+        "district",
+        F.when(i % 17 == 0, "north").otherwise(k.cast("string")).alias("latitude"),
+        F.when(i % 19 != 0, (k * 2).cast("string")).alias("longitude"),
+        F.when(i % 29 == 0, "unknown").otherwise("2024-01-15 10:00:00").alias("occurrence_datetime"),
+    )
+
+
+def intake_payloads(spark: SparkSession, folder: str) -> DataFrame:
+    """Events as intake payloads, some of them breaking several rules at once."""
+    e = table(spark, folder, "events").withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
+    i, k = F.col("event_id"), F.col("k")
+    from ..functions.labels import lookup
+
+    kinds = {"view": "theft", "click": "burglary", "signup": "loitering", "purchase": "fraud", "error": "robbery"}
+    return e.select(
+        i.alias("event_id"),
+        F.when(k < 5, " ").otherwise(F.concat(F.lit("F-"), i.cast("string"))).alias("fir_number"),
+        lookup(kinds, F.col("event_type")).alias("incident_type"),
+        F.when(i % 7 == 0, "soon").otherwise("2024-02-01 08:00:00").alias("reported_at"),
+        F.lit("2024-01-31 22:00:00").alias("occurred_at"),
+        F.when(i % 11 != 0, "officer").alias("created_by"),
+        F.when(
+            i % 13 != 0,
+            F.struct(
+                k.cast("double").alias("latitude"),
+                (k * 2).cast("double").alias("longitude"),
+                F.when(i % 5 == 0, "x").otherwise("7").alias("district_id"),
+                F.lit(None).cast("string").alias("address_text"),
+            ),
+        ).alias("location"),
+        F.lit(None).cast("array<struct<offender_id:string,name:string,aliases:string,role_in_incident:string>>").alias("offenders"),
+        F.lit(None).cast("array<struct<victim_id:string,name:string,contact_info:string>>").alias("victims"),
+    )
+
+
+def case_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders as nested case documents with one section per order line."""
+    lines = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(
+        F.array_sort(
+            F.collect_list(
+                F.struct(
+                    F.col("l_returnflag").alias("ActID"),
+                    F.col("l_partkey").cast("string").alias("SectionID"),
+                    F.col("l_linenumber").alias("ActOrderID"),
+                    F.lit(1).alias("SectionOrderID"),
+                )
+            )
+        ).alias("ActSectionAssociation")
+    )
+    o = table(spark, folder, "orders")
+    return o.join(lines, o["o_orderkey"] == lines["l_orderkey"]).select(
+        F.col("o_orderkey").alias("CaseMasterID"),
+        F.concat(F.lit("CN-"), F.col("o_orderkey").cast("string")).alias("CaseNo"),
+        F.col("o_orderpriority").alias("DistrictName"),
+        F.col("o_orderstatus").alias("PoliceStationName"),
+        F.col("o_orderdate").alias("IncidentFromDate"),
+        (F.col("o_orderdate") + F.make_dt_interval(hours=F.lit(30))).alias("InfoReceivedPSDate"),
+        F.lit(None).cast("double").alias("latitude"),
+        F.lit(None).cast("double").alias("longitude"),
+        F.lit("").alias("BriefFacts"),
+        F.split("o_orderpriority", "-").alias("mo_tags"),
+        F.struct(
+            F.col("o_custkey").alias("AccusedMasterID"),
+            F.concat(F.lit("Name "), F.col("o_custkey").cast("string")).alias("AccusedName"),
+            (F.col("o_totalprice") > 200000).alias("prior_record_flag"),
+            F.lit(1).alias("prior_cases_count"),
+        ).alias("Accused"),
+        F.struct(F.lit(None).cast("bigint").alias("VictimMasterID")).alias("Victim"),
+        "ActSectionAssociation",
+    )

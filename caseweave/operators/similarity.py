@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import jaccard
 from ..functions.texts import joined_text, words
 from .checks import InputError, block_column, id_column, require_all
-from .scale import hot_keys, materialize, skew_safe_join
+from .scale import dense_index, materialize, skew_safe_join
+
+# The tile comparison travels to the executors by value; the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+TILE_ROWS = 512  # profiles per tile
+TILE_WORDS = 4096  # shared words per dense product
 
 # Fixed: text columns in the order in which they are joined.
 TEXT_COLUMNS = (
@@ -72,66 +82,102 @@ def tfidf_weights(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return skew_safe_join(members, terms, ["block", "key"]).select("block", "doc", "token", "weight")
 
 
-def _dot(a: Column, b: Column) -> Column:
-    products = F.map_values(F.map_zip_with(a, b, lambda k, x, y: F.coalesce(x * y, F.lit(0.0))))
-    return F.aggregate(products, F.lit(0.0), lambda s, x: s + x)
-
+def _ordered_vectors(terms: DataFrame, limit: float) -> DataFrame:
+    """One row per profile: words rarest first, their weights, and the prefix that matters.
 
-def similar_profiles(terms: DataFrame, threshold: float) -> DataFrame:
-    """(block, key_a, key_b, score) with key_a < key_b for every pair of distinct profiles whose
-    cosine reaches ``threshold``.
-
-    Words are ordered rarest first. A pair above the threshold must share a word inside both
-    prefixes, where a prefix ends once the remaining part of the vector is shorter than the
-    threshold; so only rare words are joined. A pair is examined at its first shared word only, is
-    rejected there by the length of the two tails when that suffices, and is emitted only if its
-    cosine passes. The examination runs inside the join, so failed candidates are never written.
+    The prefix ends once the rest of the vector is shorter than ``limit``: two vectors that share
+    only words of their rests cannot reach it. ``tail`` is the length from a word to the end.
     """
-    order = F.struct("df", "token", "w")
-    vectors = terms.groupBy("block", "key").agg(F.array_sort(F.collect_list(order)).alias("v"))
-    n = F.size("v")
-    tails = F.transform(
-        F.sequence(F.lit(1), n),
-        lambda i: F.sqrt(F.aggregate(F.slice("v", i, n), F.lit(0.0), lambda s, x: s + x["w"] * x["w"])),
-    )
-    limit = max(threshold, 0.0) - 1e-12
-    tailed = vectors.withColumn("tails", tails)
-    prefixed = tailed.withColumn(
-        "prefix", F.transform(F.filter(F.arrays_zip("v", "tails"), lambda x: x["tails"] >= limit), lambda x: x["v"]["token"])
-    ).select(
-        "block", "key", "tails", "prefix",
-        F.map_from_arrays(F.transform("v", lambda x: x["token"]), F.transform("v", lambda x: x["w"])).alias("vec"),
+    vectors = terms.groupBy("block", "key").agg(F.array_sort(F.collect_list(F.struct("df", "token", "w"))).alias("v"))
+    # Lengths from the end: running sums over the reversed squares, reversed again.
+    squares = F.reverse(F.transform("v", lambda x: x["w"] * x["w"]))
+    start = F.struct(F.lit(0.0).alias("s"), F.array().cast("array<double>").alias("out"))
+    running = F.aggregate(
+        squares,
+        start,
+        lambda acc, q: F.struct((acc["s"] + q).alias("s"), F.concat(acc["out"], F.array(F.sqrt(acc["s"] + q))).alias("out")),
+        lambda acc: F.reverse(acc["out"]),
     )
-    exploded = prefixed.select("block", "key", "vec", "prefix", "tails", F.posexplode("prefix").alias("at", "token")).withColumn(
-        "tail", F.element_at("tails", F.col("at") + 1)
-    ).drop("tails", "at")
-    a = exploded.withColumnsRenamed({c: f"{c}_a" for c in ("key", "vec", "prefix", "tail")})
-    b = exploded.withColumnsRenamed({c: f"{c}_b" for c in ("key", "vec", "prefix", "tail")})
-    # A map column cannot be hashed, so the salt of a hot word is taken from the profile key.
-    joined = _spread_self_join(a, b)
-    return (
-        joined.where(
-            (F.col("key_a") < F.col("key_b"))
-            & (F.col("tail_a") * F.col("tail_b") >= limit)
-            & (F.element_at(F.array_intersect("prefix_a", "prefix_b"), 1) == F.col("token"))
-            & (_dot(F.col("vec_a"), F.col("vec_b")) >= threshold - 1e-12)
-        )
-        .select("block", "key_a", "key_b", F.round(F.least(F.lit(1.0), _dot(F.col("vec_a"), F.col("vec_b"))), SCORE_DIGITS).alias("score"))
-        .where(F.col("score") >= threshold)
+    zipped = F.arrays_zip(F.transform("v", lambda x: x["token"]).alias("token"), F.col("tails").alias("tail"))
+    return vectors.withColumn("tails", running).select(
+        "block",
+        "key",
+        F.transform("v", lambda x: x["token"]).alias("tokens"),
+        F.transform("v", lambda x: x["w"]).alias("weights"),
+        F.filter(zipped, lambda x: x["tail"] >= limit).alias("prefix"),
     )
 
 
-def _spread_self_join(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Equi-join on (block, token) with hot words spread over several tasks."""
-    hot = F.broadcast(hot_keys(a.select("block", "token"), ["block", "token"], rows=20_000))
-    wide = F.coalesce(F.col("_spread"), F.lit(1)).cast("bigint")
-    left = a.join(hot, ["block", "token"], "left").withColumn("_salt", F.pmod(F.xxhash64("key_a"), wide)).drop("_spread")
-    right = (
-        b.join(hot, ["block", "token"], "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), wide - 1)))
-        .drop("_spread")
+def _tile_scores(tokens_a, weights_a, tokens_b, weights_b) -> np.ndarray:
+    """Cosines of two lists of unit vectors, by dense products over slices of the shared words."""
+    lengths_a, lengths_b = [len(t) for t in tokens_a], [len(t) for t in tokens_b]
+    flat = np.concatenate([*tokens_a, *tokens_b])
+    codes, vocabulary = pd.factorize(flat)
+    split = sum(lengths_a)
+    in_a = np.zeros(len(vocabulary), dtype=bool)
+    in_b = np.zeros(len(vocabulary), dtype=bool)
+    in_a[codes[:split]] = True
+    in_b[codes[split:]] = True
+    shared = in_a & in_b
+    place = np.cumsum(shared) - 1
+    rows_a, rows_b = np.repeat(np.arange(len(lengths_a)), lengths_a), np.repeat(np.arange(len(lengths_b)), lengths_b)
+    sides = []
+    for rows, part, weights in ((rows_a, codes[:split], weights_a), (rows_b, codes[split:], weights_b)):
+        keep = shared[part]
+        sides.append((rows[keep], place[part[keep]], np.concatenate(list(weights))[keep]))
+    scores = np.zeros((len(lengths_a), len(lengths_b)))
+    for low in range(0, int(shared.sum()), TILE_WORDS):
+        dense = []
+        for (rows, words_, values), n in zip(sides, scores.shape):
+            here = (words_ >= low) & (words_ < low + TILE_WORDS)
+            block = np.zeros((n, TILE_WORDS))
+            block[rows[here], words_[here] - low] = values[here]
+            dense.append(block)
+        scores += dense[0] @ dense[1].T
+    return np.round(np.clip(scores, 0.0, 1.0), SCORE_DIGITS)
+
+
+def best_neighbours(terms: DataFrame, firsts: DataFrame, threshold: float, keep: int) -> DataFrame:
+    """(block, key, other, score): for every profile a superset of its ``keep`` best other profiles
+    whose cosine reaches ``threshold``, ties by lowest document id (``firsts``).
+
+    Profiles are cut into tiles of TILE_ROWS, neighbours in rarest-word order so that alike profiles
+    meet early. Two tiles are compared only if some word lies in a prefix on both sides and the
+    tails allow the threshold; a tile pair is one bounded task and returns at most ``keep`` rows per
+    profile. Frequent words sit at the end of the vectors and so rarely bring tiles together, and
+    even a word in every prefix costs one entry per tile, not one per profile pair.
+    """
+    limit = threshold - 1e-9
+    vectors = materialize(_ordered_vectors(terms, limit).join(firsts, ["block", "key"]))
+    lead = vectors.select("block", "key", F.col("tokens")[0].alias("lead"))
+    placed = dense_index(lead, ["lead", "key"], "pos", ["block"]).select(
+        "block", "key", F.floor(F.col("pos") / TILE_ROWS).cast("bigint").alias("tile")
     )
-    return left.join(right, ["block", "token", "_salt"]).drop("_salt")
+    tiled = materialize(vectors.join(placed, ["block", "key"]))
+    marks = tiled.select("block", "tile", F.explode("prefix").alias("p")).groupBy("block", "p.token", "tile").agg(
+        F.max("p.tail").alias("tail")
+    )
+    a, b = marks.withColumnsRenamed({"tile": "i", "tail": "ti"}), marks.withColumnsRenamed({"tile": "j", "tail": "tj"})
+    pairs = a.join(b, ["block", "token"]).where((F.col("i") <= F.col("j")) & (F.col("ti") * F.col("tj") >= limit)).select("block", "i", "j").distinct()
+    sides = pairs.select("block", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("tile"))
+    rows = sides.join(tiled.drop("prefix"), ["block", "tile"])
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
+        x, y = pdf[pdf["tile"] == i], pdf[pdf["tile"] == j]
+        scores = _tile_scores(x["tokens"].tolist(), x["weights"].tolist(), y["tokens"].tolist(), y["weights"].tolist())
+        found = []
+        for grid, own, other in ((scores, x, y),) if i == j else ((scores, x, y), (scores.T, y, x)):
+            keys, others, ids = own["key"].to_numpy(), other["key"].to_numpy(), other["first_id"].to_numpy()
+            by_id = np.argsort(ids, kind="stable")
+            for r in range(len(keys)):
+                line = grid[r][by_id]
+                order = by_id[np.argsort(-line, kind="stable")][: keep + 1]
+                order = [c for c in order if grid[r][c] >= threshold and others[c] != keys[r]][:keep]
+                found.extend((pdf["block"].iloc[0], keys[r], others[c], float(grid[r][c])) for c in order)
+        return pd.DataFrame(found, columns=["block", "key", "other", "score"])
+
+    return rows.groupBy("block", "i", "j").applyInPandas(compare, "block string, key string, other string, score double")
 
 
 def _lowest_ids(profiles: DataFrame, keep: int, keys: Sequence[str]) -> DataFrame:
@@ -160,11 +206,9 @@ def cosine_top_k(df: DataFrame, threshold: float = 0.3, top_k: int = 5, keys: Se
     profiles = materialize(_profiles(documents(df, keys)).select("block", "doc", "ws", "key"))
     terms = materialize(_vector_terms(profiles))
     keep = top_k + 1
-    ids = _lowest_ids(profiles.where(F.size("ws") > 0), keep, ["block", "key"])
-    pairs = materialize(similar_profiles(terms, max(threshold, 1e-9)))
-    both = pairs.select("block", F.col("key_a").alias("key"), F.col("key_b").alias("other"), "score").unionByName(
-        pairs.select("block", F.col("key_b").alias("key"), F.col("key_a").alias("other"), "score")
-    )
+    ids = materialize(_lowest_ids(profiles.where(F.size("ws") > 0), keep, ["block", "key"]))
+    firsts = ids.select("block", "key", F.col("ids")[0].alias("first_id"))
+    both = materialize(best_neighbours(terms, firsts, max(threshold, 1e-9), keep))
     own = ids.select("block", "key", F.lit(1.0).alias("score"), "ids")
     per_profile = Window.partitionBy("block", "key")
     others = ids.select("block", F.col("key").alias("other"), "ids")

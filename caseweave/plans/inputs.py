@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.labels import lookup
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -17,10 +19,12 @@ ORDER_STATUSES = {"O": "open", "P": "under_review", "F": "closed"}
 
 
 def event_incidents(spark: SparkSession, folder: str) -> DataFrame:
-    from ..functions.labels import lookup
+    return incidents_of_events(table(spark, folder, "events"))
 
-    e = table(spark, folder, "events")
-    return e.select(
+
+def incidents_of_events(events: DataFrame) -> DataFrame:
+    """Works on the stored table and on a stream of it."""
+    return events.select(
         F.col("event_id").alias("incident_id"),
         lookup(EVENT_CRIMES, F.col("event_type")).alias("crime_type"),
         F.concat(F.lit("D"), (F.col("user_id") % 10).cast("string")).alias("district"),
@@ -34,12 +38,16 @@ def event_incidents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def geo_incidents(spark: SparkSession, folder: str) -> DataFrame:
+    return with_coordinates(event_incidents(spark, folder))
+
+
+def with_coordinates(incidents: DataFrame) -> DataFrame:
     """Event incidents with coordinates: one dense core per district in a sparse surrounding."""
     u1 = F.pmod(F.col("incident_id") * 7919, F.lit(10007)).cast("double") / F.lit(10007.0)
     u2 = F.pmod(F.col("incident_id") * 104729, F.lit(10009)).cast("double") / F.lit(10009.0)
     scale = F.when(F.col("incident_id") % 20 == 0, 0.004).otherwise(0.3)
     d = (F.col("offender_id") % 10).cast("double")
-    return event_incidents(spark, folder).withColumns(
+    return incidents.withColumns(
         {
             "latitude": F.lit(12.0) + d * 0.7 + (u1 - 0.5) * scale,
             "longitude": F.lit(75.0) + d * 0.3 + (u2 - 0.5) * scale,
@@ -48,8 +56,6 @@ def geo_incidents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def order_incidents(spark: SparkSession, folder: str) -> DataFrame:
-    from ..functions.labels import lookup
-
     o = table(spark, folder, "orders")
     c = table(spark, folder, "customer")
     n = table(spark, folder, "nation")
@@ -105,8 +111,6 @@ EVENT_FLAG_STATUSES = {0: "PENDING", 1: "ACKNOWLEDGED", 2: "ESCALATED", 3: "DISM
 
 
 def event_flags(spark: SparkSession, folder: str) -> DataFrame:
-    from ..functions.labels import lookup
-
     v = F.col("value")
     return table(spark, folder, "events").select(
         F.col("event_id").alias("flag_id"),
@@ -124,8 +128,6 @@ def event_flags(spark: SparkSession, folder: str) -> DataFrame:
 def event_decisions(spark: SparkSession, folder: str) -> DataFrame:
     """Two decisions for every third flag, one hour and two hours after it was raised."""
     e = table(spark, folder, "events").where(F.col("event_id") % 3 == 0)
-    from ..functions.labels import lookup
-
     choices = {0: "ACKNOWLEDGE", 1: "ESCALATE", 2: "DISMISS"}
     return e.select("event_id", "user_id", "ts", F.explode(F.array(F.lit(1), F.lit(2))).alias("step")).select(
         (F.col("event_id") * 2 + F.col("step")).alias("decision_id"),
@@ -170,8 +172,6 @@ def intake_payloads(spark: SparkSession, folder: str) -> DataFrame:
     """Events as intake payloads, some of them breaking several rules at once."""
     e = table(spark, folder, "events").withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
     i, k = F.col("event_id"), F.col("k")
-    from ..functions.labels import lookup
-
     kinds = {"view": "theft", "click": "burglary", "signup": "loitering", "purchase": "fraud", "error": "robbery"}
     return e.select(
         i.alias("event_id"),

@@ -42,7 +42,7 @@ def label_points(incidents: DataFrame, eps_meters: float = 300.0, min_samples: i
         points.join(cells, CELL).withColumn("dense", F.col("cell_rows") >= min_samples).drop("cell_rows")
     )
     thin = tagged.where("NOT dense").drop("dense")
-    found = counts_within(thin, points, grid).where(F.col("found") >= min_samples).select(*SPOT)
+    found = counts_within(thin, points, grid, min_samples).where(F.col("found") >= min_samples).select(*SPOT)
     judged = materialize(
         tagged.join(found.withColumn("met", F.lit(True)), SPOT, "left")
         .withColumn("core", F.col("dense") | F.coalesce("met", F.lit(False)))

@@ -86,13 +86,18 @@ class Grid:
         far = F.least(self._edge_cos(F.col("band"), widest=False), self._edge_cos(F.col("nband"), widest=False))
         reach = self._arc(half, far) + F.lit(SLACK)
         w, nw = self.width(F.col("band")), self.width(F.col("nband"))
-        west = F.floor((F.col("col") * w - reach) / nw).cast("bigint")
-        east = F.floor(((F.col("col") + 1) * w + reach) / nw).cast("bigint")
-        count = self.columns_of(F.col("nband"))
-        offsets = F.when(east - west + 1 >= count, F.sequence(F.lit(0).cast("bigint"), count - 1)).otherwise(
-            F.array_distinct(F.transform(F.sequence(west, east), lambda c: F.pmod(c, count)))
+        spans = rows.withColumns(
+            {
+                "_west": F.floor((F.col("col") * w - reach) / nw).cast("bigint"),
+                "_east": F.floor(((F.col("col") + 1) * w + reach) / nw).cast("bigint"),
+                "_count": self.columns_of(F.col("nband")),
+            }
         )
-        return rows.withColumn("ncol", F.explode(offsets))
+        whole = F.col("_east") - F.col("_west") + 1 >= F.col("_count")
+        first = F.when(whole, F.lit(0).cast("bigint")).otherwise(F.col("_west"))
+        last = F.when(whole, F.col("_count") - 1).otherwise(F.col("_east"))
+        walked = spans.withColumn("_c", F.explode(F.sequence(first, last)))
+        return walked.withColumn("ncol", F.pmod(F.col("_c"), F.col("_count"))).drop("_west", "_east", "_count", "_c")
 
 
 def sub_key(level: int) -> Column:
@@ -149,14 +154,29 @@ def _renamed(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(*[F.col(c).alias(f"{prefix}{c}") for c in df.columns])
 
 
-def _candidates(left: DataFrame, right: DataFrame, grid: Grid, la: list[str], ra: list[str]) -> DataFrame:
-    """Level-0 box pairs of neighbouring cells. Entities carry band and col among their keys."""
-    near = grid.near_cells(left)
-    return near.select(
-        *[F.col(c).alias(f"a_{c}") for c in left.columns], "nband", "ncol"
-    ).join(
-        _renamed(right, "b_"), (F.col("nband") == F.col("b_band")) & (F.col("ncol") == F.col("b_col"))
-    ).drop("nband", "ncol")
+def _cell_pairs(left: DataFrame, right: DataFrame, grid: Grid, from_right: bool, at_least: int | None) -> DataFrame:
+    """Pairs of existing cells that may hold points within the radius; four integers per pair.
+
+    The neighbourhood is spelled out from the side with fewer cells. With ``at_least``, left cells
+    are dropped whose whole neighbourhood holds fewer rows, so that no point of theirs is examined.
+    """
+    a_cells = left.select(F.col("band").alias("a_band"), F.col("col").alias("a_col")).distinct()
+    b_cells = right.groupBy(F.col("band").alias("b_band"), F.col("col").alias("b_col")).agg(F.sum("mult").alias("b_cell_rows"))
+    if from_right:
+        near = grid.near_cells(b_cells.withColumnsRenamed({"b_band": "band", "b_col": "col"}))
+        pairs = near.withColumnsRenamed({"band": "b_band", "col": "b_col", "nband": "a_band", "ncol": "a_col"}).join(
+            a_cells, ["a_band", "a_col"], "left_semi"
+        )
+    else:
+        near = grid.near_cells(a_cells.withColumnsRenamed({"a_band": "band", "a_col": "col"}))
+        pairs = near.withColumnsRenamed({"band": "a_band", "col": "a_col", "nband": "b_band", "ncol": "b_col"}).join(
+            b_cells, ["b_band", "b_col"]
+        )
+    if at_least is not None:
+        pairs = materialize(pairs)
+        rich = pairs.groupBy("a_band", "a_col").agg(F.sum("b_cell_rows").alias("n")).where(F.col("n") >= at_least)
+        pairs = pairs.join(rich, ["a_band", "a_col"], "left_semi")
+    return pairs.select("a_band", "a_col", "b_band", "b_col")
 
 
 def _split(pairs: DataFrame, a_boxes: DataFrame, b_boxes: DataFrame, level: int, la: list[str], ra: list[str]) -> DataFrame:
@@ -181,13 +201,13 @@ def _within(radius_m: float) -> Column:
     return haversine_m(F.col("a_latitude"), F.col("a_longitude"), F.col("b_latitude"), F.col("b_longitude")) <= radius_m
 
 
-def _search(left: DataFrame, right: DataFrame, grid: Grid, la: list[str], ra: list[str], inside, direct, skip=None):
+def _search(left: DataFrame, right: DataFrame, grid: Grid, la: list[str], ra: list[str], inside, direct, cells: DataFrame):
     """Drive the level loop; ``inside`` and ``direct`` turn settled pairs into result parts."""
     limit = radius_half_chord_sq(grid.radius_m)
     lower, upper = _bounds()
-    pairs = _candidates(boxes(left, 0, la), boxes(right, 0, ra), grid, la, ra)
-    if skip is not None:
-        pairs = pairs.where(skip)
+    pairs = cells.join(_renamed(boxes(left, 0, la), "a_"), ["a_band", "a_col"]).join(
+        _renamed(boxes(right, 0, ra), "b_"), ["b_band", "b_col"]
+    )
     parts = []
     for level in range(MAX_LEVEL + 1):
         few = F.lit(True) if level == MAX_LEVEL else F.col("a_coords") * F.col("b_coords") <= DIRECT_PAIRS
@@ -220,11 +240,11 @@ def distinct_points(df: DataFrame, grid: Grid, order: str = "incident_id") -> Da
     )
 
 
-def counts_within(left: DataFrame, right: DataFrame, grid: Grid) -> DataFrame:
+def counts_within(left: DataFrame, right: DataFrame, grid: Grid, at_least: int | None = None) -> DataFrame:
     """Rows of ``right`` (with multiplicity) within the radius of each coordinate of ``left``.
 
     Both inputs come from ``distinct_points``. The count includes the coordinate itself when it is
-    part of ``right``.
+    part of ``right``. With ``at_least``, coordinates that cannot reach that count may be missing.
     """
     cell = ["band", "col"]
     key = ["latitude", "longitude"]
@@ -241,14 +261,16 @@ def counts_within(left: DataFrame, right: DataFrame, grid: Grid) -> DataFrame:
             .agg(F.sum("b_mult").alias("found"))
         )
 
-    parts = _search(left, right, grid, cell, cell, inside, direct)
+    pairs = _cell_pairs(left, right, grid, False, at_least)
+    parts = _search(left, right, grid, cell, cell, inside, direct, pairs)
     return _union(parts).groupBy(*key).agg(F.sum("found").alias("found"))
 
 
-def linked_entities(left: DataFrame, right: DataFrame, grid: Grid, la: list[str], ra: list[str], skip: Column | None = None) -> DataFrame:
+def linked_entities(left: DataFrame, right: DataFrame, grid: Grid, la: list[str], ra: list[str], wanted: Column | None = None) -> DataFrame:
     """Distinct (a_*, b_*) entity pairs that have at least one coordinate pair within the radius.
 
-    Entity keys must include ``band`` and ``col``. ``skip`` keeps only wanted candidates.
+    Entity keys must include ``band`` and ``col``; ``right`` should be the side with fewer cells.
+    ``wanted`` is a condition on a_band, a_col, b_band, b_col.
     """
     keys = [*[f"a_{c}" for c in la], *[f"b_{c}" for c in ra]]
 
@@ -258,7 +280,10 @@ def linked_entities(left: DataFrame, right: DataFrame, grid: Grid, la: list[str]
     def direct(points: DataFrame) -> DataFrame:
         return points.where(_within(grid.radius_m)).select(*keys)
 
-    return _union(_search(left, right, grid, la, ra, inside, direct, skip)).distinct()
+    pairs = _cell_pairs(left, right, grid, True, None)
+    if wanted is not None:
+        pairs = pairs.where(wanted)
+    return _union(_search(left, right, grid, la, ra, inside, direct, pairs)).distinct()
 
 
 def neighbour_counts(incidents: DataFrame, radius_m: float) -> DataFrame:

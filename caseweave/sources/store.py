@@ -71,8 +71,8 @@ def stamped(rows: DataFrame, now: Column, key: str | None = None) -> DataFrame:
 
 def latest_rows(changes: DataFrame, keys: Sequence[str], stamp: str = "updated_at", tie: str | None = None) -> DataFrame:
     """Newest row per key. Each task keeps one row per key before the shuffle, so a key with a long
-    history is cheap."""
-    order = F.struct(stamp, tie) if tie else F.col(stamp)
+    history is cheap. Rows without a stamp count as oldest."""
+    order = F.struct(stamp, tie) if tie else F.struct(stamp)
     newest = changes.groupBy(*keys).agg(F.max_by(F.struct(*changes.columns), order).alias("_row"))
     return newest.select("_row.*")
 

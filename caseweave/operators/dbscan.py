@@ -39,7 +39,7 @@ def label_points(incidents: DataFrame, eps_meters: float = 300.0, min_samples: i
     points = materialize(distinct_points(incidents, grid))
     cells = points.groupBy(*CELL).agg(F.sum("mult").alias("cell_rows"))
     tagged = materialize(
-        points.join(cells, CELL).withColumn("dense", F.col("cell_rows") >= min_samples).drop("cell_rows")
+        skew_safe_join(points, cells, CELL).withColumn("dense", F.col("cell_rows") >= min_samples).drop("cell_rows")
     )
     thin = tagged.where("NOT dense").drop("dense")
     found = counts_within(thin, points, grid, min_samples).where(F.col("found") >= min_samples).select(*SPOT)
@@ -66,7 +66,7 @@ def label_points(incidents: DataFrame, eps_meters: float = 300.0, min_samples: i
         (F.shiftleft("b_band", 32) + F.col("b_col")).alias("cell"),
     )
     border = reached.join(cell_labels, "cell").groupBy(*SPOT).agg(F.min("cluster_id").alias("cluster_id"))
-    inner = core.select(*SPOT, _cell_id().alias("cell")).join(cell_labels, "cell").select(*SPOT, "cluster_id")
+    inner = skew_safe_join(core.select(*SPOT, _cell_id().alias("cell")), cell_labels, ["cell"]).select(*SPOT, "cluster_id")
     return inner.unionByName(border)
 
 

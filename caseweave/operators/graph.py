@@ -107,9 +107,12 @@ def _raw_nodes(incidents: DataFrame) -> DataFrame:
         "_pos", F.col("location").alias("id"), F.col("location_label").alias("label"), "district", "police_station",
         *empty("crime_type", "occurrence_datetime", "latitude", "longitude"),
     )
+    # A busy place or person appears in many rows; each task reduces them to their first position.
+    spots = spots.groupBy(*[c for c in spots.columns if c != "_pos"]).agg(F.min("_pos").alias("_pos"))
     out = shaped(cases, "incident", 0).unionByName(shaped(spots, "location", 1))
     for column, kind, rank in (("offenders", "offender", 2), ("victims", "victim", 3)):
-        people = p.select("_pos", F.explode(F.array_distinct(column)).alias("id")).select(
+        named = p.select("_pos", F.explode(F.array_distinct(column)).alias("id"))
+        people = named.groupBy("id").agg(F.min("_pos").alias("_pos")).select(
             "_pos", "id", F.concat(F.lit(kind.capitalize() + " "), F.col("id")).alias("label"), *empty(*blank)
         )
         out = out.unionByName(shaped(people, kind, rank))

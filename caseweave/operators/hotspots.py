@@ -112,6 +112,9 @@ def hotspots(
     return assignments(clustered), relative_tiers(stats)
 
 
+CELL = ["_station", "cell_lat", "cell_lon"]
+
+
 def _cells(incidents: DataFrame) -> DataFrame:
     return incidents.withColumns(
         {
@@ -128,21 +131,32 @@ def _hotspot_id():
     )
 
 
-def grid_hotspots(incidents: DataFrame, min_incidents: int = 3, scope: Sequence[str] = ()) -> DataFrame:
-    """Cells of 0.01 degree per station with at least ``min_incidents`` rows.
+def grid_counts(incidents: DataFrame) -> DataFrame:
+    """Counts per (station, cell, district, type) with the first incident's place.
 
-    Members are not listed inside the row, where one busy cell would hold an unbounded array; see
-    ``grid_members``.
+    Only counters and numbers are aggregated, so each task reduces its rows in a hash map. Counts of
+    different row sets can be united and given to ``hotspots_of_counts``.
     """
-    grouped = _cells(incidents).groupBy(*scope, "_station", "cell_lat", "cell_lon").agg(
-        F.count(F.lit(1)).alias("incident_count"),
-        F.min(F.struct("incident_id", "latitude", "longitude", "district")).alias("f"),
+    return _cells(incidents).groupBy(*CELL, "district", "crime_type").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min("incident_id").alias("first_id"),
+        F.min_by("latitude", "incident_id").alias("latitude"),
+        F.min_by("longitude", "incident_id").alias("longitude"),
+    )
+
+
+def hotspots_of_counts(counts: DataFrame, min_incidents: int = 3, scope: Sequence[str] = ()) -> DataFrame:
+    """Cells with at least ``min_incidents`` rows. Members are not listed inside the row, where one
+    busy cell would hold an unbounded array; see ``grid_members``."""
+    grouped = counts.groupBy(*scope, *CELL).agg(
+        F.sum("n").alias("incident_count"),
+        F.min(F.struct("first_id", "latitude", "longitude", F.col("district").alias("place"))).alias("f"),
         F.array_sort(F.collect_set("crime_type")).alias("crime_types"),
     )
     return grouped.where(F.col("incident_count") >= min_incidents).select(
         _hotspot_id().alias("hotspot_id"),
         F.col("_station").alias("police_station"),
-        F.col("f.district").alias("district"),
+        F.col("f.place").alias("district"),
         F.col("f.latitude").alias("latitude"),
         F.col("f.longitude").alias("longitude"),
         "incident_count",
@@ -151,18 +165,16 @@ def grid_hotspots(incidents: DataFrame, min_incidents: int = 3, scope: Sequence[
     )
 
 
+def grid_hotspots(incidents: DataFrame, min_incidents: int = 3, per_district: bool = False) -> DataFrame:
+    """Cells of 0.01 degree per station (and district) with at least ``min_incidents`` rows."""
+    return hotspots_of_counts(grid_counts(incidents), min_incidents, ["district"] if per_district else [])
+
+
 def grid_members(incidents: DataFrame, min_incidents: int = 3) -> DataFrame:
     """(hotspot_id, incident_id) for every row that lies in a grid hotspot."""
     celled = _cells(incidents)
-    busy = (
-        celled.groupBy("_station", "cell_lat", "cell_lon")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") >= min_incidents)
-        .drop("n")
-    )
-    kept = skew_safe_join(
-        celled.select("incident_id", "_station", "cell_lat", "cell_lon"), busy, ["_station", "cell_lat", "cell_lon"], "left_semi"
-    )
+    busy = celled.groupBy(*CELL).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_incidents).drop("n")
+    kept = skew_safe_join(celled.select("incident_id", *CELL), busy, CELL, "left_semi")
     return kept.select(_hotspot_id().alias("hotspot_id"), "incident_id")
 
 
@@ -171,7 +183,7 @@ def district_forecast(incidents: DataFrame, default_district: str = "UNKNOWN") -
     scoped = incidents.withColumn("district", F.coalesce("district", F.lit(default_district)))
     totals = scoped.groupBy("district").agg(F.count(F.lit(1)).alias("total_incidents"))
     spots = (
-        grid_hotspots(scoped.withColumn("_scope", F.col("district")), scope=["_scope"])
+        grid_hotspots(scoped, per_district=True)
         .groupBy("district")
         .agg(F.count(F.lit(1)).alias("hotspot_count"), F.round(F.avg("risk_score"), 2).alias("risk_score_avg"))
     )

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_RADIUS_M, haversine_m, radius_half_chord_sq
-from .scale import materialize
+from .scale import materialize, skew_safe_join
 
 # A pair of boxes with at most this many coordinate pairs is compared point by point.
 DIRECT_PAIRS = 2_048
@@ -252,7 +252,7 @@ def counts_within(left: DataFrame, right: DataFrame, grid: Grid, at_least: int |
     def inside(pairs: DataFrame, level: int) -> DataFrame:
         per_box = pairs.groupBy("a_band", "a_col", "a_sub").agg(F.sum("b_rows").alias("found"))
         spots = left.select(*key, F.col("band").alias("a_band"), F.col("col").alias("a_col"), sub_key(level).alias("a_sub"))
-        return spots.join(per_box, ["a_band", "a_col", "a_sub"]).select(*key, "found")
+        return skew_safe_join(spots, per_box, ["a_band", "a_col", "a_sub"]).select(*key, "found")
 
     def direct(points: DataFrame) -> DataFrame:
         return (

@@ -44,7 +44,7 @@ def model_features(incidents: DataFrame, as_of: Column, category: str, target: C
     codes = target_encoding(incidents, category, target)
     loss = incidents.agg(F.struct(F.min("property_loss").alias("lo"), F.max("property_loss").alias("hi")).alias("v")).scalar()
     placed = skew_safe_join(incidents, near.select("latitude", "longitude", F.col("neighbours").alias("spatial_density_1km")), ["latitude", "longitude"], "left")
-    joined = placed.join(F.broadcast(codes) if category == "crime_type" else codes, category, "left").join(ratios, "police_station", "left")
+    joined = placed.join(codes, category, "left").join(ratios, "police_station", "left")
     bucket = six_hour_bucket(F.col("occurrence_datetime"))
     return joined.withColumn("_l", loss).select(
         "incident_id", "station_ratio", "mo_weight", F.coalesce("spatial_density_1km", F.lit(0)).cast("bigint").alias("spatial_density_1km"),

@@ -282,22 +282,32 @@ def trend_outputs(incidents: DataFrame, **parameters) -> dict[str, DataFrame]:
     }
 
 
-def period_spikes(incidents: DataFrame, as_of: Column, days: int = 30, periods: int = 3, keys=("crime_type",)) -> DataFrame:
-    """Count of the last ``days`` days against the mean of the ``periods`` preceding spans."""
-    age = F.datediff(F.to_date(as_of), F.to_date("occurrence_datetime"))
-    windowed = incidents.where((age >= 0) & (age < days * (periods + 1)))
-    current, past = F.count_if(age < days), F.count_if(age >= days)
+def type_days(incidents: DataFrame, keys=("crime_type",)) -> DataFrame:
+    """Counts per key and day; counts of different row sets can be united."""
+    return incidents.groupBy(*keys, F.to_date("occurrence_datetime").alias("date")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def spikes_of_days(counts: DataFrame, as_of: Column, days: int = 30, periods: int = 3, keys=("crime_type",)) -> DataFrame:
+    """Sum of the last ``days`` days against the mean of the ``periods`` preceding spans."""
+    age = F.datediff(F.to_date(as_of), "date")
+    windowed = counts.where((age >= 0) & (age < days * (periods + 1)))
+
+    def total(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0)).cast("bigint")
+
+    change = 100.0 * (F.col("current_count") - F.col("baseline_average"))
     return (
         windowed.groupBy(*keys)
-        .agg(current.alias("current_count"), (past / F.lit(float(periods))).alias("baseline_average"))
+        .agg(
+            total(age < days).alias("current_count"),
+            (total(age >= days) / F.lit(float(periods))).alias("baseline_average"),
+        )
         .withColumn(
             "spike_percentage",
-            F.round(
-                F.try_divide(
-                    100.0 * (F.col("current_count") - F.col("baseline_average")),
-                    F.nullif(F.col("baseline_average"), F.lit(0.0)),
-                ),
-                1,
-            ),
+            F.round(F.try_divide(change, F.nullif(F.col("baseline_average"), F.lit(0.0))), 1),
         )
     )
+
+
+def period_spikes(incidents: DataFrame, as_of: Column, days: int = 30, periods: int = 3, keys=("crime_type",)) -> DataFrame:
+    return spikes_of_days(type_days(incidents, keys), as_of, days, periods, keys)

@@ -30,7 +30,7 @@ def station_backlog(incidents: DataFrame) -> DataFrame:
 
 def district_metrics(incidents: DataFrame) -> DataFrame:
     """Per district: incidents and active grid hotspots."""
-    spots = grid_hotspots(incidents.withColumn("_scope", F.col("district")), scope=["_scope"])
+    spots = grid_hotspots(incidents, per_district=True)
     return (
         incidents.groupBy("district").agg(F.count(F.lit(1)).alias("total_district_incidents"))
         .join(spots.groupBy("district").agg(F.count(F.lit(1)).alias("active_hotspots_count")), "district", "left")

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.texts import location_id
 from ..operators import flags as flag_ops
-from ..operators.hotspots import grid_hotspots
+from ..operators.hotspots import grid_counts, hotspots_of_counts
 from ..operators.similarity import match_edges, tag_matches
-from ..operators.trend import period_spikes
+from ..operators.trend import spikes_of_days, type_days
 from ..sources.store import edge_rows, upsert_edges
 from .tables import prepare, read_all, read_before, run_available, write_batch
 
@@ -35,13 +35,15 @@ def entity_edges(incidents: DataFrame, now: Column) -> DataFrame:
     return out
 
 
-def batch_flags(fresh: DataFrame, pool: DataFrame, pending: DataFrame, as_of: Column, now: Column, matches: DataFrame | None = None) -> DataFrame:
-    """New flags caused by ``fresh``: hotspots are recomputed only for its stations and trends only
-    for its types. Candidates with an equal pending flag are dropped."""
-    stations = fresh.select("police_station").distinct()
-    types = fresh.select("crime_type").distinct()
-    spots = grid_hotspots(pool.join(stations, "police_station", "left_semi"))
-    spikes = period_spikes(pool.join(types, "crime_type", "left_semi"), as_of)
+def batch_flags(
+    fresh_cells: DataFrame, all_cells: DataFrame, fresh_days: DataFrame, all_days: DataFrame,
+    pending: DataFrame, as_of: Column, now: Column, matches: DataFrame | None = None,
+) -> DataFrame:
+    """New flags caused by a batch: only its cells and types are looked at again, from the running
+    counts. Candidates with an equal pending flag are dropped."""
+    cells = ["_station", "cell_lat", "cell_lon"]
+    spots = hotspots_of_counts(all_cells.join(fresh_cells.select(*cells).distinct(), cells, "left_semi"))
+    spikes = spikes_of_days(all_days.join(fresh_days.select("crime_type").distinct(), "crime_type", "left_semi"), as_of)
     out = flag_ops.without_pending_target(flag_ops.hotspot_flags(spots, now), pending).unionByName(
         flag_ops.without_pending_type(flag_ops.trend_flags(spikes, now), pending)
     )
@@ -53,26 +55,39 @@ def batch_flags(fresh: DataFrame, pool: DataFrame, pending: DataFrame, as_of: Co
 
 def run_enrichment(incidents: DataFrame, folder: str, checkpoint: str, as_of: Column | None = None) -> None:
     """Per batch: store the incidents, their entity links, tag matches (edges from 0.5, flags from
-    0.7) and the flags they cause. The pool of a batch is everything up to and including it."""
+    0.7) and the flags they cause.
+
+    Flags are computed from small tables of cell and day counts to which every batch adds its own
+    counts; the incidents of earlier batches are read again only to match tags.
+    """
     spark = incidents.sparkSession
     has_tags = "mo_tags" in incidents.columns
-    tables = {"entity_edges": EDGE_SCHEMA, "flags": FLAG_SCHEMA}
-    prepare(spark, folder, tables)
+    prepare(spark, folder, {"entity_edges": EDGE_SCHEMA, "flags": FLAG_SCHEMA})
+
+    def upto(table: str, batch: int) -> DataFrame:
+        return read_all(spark, folder, table).where(F.col("batch") <= batch).drop("batch")
+
+    def own(table: str, batch: int) -> DataFrame:
+        return read_all(spark, folder, table).where(F.col("batch") == batch).drop("batch")
 
     def apply(df: DataFrame, batch: int) -> None:
         write_batch(df, folder, "incidents", batch)
-        everything = read_all(spark, folder, "incidents").where(F.col("batch") <= batch)
-        fresh = everything.where(F.col("batch") == batch).drop("batch")
-        pool = everything.drop("batch")
+        fresh = own("incidents", batch)
         stamp = F.current_timestamp()
         write_batch(entity_edges(fresh, stamp), folder, "entity_edges", batch)
+        write_batch(grid_counts(fresh), folder, "cell_counts", batch)
+        write_batch(type_days(fresh), folder, "type_days", batch)
         matches = None
         if has_tags:
-            matches = tag_matches(fresh, pool, key="incident_id")
+            matches = tag_matches(fresh, upto("incidents", batch), key="incident_id")
             write_batch(match_edges(matches), folder, "mo_edges", batch)
-        pending = read_before(spark, folder, "flags", batch)
-        newest = pool.agg(F.max("occurrence_datetime")).scalar() if as_of is None else as_of
-        write_batch(batch_flags(fresh, pool, pending, newest, stamp, matches), folder, "flags", batch)
+        days = upto("type_days", batch)
+        newest = days.agg(F.max("date")).scalar() if as_of is None else as_of
+        found = batch_flags(
+            own("cell_counts", batch), upto("cell_counts", batch), own("type_days", batch), days,
+            read_before(spark, folder, "flags", batch), newest, stamp, matches,
+        )
+        write_batch(found, folder, "flags", batch)
 
     run_available(incidents.writeStream.foreachBatch(apply), checkpoint)
 

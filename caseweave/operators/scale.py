@@ -155,7 +155,11 @@ def exact_quantiles(
             )
         )
     plan = sketch.select(*keys, "_cnt", F.array(*brackets).alias("_b"))
-    joined = keyed.join(plan if groups else F.broadcast(plan), keys)
+    if groups:
+        joined = keyed.join(plan, keys)
+    else:
+        only = plan.select(F.struct("_cnt", "_b").alias("p")).scalar()
+        joined = keyed.withColumn("_p", only).select(*keys, "_v", "_p._cnt", "_p._b")
     counted = (
         joined.select(*keys, "_v", "_cnt", F.explode("_b").alias("_b"))
         .where(F.col("_v") <= F.col("_b.hi"))

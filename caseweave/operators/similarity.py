@@ -82,13 +82,20 @@ def tfidf_weights(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return skew_safe_join(members, terms, ["block", "key"]).select("block", "doc", "token", "weight")
 
 
+def _numbered_words(terms: DataFrame) -> DataFrame:
+    """Terms with ``word``, the position of the token among its block's tokens, rarest first."""
+    vocabulary = terms.select("block", "token", "df").distinct()
+    numbered = dense_index(vocabulary, ["df", "token"], "word", ["block"]).select("block", "token", "word")
+    return skew_safe_join(terms.select("block", "key", "token", "w"), numbered, ["block", "token"])
+
+
 def _ordered_vectors(terms: DataFrame, limit: float) -> DataFrame:
     """One row per profile: words rarest first, their weights, and the prefix that matters.
 
     The prefix ends once the rest of the vector is shorter than ``limit``: two vectors that share
     only words of their rests cannot reach it. ``tail`` is the length from a word to the end.
     """
-    vectors = terms.groupBy("block", "key").agg(F.array_sort(F.collect_list(F.struct("df", "token", "w"))).alias("v"))
+    vectors = terms.groupBy("block", "key").agg(F.array_sort(F.collect_list(F.struct("word", "w"))).alias("v"))
     # Lengths from the end: running sums over the reversed squares, reversed again.
     squares = F.reverse(F.transform("v", lambda x: x["w"] * x["w"]))
     start = F.struct(F.lit(0.0).alias("s"), F.array().cast("array<double>").alias("out"))
@@ -98,45 +105,51 @@ def _ordered_vectors(terms: DataFrame, limit: float) -> DataFrame:
         lambda acc, q: F.struct((acc["s"] + q).alias("s"), F.concat(acc["out"], F.array(F.sqrt(acc["s"] + q))).alias("out")),
         lambda acc: F.reverse(acc["out"]),
     )
-    zipped = F.arrays_zip(F.transform("v", lambda x: x["token"]).alias("token"), F.col("tails").alias("tail"))
+    zipped = F.arrays_zip(F.transform("v", lambda x: x["word"]).alias("word"), F.col("tails").alias("tail"))
     return vectors.withColumn("tails", running).select(
         "block",
         "key",
-        F.transform("v", lambda x: x["token"]).alias("tokens"),
+        F.transform("v", lambda x: x["word"]).alias("words"),
         F.transform("v", lambda x: x["w"]).alias("weights"),
         F.filter(zipped, lambda x: x["tail"] >= limit).alias("prefix"),
     )
 
 
-def _tile_scores(tokens_a, weights_a, tokens_b, weights_b) -> np.ndarray:
-    """Cosines of two lists of unit vectors, by dense products over slices of the shared words."""
-    lengths_a, lengths_b = [len(t) for t in tokens_a], [len(t) for t in tokens_b]
-    flat = np.concatenate([*tokens_a, *tokens_b])
-    codes, vocabulary = pd.factorize(flat)
-    split = sum(lengths_a)
-    in_a = np.zeros(len(vocabulary), dtype=bool)
-    in_b = np.zeros(len(vocabulary), dtype=bool)
-    in_a[codes[:split]] = True
-    in_b[codes[split:]] = True
-    shared = in_a & in_b
-    place = np.cumsum(shared) - 1
-    rows_a, rows_b = np.repeat(np.arange(len(lengths_a)), lengths_a), np.repeat(np.arange(len(lengths_b)), lengths_b)
+def _tile_scores(x: dict, y: dict) -> np.ndarray:
+    """Cosines between the unit vectors of two tiles, by dense products over slices of the shared
+    words. A tile holds ``sizes`` per vector and the concatenated ``words`` and ``weights``."""
+    shared = np.intersect1d(x["words"], y["words"])
     sides = []
-    for rows, part, weights in ((rows_a, codes[:split], weights_a), (rows_b, codes[split:], weights_b)):
-        keep = shared[part]
-        sides.append((rows[keep], place[part[keep]], np.concatenate(list(weights))[keep]))
-    scores = np.zeros((len(lengths_a), len(lengths_b)))
-    for low in range(0, int(shared.sum()), TILE_WORDS):
+    for tile in (x, y):
+        rows = np.repeat(np.arange(len(tile["sizes"])), tile["sizes"])
+        keep = np.isin(tile["words"], shared)
+        sides.append((rows[keep], np.searchsorted(shared, tile["words"][keep]), tile["weights"][keep]))
+    scores = np.zeros((len(x["sizes"]), len(y["sizes"])))
+    for low in range(0, len(shared), TILE_WORDS):
+        width = min(TILE_WORDS, len(shared) - low)
         dense = []
-        for (rows, words_, values), n in zip(sides, scores.shape):
-            here = (words_ >= low) & (words_ < low + TILE_WORDS)
-            block = np.zeros((n, TILE_WORDS))
-            block[rows[here], words_[here] - low] = values[here]
-            dense.append(block)
+        for (rows, places, values), n in zip(sides, scores.shape):
+            here = (places >= low) & (places < low + width)
+            part = np.zeros((n, width))
+            part[rows[here], places[here] - low] = values[here]
+            dense.append(part)
         scores += dense[0] @ dense[1].T
     return np.round(np.clip(scores, 0.0, 1.0), SCORE_DIGITS)
 
 
+def _best_of(scores: np.ndarray, own: np.ndarray, other: np.ndarray, first: np.ndarray, threshold: float, keep: int):
+    """(row key, column key, score) of the ``keep`` best columns per row, ties by ``first``."""
+    by_id = np.argsort(first, kind="stable")
+    sorted_scores = scores[:, by_id]
+    order = by_id[np.argsort(-sorted_scores, axis=1, kind="stable")[:, : keep + 1]]
+    rows = np.repeat(np.arange(len(own)), order.shape[1])
+    columns = order.ravel()
+    values = scores[rows, columns]
+    good = (values >= threshold) & (own[rows] != other[columns])
+    found = pd.DataFrame({"key": own[rows[good]], "other": other[columns[good]], "score": values[good]})
+    return found.groupby("key", sort=False).head(keep)
+
+
 def best_neighbours(terms: DataFrame, firsts: DataFrame, threshold: float, keep: int) -> DataFrame:
     """(block, key, other, score): for every profile a superset of its ``keep`` best other profiles
     whose cosine reaches ``threshold``, ties by lowest document id (``firsts``).
@@ -148,34 +161,43 @@ def best_neighbours(terms: DataFrame, firsts: DataFrame, threshold: float, keep:
     even a word in every prefix costs one entry per tile, not one per profile pair.
     """
     limit = threshold - 1e-9
-    vectors = materialize(_ordered_vectors(terms, limit).join(firsts, ["block", "key"]))
-    lead = vectors.select("block", "key", F.col("tokens")[0].alias("lead"))
+    vectors = materialize(_ordered_vectors(_numbered_words(terms), limit).join(firsts, ["block", "key"]))
+    lead = vectors.select("block", "key", F.col("words")[0].alias("lead"))
     placed = dense_index(lead, ["lead", "key"], "pos", ["block"]).select(
         "block", "key", F.floor(F.col("pos") / TILE_ROWS).cast("bigint").alias("tile")
     )
     tiled = materialize(vectors.join(placed, ["block", "key"]))
-    marks = tiled.select("block", "tile", F.explode("prefix").alias("p")).groupBy("block", "p.token", "tile").agg(
+    marks = tiled.select("block", "tile", F.explode("prefix").alias("p")).groupBy("block", "p.word", "tile").agg(
         F.max("p.tail").alias("tail")
     )
     a, b = marks.withColumnsRenamed({"tile": "i", "tail": "ti"}), marks.withColumnsRenamed({"tile": "j", "tail": "tj"})
-    pairs = a.join(b, ["block", "token"]).where((F.col("i") <= F.col("j")) & (F.col("ti") * F.col("tj") >= limit)).select("block", "i", "j").distinct()
+    pairs = a.join(b, ["block", "word"]).where((F.col("i") <= F.col("j")) & (F.col("ti") * F.col("tj") >= limit)).select("block", "i", "j").distinct()
+    # A tile travels as one row of flat arrays; it never holds more than TILE_ROWS profiles.
+    members = F.collect_list(F.struct("key", "first_id", "words", "weights"))
+    packed = tiled.groupBy("block", "tile").agg(members.alias("m")).select(
+        "block",
+        "tile",
+        F.transform("m", lambda x: x["key"]).alias("keys"),
+        F.transform("m", lambda x: x["first_id"]).alias("firsts"),
+        F.transform("m", lambda x: F.size(x["words"])).alias("sizes"),
+        F.flatten(F.transform("m", lambda x: x["words"])).alias("words"),
+        F.flatten(F.transform("m", lambda x: x["weights"])).alias("weights"),
+    )
     sides = pairs.select("block", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("tile"))
-    rows = sides.join(tiled.drop("prefix"), ["block", "tile"])
+    rows = sides.join(materialize(packed), ["block", "tile"])
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        tiles = {
+            row["tile"]: {n: np.asarray(row[n]) for n in ("keys", "firsts", "sizes", "words", "weights")}
+            for row in pdf.to_dict("records")
+        }
         i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        x, y = pdf[pdf["tile"] == i], pdf[pdf["tile"] == j]
-        scores = _tile_scores(x["tokens"].tolist(), x["weights"].tolist(), y["tokens"].tolist(), y["weights"].tolist())
-        found = []
-        for grid, own, other in ((scores, x, y),) if i == j else ((scores, x, y), (scores.T, y, x)):
-            keys, others, ids = own["key"].to_numpy(), other["key"].to_numpy(), other["first_id"].to_numpy()
-            by_id = np.argsort(ids, kind="stable")
-            for r in range(len(keys)):
-                line = grid[r][by_id]
-                order = by_id[np.argsort(-line, kind="stable")][: keep + 1]
-                order = [c for c in order if grid[r][c] >= threshold and others[c] != keys[r]][:keep]
-                found.extend((pdf["block"].iloc[0], keys[r], others[c], float(grid[r][c])) for c in order)
-        return pd.DataFrame(found, columns=["block", "key", "other", "score"])
+        x, y = tiles[i], tiles[j]
+        scores = _tile_scores(x, y)
+        found = [_best_of(scores, x["keys"], y["keys"], y["firsts"], threshold, keep)]
+        if i != j:
+            found.append(_best_of(scores.T, y["keys"], x["keys"], x["firsts"], threshold, keep))
+        return pd.concat(found).assign(block=pdf["block"].iloc[0])[["block", "key", "other", "score"]]
 
     return rows.groupBy("block", "i", "j").applyInPandas(compare, "block string, key string, other string, score double")
 

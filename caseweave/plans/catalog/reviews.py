@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ...operators import filters, flags, hotspots, review, trend, views
-from .. import inputs
+from ...operators import filters, flags, graph, hotspots, linkage, review, trend, views
+from .. import batch, inputs
 from .common import DECISIONS, EVENTS, FLAGS, GEO, ORDERS, TREND, shaped, with_
 
 _NOW = "2024-02-01 00:00:00"
@@ -128,6 +128,47 @@ def summary_facts(spark, d):
     return shaped(views.summary_facts(stats, events, ranking, sizes, scores))
 
 
+def repeat_people(spark, d):
+    """Customers with at least ten orders, as people with a prior record."""
+    o = inputs.table(spark, d, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
+    people = inputs.table(spark, d, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left").select(
+        F.col("c_custkey").alias("offender_id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("risk_tier"), F.lit(None).cast("string").alias("vehicle_no"),
+        F.coalesce("n", F.lit(0)).alias("prior_cases_count"), (F.coalesce("n", F.lit(0)) >= 10).alias("prior_record_flag"),
+    )
+    return shaped(filters.repeat_people(people))
+
+
+def incident_summary(spark, d):
+    geo = inputs.geo_incidents(spark, d)
+    nested = geo.select(
+        "incident_id", F.concat(F.lit("F-"), F.col("incident_id").cast("string")).alias("fir_number"), F.col("crime_type").alias("title"), F.col("crime_type").alias("category"),
+        F.lit("low").alias("severity"), "status",
+        F.struct("district", "police_station", F.array(F.round("latitude", 4), F.round("longitude", 4)).alias("coordinates")).alias("location"), "occurrence_datetime",
+    )
+    out = filters.incident_summary(nested)
+    return shaped(out.withColumn("latitude", F.col("coordinates")[0]).drop("coordinates"))
+
+
+def star_join(spark, d):
+    """Orders as incidents, customers as locations, nations as districts."""
+    incidents = inputs.table(spark, d, "orders").select(F.col("o_orderkey").alias("incident_id"), F.col("o_custkey").alias("location_id"))
+    places = inputs.table(spark, d, "customer").select(F.col("c_custkey").alias("location_id"), F.col("c_nationkey").alias("district_id"), F.col("c_mktsegment").alias("location_type"))
+    districts = inputs.table(spark, d, "nation").select(F.col("n_nationkey").alias("district_id"), F.col("n_name").alias("name"))
+    return shaped(linkage.star(incidents, places, districts))
+
+
+def station_recent(spark, d):
+    """The newest open cases of one station, as its house officer sees them."""
+    view = views.sho_view(inputs.geo_incidents(spark, d), inputs.event_flags(spark, d), graph.graph_edges(inputs.event_case_graph(spark, d)), "S7")
+    return shaped(view["recent_firs"].select("incident_id", "status", "occurrence_datetime"))
+
+
+def nightly_cache(spark, d):
+    rows = batch.nightly_cache(inputs.geo_incidents(spark, d), _now())
+    value = F.coalesce(F.get_json_object("payload", "$.total_incidents"), F.get_json_object("payload", "$.incident_count")).cast("bigint")
+    return shaped(rows.select("cache_key", value.alias("incidents"), F.datediff("expires_at", "written_at").alias("days")))
+
+
 _SPOTS = """, c AS (SELECT police_station, CAST(round(latitude * 100) AS BIGINT) AS y, CAST(round(longitude * 100) AS BIGINT) AS x, count(*) AS n,
   arg_min(latitude, incident_id) AS la, arg_min(longitude, incident_id) AS lo, array_to_string(list_sort(list(DISTINCT crime_type)), ', ') AS kinds FROM geo GROUP BY 1, 2, 3),
 spots AS (SELECT printf('HS_%s_%.2f_%.2f', police_station, y / 100.0, x / 100.0) AS id, *, round(least(1.0, 0.4 + n * 0.1), 2)::DOUBLE AS score FROM c WHERE n >= 3),
@@ -136,6 +177,31 @@ spike AS (SELECT crime_type, count(*) FILTER (age < 7) AS n, (count(*) FILTER (a
 rated AS (SELECT *, round(100.0 * (n - b) / nullif(b, 0), 1) AS p FROM spike)"""
 
 QUERIES = {
+    "repeat_people": (
+        repeat_people,
+        """SELECT c_custkey AS offender_id, c_name AS name, c_mktsegment AS risk_tier, CAST(NULL AS VARCHAR) AS vehicle_no, count(*) AS prior_cases_count
+          FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY ALL HAVING count(*) >= 10""",
+    ),
+    "incident_summary": (
+        incident_summary,
+        with_(GEO, """SELECT incident_id, 'F-' || CAST(incident_id AS VARCHAR) AS fir_number, crime_type AS title, crime_type AS category, 'low' AS severity, status, district,
+          police_station, occurrence_datetime, round(latitude, 4) AS latitude FROM geo"""),
+    ),
+    "star_join": (
+        star_join,
+        """SELECT o_orderkey AS incident_id, o_custkey AS location_id, CAST(c_nationkey AS BIGINT) AS district_id, c_mktsegment AS location_type, n_name AS name
+          FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey""",
+    ),
+    "station_recent": (
+        station_recent,
+        with_(EVENTS, """SELECT incident_id, status, occurrence_datetime FROM inc WHERE police_station = 'S7' AND status IN ('OPEN', 'UNDER_INVESTIGATION')
+          ORDER BY occurrence_datetime DESC, incident_id LIMIT 15"""),
+    ),
+    "nightly_cache": (
+        nightly_cache,
+        with_(GEO + _SPOTS, """SELECT 'risk_forecast:' || district AS cache_key, count(*) AS incidents, 1::BIGINT AS days FROM inc GROUP BY district
+          UNION ALL SELECT 'hotspot_scores_statewide:' || id, n, 7 FROM spots"""),
+    ),
     "flag_filter": (
         lambda s, d: shaped(flags.newest_first(flags.filter_flags(inputs.event_flags(s, d), "pending", "hotspot", "high", "S3")).select("flag_id", "severity", "status")),
         with_(FLAGS, "SELECT flag_id, severity, status FROM flags WHERE status = 'PENDING' AND flag_type = 'HOTSPOT' AND severity = 'HIGH' AND jurisdiction_id = 'S3'"),

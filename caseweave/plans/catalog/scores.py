@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ...functions import labels, timeparts
-from ...operators import dbscan, features, forest, hotspots, risk, risk_model, trend
+from ...operators import dbscan, features, forest, hotspots, risk, risk_model, trend, views
 from ...operators.scale import materialize
 from .. import inputs
 from .common import CLUSTER_STATS, EVENTS, GEO, METRES, ORDERS, TREND, shaped, with_
@@ -48,6 +48,22 @@ def risk_scores(spark, d):
     return shaped(scores)
 
 
+def score_statistics(spark, d):
+    return shaped(views.score_statistics(risk.risk_scores(*_risk_inputs(spark, d))[0]))
+
+
+def active_hotspots(spark, d):
+    tables = _risk_inputs(spark, d)
+    return shaped(views.active_hotspot_counts(hotspots.relative_tiers(tables[1]), risk.risk_scores(*tables)[0]))
+
+
+def district_cards(spark, d):
+    tables = _risk_inputs(spark, d)
+    geo = tables[0]
+    spikes = trend.period_spikes(geo, geo.agg(F.max("occurrence_datetime")).scalar(), 7, 3, ("district",))
+    return shaped(views.district_cards(risk.risk_scores(*tables)[0], spikes, geo))
+
+
 def top_contributors(spark, d):
     f = risk.district_features(*_risk_inputs(spark, d))
     return shaped(risk.contributors(risk.normalized(f, list(risk.WEIGHTS)), risk.WEIGHTS))
@@ -126,7 +142,29 @@ _NORMAL = ", normal AS (SELECT *, " + ", ".join(
     f"CASE WHEN max({n}) OVER () = min({n}) OVER () THEN 0.5::DOUBLE ELSE ({n} - min({n}) OVER ()) / (max({n}) OVER () - min({n}) OVER ()) END AS {n}_normalized" for n in risk.WEIGHTS
 ) + " FROM features), scores AS (SELECT *, round(least(100.0::DOUBLE, greatest(0.0::DOUBLE, 100 * (" + " + ".join(f"{n}_normalized * {w}::DOUBLE" for n, w in risk.WEIGHTS.items()) + "))), 2) AS risk_score FROM normal)"
 
+_LEVELS = "SELECT *, CASE WHEN risk_score <= 25 THEN 'low' WHEN risk_score <= 50 THEN 'moderate' WHEN risk_score <= 75 THEN 'high' ELSE 'critical' END AS level FROM scores"
+
 QUERIES = {
+    "score_statistics": (
+        score_statistics,
+        with_(_RISK + _NORMAL + f", l AS ({_LEVELS})", "SELECT count(*) AS districts_scored, round(avg(risk_score), 2) AS average_score, min(risk_score) AS lowest_score, max(risk_score) AS highest_score, "
+              + ", ".join(f"count(*) FILTER (level = '{v}') AS {v}" for v in ("low", "moderate", "high", "critical")) + " FROM l", True),
+    ),
+    "active_hotspots": (
+        active_hotspots,
+        with_(_RISK + _NORMAL, "SELECT (SELECT count(*) FROM tiers WHERE risk_level = 'High') AS high_tier_hotspots, count(*) FILTER (risk_score > 60) AS scored_above_60 FROM scores", True),
+    ),
+    "district_cards": (
+        district_cards,
+        with_(_RISK + _NORMAL + """, aged AS (SELECT district, CAST((SELECT max(occurrence_datetime) FROM inc) AS DATE) - CAST(occurrence_datetime AS DATE) AS age FROM inc),
+          c AS (SELECT district, count(*) FILTER (age < 7) AS n, (count(*) FILTER (age >= 7) / 3.0)::DOUBLE AS b FROM aged WHERE age < 28 GROUP BY 1),
+          ch AS (SELECT district, n, round(100.0 * (n - b) / nullif(b, 0), 1) AS p FROM c),
+          ty AS (SELECT district, crime_type, row_number() OVER (PARTITION BY district ORDER BY count(*) DESC, crime_type) AS r FROM inc GROUP BY 1, 2),
+          tops AS (SELECT district, string_agg(crime_type, ',' ORDER BY r) AS top_crimes FROM ty WHERE r <= 3 GROUP BY 1)""",
+          """SELECT s.district, s.risk_score, p AS change_percent, CASE WHEN p > 5 THEN 'rising' WHEN p < -5 THEN 'declining' ELSE 'stable' END AS trend, n AS current_count, top_crimes,
+            CASE WHEN s.risk_score > 75 THEN 'critical' WHEN s.risk_score > 50 THEN 'high' WHEN s.risk_score > 30 THEN 'medium' ELSE 'low' END AS risk_level
+          FROM scores s LEFT JOIN ch USING (district) LEFT JOIN tops USING (district)""", True),
+    ),
     "feature_matrix": (
         feature_matrix,
         with_(_MATRIX_SQL, "SELECT CAST(incident_id AS VARCHAR) AS incident_id, round((p - mp) / sp, 6) AS property_loss, round((r - mr) / sr, 6) AS repeat_offender, "

@@ -47,6 +47,10 @@ class Store:
         """Append full rows that carry the change; ``latest_rows`` shows them as current."""
         rows.withColumn("updated_at", now).write.mode("append").parquet(self.path(table))
 
+    def mirror(self, table: str, view: str) -> None:
+        """A second name for a table; a view, not a second write."""
+        self.read(table).createOrReplaceTempView(view)
+
     def sql(self, query: str) -> DataFrame:
         return self.spark.sql(query)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -173,9 +173,11 @@ def build_graph(
     victim_ages: DataFrame | None = None,
     weight_cap: int = 5,
     min_weight: int = 1,
+    keep: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> tuple[DataFrame, DataFrame]:
+    """(nodes with degrees, edges). ``keep`` may be ``scale.materialize`` to compute each side once."""
     nodes, edges = prune(
-        graph_nodes(incidents, offender_ages, victim_ages), graph_edges(incidents, weight_cap), min_weight
+        keep(graph_nodes(incidents, offender_ages, victim_ages)), keep(graph_edges(incidents, weight_cap)), min_weight
     )
     return with_degrees(nodes, edges), edges
 
@@ -185,7 +187,8 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def graph_statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row: node_count, edge_count, connected_components, density."""
+    """One row: node_count, edge_count, connected_components, density. Writes intermediate tables."""
+    nodes, edges = materialize(nodes.select("id")), materialize(edges.select("source", "target"))
     parts = scalar_of(components(nodes, edges), F.count_distinct("component"))
     m = scalar_of(edges, F.count(F.lit(1)))
     n = F.col("node_count").cast("double")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -258,8 +260,11 @@ def district_ranking(grid: DataFrame, found: DataFrame) -> DataFrame:
     )
 
 
-def trend_outputs(incidents: DataFrame, **parameters) -> dict[str, DataFrame]:
-    """All eight trend tables. Persist ``daily_incidents`` before writing several of them."""
+def trend_outputs(
+    incidents: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda df: df, **parameters
+) -> dict[str, DataFrame]:
+    """All eight trend tables. When several are written, pass ``scale.materialize`` as ``keep`` so
+    that the grid, the summary and the anomalies are computed once; otherwise nothing runs here."""
     check_parameters(**parameters)
     p = {"ma_short": 7, "ma_long": 30, "z_window": 30, "min_observations": 10, "trend_threshold": 0.05, **parameters}
     bands = {
@@ -267,9 +272,9 @@ def trend_outputs(incidents: DataFrame, **parameters) -> dict[str, DataFrame]:
         "high": p.pop("severity_high", 4.0),
         "critical": p.pop("severity_critical", 5.0),
     }
-    grid = daily_grid(daily_counts(incidents))
-    summary = trend_summary(grid, **p)
-    found = anomalies(summary, **bands)
+    grid = keep(daily_grid(daily_counts(incidents)))
+    summary = keep(trend_summary(grid, **p))
+    found = keep(anomalies(summary, **bands))
     return {
         "trend_summary": summary,
         "anomalies": found,

@@ -14,6 +14,7 @@ from ..operators.forest import isolation_scores
 from ..operators.graph import build_graph
 from ..operators.hotspots import district_forecast, grid_hotspots, hotspots
 from ..operators.risk import REQUIRED, risk_scores
+from ..operators.scale import materialize
 from ..operators.similarity import cosine_top_k
 from ..operators.trend import trend_outputs
 from ..sources import cache
@@ -80,12 +81,12 @@ def run_batch(
         return {"cluster_assignments": assigned, "cluster_stats": stats}
 
     def graph_stage() -> dict[str, DataFrame]:
-        nodes, edges = build_graph(incidents)
+        nodes, edges = build_graph(incidents, keep=materialize)
         return {"graph_nodes": nodes, "graph_edges": edges}
 
     stages: list[tuple[str, Callable[[], dict[str, DataFrame]]]] = [
         ("hotspot", hotspot_stage),
-        ("trend", lambda: trend_outputs(incidents)),
+        ("trend", lambda: trend_outputs(incidents, keep=materialize)),
         ("graph", graph_stage),
         ("similarity", lambda: {"similar_incidents": cosine_top_k(incidents)}),
         ("anomaly", lambda: {"incident_anomalies": isolation_scores(incidents, feature_columns=feature_columns, exclude=(*feature_ops.SENSITIVE, "occurrence_datetime"))}),

@@ -13,7 +13,7 @@ from ..functions.timeparts import iso_text
 from .checks import require_columns
 from .cleaning import TREND_COLUMNS
 from .components import connected_components
-from .scale import materialize, scalar_of
+from .scale import materialize, scalar_of, skew_safe_join
 
 NODE_COLUMNS = [
     "id", "type", "label", "degree", "degree_centrality", "crime_type", "district",
@@ -60,11 +60,32 @@ def _prepared(df: DataFrame) -> DataFrame:
     )
 
 
-def graph_edges(incidents: DataFrame, weight_cap: int = 5) -> DataFrame:
+def _linked(incidents: DataFrame, links: DataFrame) -> DataFrame:
+    """Bridge rows (incident_id, person) of known incidents: position, incident, person, repeats."""
+    person = next(c for c in links.columns if c != "incident_id")
+    rows = links.where(F.col(person).isNotNull()).groupBy("incident_id", person).agg(F.count(F.lit(1)).alias("n"))
+    known = skew_safe_join(rows, incidents.select("incident_id").distinct(), ["incident_id"], "left_semi")
+    return known.select(
+        F.col("incident_id").alias("_pos"), F.col("incident_id").cast("string").alias("source"),
+        F.col(person).cast("string").alias("target"), F.col("n"),
+    )
+
+
+def graph_edges(
+    incidents: DataFrame, weight_cap: int = 5, offender_links: DataFrame | None = None, victim_links: DataFrame | None = None
+) -> DataFrame:
     """(source, target, relation, weight); the source is the incident. One edge per unordered pair,
-    the first writer in id order wins. Weight counts repeats inside one cell, up to ``weight_cap``."""
+    the first writer in id order wins. Weight counts repeats inside one incident, up to
+    ``weight_cap``. People come from the incident's own columns, from bridge tables, or both; a
+    bridge needs no array per incident, however many people it names."""
     p = _prepared(incidents)
 
+    def bridged(links: DataFrame, relation: str, rank: int) -> DataFrame:
+        weight = F.least(F.col("n"), F.lit(weight_cap)).cast("bigint")
+        return _linked(incidents, links).select(
+            "_pos", "source", "target", F.lit(relation).alias("relation"), weight.alias("weight"), F.lit(rank).alias("_rank")
+        )
+
     def people(column: str, relation: str, rank: int) -> DataFrame:
         ids = F.array_distinct(F.col(column))
         repeats = F.transform(
@@ -80,6 +101,10 @@ def graph_edges(incidents: DataFrame, weight_cap: int = 5) -> DataFrame:
         F.lit("occurred_at").alias("relation"), F.lit(1).cast("bigint").alias("weight"), F.lit(1).alias("_rank"),
     )
     every = places.unionByName(people("offenders", "involved_in", 2)).unionByName(people("victims", "victim_of", 3))
+    if offender_links is not None:
+        every = every.unionByName(bridged(offender_links, "involved_in", 2))
+    if victim_links is not None:
+        every = every.unionByName(bridged(victim_links, "victim_of", 3))
     first = F.min_by(F.struct("source", "target", "relation", "weight"), F.struct("_pos", "_rank"))
     return (
         every.groupBy(F.least("source", "target").alias("_a"), F.greatest("source", "target").alias("_b"))
@@ -88,7 +113,7 @@ def graph_edges(incidents: DataFrame, weight_cap: int = 5) -> DataFrame:
     )
 
 
-def _raw_nodes(incidents: DataFrame) -> DataFrame:
+def _raw_nodes(incidents: DataFrame, links: dict[str, DataFrame | None]) -> DataFrame:
     p = _prepared(incidents)
     blank = {"crime_type": "string", "district": "string", "occurrence_datetime": "string",
              "police_station": "string", "latitude": "double", "longitude": "double"}
@@ -112,6 +137,8 @@ def _raw_nodes(incidents: DataFrame) -> DataFrame:
     out = shaped(cases, "incident", 0).unionByName(shaped(spots, "location", 1))
     for column, kind, rank in (("offenders", "offender", 2), ("victims", "victim", 3)):
         named = p.select("_pos", F.explode(F.array_distinct(column)).alias("id"))
+        if links.get(kind) is not None:
+            named = named.unionByName(_linked(incidents, links[kind]).select("_pos", F.col("target").alias("id")))
         people = named.groupBy("id").agg(F.min("_pos").alias("_pos")).select(
             "_pos", "id", F.concat(F.lit(kind.capitalize() + " "), F.col("id")).alias("label"), *empty(*blank)
         )
@@ -119,11 +146,18 @@ def _raw_nodes(incidents: DataFrame) -> DataFrame:
     return out
 
 
-def graph_nodes(incidents: DataFrame, offender_ages: DataFrame | None = None, victim_ages: DataFrame | None = None) -> DataFrame:
+def graph_nodes(
+    incidents: DataFrame,
+    offender_ages: DataFrame | None = None,
+    victim_ages: DataFrame | None = None,
+    offender_links: DataFrame | None = None,
+    victim_links: DataFrame | None = None,
+) -> DataFrame:
     """Nodes without degrees. All types share one id space: an incident row always defines its node
     (the last one wins); otherwise the first writer in id order does. Age tables hold (id, age)."""
     is_case = F.col("type") == "incident"
-    merged = _raw_nodes(incidents).groupBy("id").agg(
+    links = {"offender": offender_links, "victim": victim_links}
+    merged = _raw_nodes(incidents, links).groupBy("id").agg(
         F.min_by(F.struct("type", "at"), F.struct("_pos", "_rank")).alias("f"),
         F.max_by(F.when(is_case, F.struct("type", "at")), F.when(is_case, F.struct(F.col("_pos"), F.col("at.occurrence_datetime")))).alias("c"),
     ).select("id", F.coalesce("c", "f").alias("n"), F.col("f.type").alias("_first"))
@@ -174,10 +208,14 @@ def build_graph(
     weight_cap: int = 5,
     min_weight: int = 1,
     keep: Callable[[DataFrame], DataFrame] = lambda df: df,
+    offender_links: DataFrame | None = None,
+    victim_links: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(nodes with degrees, edges). ``keep`` may be ``scale.materialize`` to compute each side once."""
     nodes, edges = prune(
-        keep(graph_nodes(incidents, offender_ages, victim_ages)), keep(graph_edges(incidents, weight_cap)), min_weight
+        keep(graph_nodes(incidents, offender_ages, victim_ages, offender_links, victim_links)),
+        keep(graph_edges(incidents, weight_cap, offender_links, victim_links)),
+        min_weight,
     )
     return with_degrees(nodes, edges), edges
 

@@ -52,11 +52,13 @@ def graph_nodes(spark, d):
 
 
 def graph_edges(spark, d):
-    return shaped(graph.graph_edges(inputs.order_case_graph(spark, d)))
+    cases, victims = inputs.order_case_graph(spark, d)
+    return shaped(graph.graph_edges(cases, victim_links=victims))
 
 
 def degree_centrality(spark, d):
-    nodes, _ = graph.build_graph(inputs.order_case_graph(spark, d))
+    cases, victims = inputs.order_case_graph(spark, d)
+    nodes, _ = graph.build_graph(cases, victim_links=victims)
     return shaped(nodes.select("id", "degree", "degree_centrality"))
 
 
@@ -90,7 +92,8 @@ def k_hop_edges(spark, d):
 
 
 def repeat_entities(spark, d):
-    nodes, _ = graph.build_graph(inputs.order_case_graph(spark, d))
+    cases, victims = inputs.order_case_graph(spark, d)
+    nodes, _ = graph.build_graph(cases, victim_links=victims)
     return shaped(graph.repeat_entities(nodes, 12).select("id", "type", "degree"))
 
 

@@ -81,8 +81,9 @@ def feedback_stats(spark, d):
 
 
 def role_projection(spark, d):
-    """Order incidents with the victim list as a constable may see them."""
-    return shaped(filters.for_role(inputs.order_case_graph(spark, d), "constable").drop("repeat_offender"))
+    """Incident and victim rows as a constable may see them: without the victim."""
+    cases, victims = inputs.order_case_graph(spark, d)
+    return shaped(filters.for_role(cases.join(victims, "incident_id"), "constable").drop("repeat_offender"))
 
 
 def constable_flags(spark, d):
@@ -271,7 +272,8 @@ QUERIES = {
     ),
     "role_projection": (
         role_projection,
-        with_(ORDERS, """SELECT incident_id, crime_type, district, occurrence_datetime, 'C' || CAST(offender_id AS VARCHAR) AS offender_id, round(property_loss, 6) AS property_loss, status, segment FROM inc"""),
+        with_(ORDERS, """SELECT incident_id, crime_type, district, occurrence_datetime, 'C' || CAST(offender_id AS VARCHAR) AS offender_id, round(property_loss, 6) AS property_loss, status, segment FROM inc
+          JOIN (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) ON l_orderkey = incident_id"""),
     ),
     "constable_flags": (constable_flags, with_(FLAGS, "SELECT flag_id, severity, status FROM flags WHERE jurisdiction_id = 'S7' OR target_id = 'S7'")),
     "sp_flags": (sp_flags, with_(FLAGS, "SELECT flag_id, severity, status FROM flags WHERE severity IN ('HIGH', 'CRITICAL') OR status = 'ESCALATED'")),

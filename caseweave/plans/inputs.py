@@ -145,13 +145,13 @@ def event_case_graph(spark: SparkSession, folder: str) -> DataFrame:
     return e.withColumn("offender_id", F.concat(F.lit("U"), F.col("offender_id").cast("string")))
 
 
-def order_case_graph(spark: SparkSession, folder: str) -> DataFrame:
-    """Order incidents with one offender and the suppliers of the order as victims."""
-    victims = order_victims(spark, folder).groupBy("incident_id").agg(
-        F.array_sort(F.collect_list(F.concat(F.lit("V"), F.col("victim_id").cast("string")))).alias("victim_id")
+def order_case_graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(order incidents with one offender, victim bridge naming the suppliers of each order)."""
+    victims = order_victims(spark, folder).select(
+        "incident_id", F.concat(F.lit("V"), F.col("victim_id").cast("string")).alias("victim_id")
     )
-    o = order_incidents(spark, folder).withColumn("offender_id", F.concat(F.lit("C"), F.col("offender_id").cast("string")))
-    return o.join(victims, "incident_id", "left")
+    offender = F.concat(F.lit("C"), F.col("offender_id").cast("string"))
+    return order_incidents(spark, folder).withColumn("offender_id", offender), victims
 
 
 def unclean_incidents(spark: SparkSession, folder: str) -> DataFrame:

@@ -29,6 +29,19 @@ def test_edges(spark):
     }
 
 
+def test_bridges_equal_columns(spark):
+    """People given by bridge tables make the same graph as people in the incident's cells."""
+    people = [("1", "p"), ("1", "q"), ("1", "p"), ("4", "r"), ("9", "stranger")]
+    victims = [("2", "q"), ("3", "v"), ("4", "r"), ("4", None)]
+    bare = cases(spark, [(i, d, s, None, None) for i, d, s, _, _ in ROWS])
+    links = {
+        "offender_links": spark.createDataFrame(people, "incident_id string, offender_id string"),
+        "victim_links": spark.createDataFrame(victims, "incident_id string, victim_id string"),
+    }
+    for got, want in zip(graph.build_graph(bare, **links), graph.build_graph(cases(spark, ROWS))):
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
 def test_nodes_and_degrees(spark):
     ages = spark.createDataFrame([("q", 30), ("v", 40)], "id string, age int")
     nodes, edges = graph.build_graph(cases(spark, ROWS), ages, ages)

@@ -204,8 +204,8 @@ QUERIES = {
           UNION ALL SELECT 'hotspot_scores_statewide:' || id, n, 7 FROM spots"""),
     ),
     "flag_filter": (
-        lambda s, d: shaped(flags.newest_first(flags.filter_flags(inputs.event_flags(s, d), "pending", "hotspot", "high", "S3")).select("flag_id", "severity", "status")),
-        with_(FLAGS, "SELECT flag_id, severity, status FROM flags WHERE status = 'PENDING' AND flag_type = 'HOTSPOT' AND severity = 'HIGH' AND jurisdiction_id = 'S3'"),
+        lambda s, d: shaped(flags.newest_first(flags.filter_flags(inputs.event_flags(s, d), "pending", "hotspot", "medium", "S7")).select("flag_id", "severity", "status")),
+        with_(FLAGS, "SELECT flag_id, severity, status FROM flags WHERE status = 'PENDING' AND flag_type = 'HOTSPOT' AND severity = 'MEDIUM' AND jurisdiction_id = 'S7'"),
     ),
     "flag_counts": (
         lambda s, d: shaped(flags.status_counts(inputs.event_flags(s, d))),

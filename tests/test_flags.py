@@ -109,3 +109,9 @@ def test_period_comparison_without_base(spark):
     df = spark.createDataFrame([(datetime(2024, 3, 5),)], "occurrence_datetime timestamp")
     row = views.period_comparison(df, F.lit("2024-03-09").cast("timestamp")).first()
     assert (row["current_month"], row["previous_month"], row["change_pct"]) == (1, 0, None)
+
+
+def test_flag_filters_ignore_case(spark):
+    got = flags.filter_flags(sample(spark), status="pending", severity="critical", jurisdiction="B")
+    assert sorted(r["flag_id"] for r in got.collect()) == ["f3", "f4"]
+    assert flags.filter_flags(sample(spark), jurisdiction="b").isEmpty()

@@ -6,12 +6,28 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, sharding, token_blocks, token_counts
+from . import near_duplicates, packing, sharding, token_blocks, token_counts, warc
 from .common import table
 
 SHARDS = [f"shard-{n:02d}" for n in range(16)]
 
 
+def op2_page_archives(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page as read back from the archives it was written to."""
+    manifest = warc.write_warc(table(spark, folder, "pages"))
+    records = warc.read_warc(manifest)
+    revisit = F.col("record_type") == "revisit"
+    digest = F.regexp_replace("digest", "^sha256:", "")
+    number = lambda name: F.regexp_extract(name, r"(\d+|-\d+)$", 1).try_cast("bigint")
+    found = F.when(revisit, digest).otherwise(F.sha2("payload", 256))
+    return records.select(
+        number("record_id").alias("page_id"),
+        F.when(revisit, F.col("http_length")).otherwise(F.octet_length("payload")).cast("bigint").alias("payload_bytes"),
+        F.when(found == digest, found).otherwise(F.raise_error(F.lit("a payload differs from its digest"))).alias("payload_digest"),
+        "record_type", F.when(revisit, number("refers_to")).alias("refers_to"),
+    )
+
+
 def op3_pack_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Every piece of every document with its place in a sequence of at most 2,048 tokens."""
     return packing.pack_documents(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -33,6 +49,22 @@ def op7_count_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """The fingerprint and the component of every document."""
+    return near_duplicates.near_duplicates(table(spark, folder, "documents"))
+
+
+WARC_SQL = """
+WITH pages_ AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), first AS (
+  SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM pages_
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM first
+"""
+
 #: The shards take turns (one row of ``turn`` per claim); ``free`` has a flag per slot.
 SHARD_SQL = f"""
 WITH RECURSIVE shard AS (
@@ -61,8 +93,10 @@ SELECT doc_id, slot, shard FROM keyed LEFT JOIN placed USING (slot)
 """
 
 QUERIES = {
+    "op2_page_archives": (op2_page_archives, WARC_SQL),
     "op3_pack_documents": (op3_pack_documents, None),
     "op5_shard_documents": (op5_shard_documents, SHARD_SQL),
     "op6_token_files": (op6_token_files, None),
     "op7_count_tokens": (op7_count_tokens, None),
+    "op8_near_duplicates": (op8_near_duplicates, None),
 }

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_duplicates, packing, sharding, token_blocks, token_counts, warc
+from . import near_duplicates, packing, quality_rules, sharding, token_blocks, token_counts, warc
 from .common import table
 
 SHARDS = [f"shard-{n:02d}" for n in range(16)]
@@ -54,6 +54,11 @@ def op8_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, folder, "documents"))
 
 
+def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """The base measures of every document and whether it is kept."""
+    return quality_rules.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 WARC_SQL = """
 WITH pages_ AS (
   SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
@@ -99,4 +104,5 @@ QUERIES = {
     "op6_token_files": (op6_token_files, None),
     "op7_count_tokens": (op7_count_tokens, None),
     "op8_near_duplicates": (op8_near_duplicates, None),
+    "op9_quality_rules": (op9_quality_rules, None),
 }

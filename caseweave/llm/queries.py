@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_duplicates, packing, quality_rules, sharding, token_blocks, token_counts, warc
+from . import decontamination, near_duplicates, packing, quality_rules, sharding, token_blocks, token_counts, warc
 from .common import table
 
 SHARDS = [f"shard-{n:02d}" for n in range(16)]
@@ -33,6 +33,12 @@ def op3_pack_documents(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """The share of every document that occurs in benchmark items."""
+    found = decontamination.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def op5_shard_documents(spark: SparkSession, folder: str) -> DataFrame:
     """The slot and the shard of every document."""
     return sharding.place(table(spark, folder, "documents").select("doc_id"), "doc_id", SHARDS).select("doc_id", "slot", "shard")
@@ -100,6 +106,7 @@ SELECT doc_id, slot, shard FROM keyed LEFT JOIN placed USING (slot)
 QUERIES = {
     "op2_page_archives": (op2_page_archives, WARC_SQL),
     "op3_pack_documents": (op3_pack_documents, None),
+    "op4_decontaminate": (op4_decontaminate, None),
     "op5_shard_documents": (op5_shard_documents, SHARD_SQL),
     "op6_token_files": (op6_token_files, None),
     "op7_count_tokens": (op7_count_tokens, None),

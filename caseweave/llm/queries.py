@@ -6,12 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, near_duplicates, packing, quality_rules, sharding, token_blocks, token_counts, warc
+from . import decontamination, near_duplicates, packing, quality_classifier, quality_rules, sharding, token_blocks, token_counts, url_filter, warc
 from .common import table
 
 SHARDS = [f"shard-{n:02d}" for n in range(16)]
 
 
+def op1_quality_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """The quality score of every document."""
+    return quality_classifier.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op2_page_archives(spark: SparkSession, folder: str) -> DataFrame:
     """Every page as read back from the archives it was written to."""
     manifest = warc.write_warc(table(spark, folder, "pages"))
@@ -65,6 +70,11 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op10_url_verdicts(spark: SparkSession, folder: str) -> DataFrame:
+    """The rule and the verdict of every page's url."""
+    return url_filter.filter_urls(table(spark, folder, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 WARC_SQL = """
 WITH pages_ AS (
   SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
@@ -104,6 +114,7 @@ SELECT doc_id, slot, shard FROM keyed LEFT JOIN placed USING (slot)
 """
 
 QUERIES = {
+    "op1_quality_scores": (op1_quality_scores, None),
     "op2_page_archives": (op2_page_archives, WARC_SQL),
     "op3_pack_documents": (op3_pack_documents, None),
     "op4_decontaminate": (op4_decontaminate, None),
@@ -112,4 +123,5 @@ QUERIES = {
     "op7_count_tokens": (op7_count_tokens, None),
     "op8_near_duplicates": (op8_near_duplicates, None),
     "op9_quality_rules": (op9_quality_rules, None),
+    "op10_url_verdicts": (op10_url_verdicts, None),
 }

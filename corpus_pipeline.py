@@ -1,22 +1,52 @@
-"""A training-data pipeline: documents in, packed token sequences out."""
+"""A training-data pipeline: documents in, packed token sequences out.
+
+Each stage takes (spark, docs, folder) and returns all rows it keeps, with the columns of ``documents``; the last returns the pieces and
+their places. A stage works on what its predecessor kept.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from caseweave.llm import packing
+from caseweave.llm import decontamination, near_duplicates, packing, quality_classifier, quality_rules
 from caseweave.llm.common import materialize, table
 
 
+def classify(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return quality_classifier.keep(docs, table(spark, folder, "labels"))
+
+
+def rules(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents that fail the base rule or a certified cutoff go."""
+    return quality_rules.keep(docs, table(spark, folder, "labels"))
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Of each group of near-duplicates the document of the least id stays."""
+    return near_duplicates.keep_first(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents that repeat the benchmark go."""
+    return decontamination.contamination(docs, table(spark, folder, "benchmark")).where("not contaminated").select(*docs.columns)
+
+
 def pack(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Pieces of the remaining documents with their places in sequences."""
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("best-fit packing", pack)]
+STAGES = [
+    ("quality classifier", classify),
+    ("quality rules", rules),
+    ("SimHash near-dedup", deduplicate),
+    ("benchmark decontamination", decontaminate),
+    ("best-fit packing", pack),
+]
 
-#: Token ids, fitted models and packing have no SQL form.
+#: Fitted models, token ids and packing have no SQL form.
 ORACLE_SQL = None
 
 

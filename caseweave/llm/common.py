@@ -32,6 +32,11 @@ def blank_words(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, BLANK_RUN))
 
 
+def once(value: Column) -> Column:
+    """The same value, which the optimizer computes where it stands: a later filter would else be pushed below and repeat it many times."""
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
 def kept_in_worker(key: object, make: Callable[[], object]) -> object:
     """An object that later tasks of the same Python worker find again."""
     holder = sys.modules.setdefault("caseweave_worker_state", types.ModuleType("caseweave_worker_state"))

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, once
 
 WINDOW = 13
 DEPTH = 2
@@ -92,9 +92,9 @@ def phrase_matches(docs: DataFrame, items: DataFrame, index: DataFrame, window:
     of_probe = probed.select("probe", "item", "words").distinct()
     rows = aligned.join(small(materialize(of_probe)), "probe").select("doc", "item", "words", "shift").distinct()
     found = materialize(rows.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("item", "words", "shift")).alias("_tries")))
-    split = docs.drop("n_words", "hits").withColumn("_words", split_words(F.col(text)))
+    split = docs.drop("n_words", "hits").withColumn("_words", once(split_words(F.col(text))))
     joined = split.join(found, F.col(key).eqNullSafe(F.col("_doc")), "left")
-    low = joined.withColumn("_words", F.when(F.col("_tries").isNotNull(), F.transform("_words", lowered)).otherwise(F.col("_words")))
+    low = joined.withColumn("_words", once(F.when(F.col("_tries").isNotNull(), F.transform("_words", lowered)).otherwise(F.col("_words"))))
 
     def runs(attempt: Column) -> Column:
         """Starts of the windows of one alignment that agree word by word."""
@@ -106,7 +106,7 @@ def phrase_matches(docs: DataFrame, items: DataFrame, index: DataFrame, window:
         return F.transform(F.filter(places, equal), lambda o: F.struct(attempt["item"].alias("item"), (o + attempt["shift"]).alias("start"), length.alias("length")))
 
     hits = F.coalesce(F.flatten(F.transform("_tries", runs)), F.array().cast(f"array<struct<item:{items.schema['item'].dataType.simpleString()},start:int,length:int>>"))
-    return low.withColumn("n_words", F.size("_words").cast("bigint")).withColumn("hits", hits).drop("_doc", "_tries", "_words")
+    return low.withColumns({"n_words": once(F.size("_words").cast("bigint")), "hits": once(hits)}).drop("_doc", "_tries", "_words")
 
 
 def covered(hits: Column) -> Column:
@@ -124,7 +124,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, d
     index = build_index(docs, terms, key, text)
     found = phrase_matches(docs.drop("n_hit", "n_items", "items_sha256", "contaminated"), items, index, window, depth, key, text)
     names = F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["item"].cast("string"))))
-    out = found.withColumns({"n_hit": covered(F.col("hits")), "_names": names})
+    out = found.withColumns({"n_hit": once(covered(F.col("hits"))), "_names": once(names)})
     return out.withColumns({
         "n_items": F.size("_names").cast("bigint"),
         "items_sha256": F.sha2(F.array_join("_names", ",").cast("binary"), 256),

@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, blank_words, crc32_of, materialize
+from .common import BLANKS, blank_words, crc32_of, materialize, once
 
 RISK = 0.02
 DOUBT = 0.05
@@ -88,7 +88,9 @@ def with_base(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the measures of BASE and n_lines; columns of these names are replaced."""
     whole = F.coalesce(F.col(text), F.lit(""))
     has_word = lambda line: F.btrim(line, F.lit(BLANKS)) != ""
-    split = docs.drop(*BASE, "n_lines", "_words", "_lines").withColumns({"_words": blank_words(F.col(text)), "_lines": F.filter(F.split(whole, "\n"), has_word)})
+    split = docs.drop(*BASE, "n_lines", "_words", "_lines").withColumns(
+        {"_words": once(blank_words(F.col(text))), "_lines": once(F.filter(F.split(whole, "\n"), has_word))}
+    )
     measures = {
         "n_words": F.size("_words").cast("bigint"),
         "word_chars": F.char_length(F.array_join("_words", "")).cast("bigint"),
@@ -97,7 +99,7 @@ def with_base(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint"),
         "n_repeat_words": repeat_words(F.col("_words")).cast("bigint"),
     }
-    return split.withColumns(measures).drop("_words", "_lines")
+    return split.withColumns({name: once(value) for name, value in measures.items()}).drop("_words", "_lines")
 
 
 def base_failed() -> Column:

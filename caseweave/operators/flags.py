@@ -89,7 +89,7 @@ def create_flags(requests: DataFrame, now: Column) -> DataFrame:
         return F.coalesce(value, F.lit(FLAG_DEFAULTS[name]).cast(kind)).alias(name)
 
     content = [F.col(c).cast("string") for c in requests.columns if c != "flag_id"]
-    made = F.concat(F.lit("FLAG_"), F.lower(F.hex(F.xxhash64(*content))))
+    made = F.concat(F.lit("FLAG_"), F.sha2(F.to_json(F.array(*[F.coalesce(c, F.lit("")) for c in content])), 256))
     flag_id = F.coalesce(F.col("flag_id").cast("string"), made) if "flag_id" in requests.columns else made
     kinds = {c: ("double" if c == "confidence_score" else "string") for c in FLAG_DEFAULTS}
     return requests.select(

@@ -22,8 +22,6 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 TREES = 200
 SAMPLE = 256
-# Rows from which the trees draw. Its size does not grow with the table.
-POOL = 40_000
 
 TREE_SCHEMA = "tree int, feature array<int>, cut array<double>, left array<int>, right array<int>, depth array<double>"
 
@@ -66,26 +64,20 @@ def _grow(sample: np.ndarray, rng: np.random.Generator, limit: int) -> dict[str,
 def fit_trees(matrix: DataFrame, seed: int = 42, trees: int = TREES, sample: int = SAMPLE) -> DataFrame:
     """One row per tree. Each tree sees its own sample of at most ``sample`` rows.
 
-    A uniform pool of about POOL rows is taken first by a bound on a row hash, then each tree takes
-    the pool rows that come first in its own hash order. Samples depend only on ids and seed.
+    Every row of the table may be drawn: a tree takes the rows that come first in its own hash order. Only rows below a
+    bound on that hash, about four times the sample per tree, are copied to the tree before ranking, so what moves does not grow
+    with the table. Samples depend only on ids and seed.
     """
 
-    def unit(h: str):
-        return F.shiftrightunsigned(h, 11).cast("double") / F.lit(float(2**53))
-
-    pool = (
-        matrix.select("incident_id", "features", F.xxhash64(F.lit(seed), "incident_id").alias("h"))
-        .where(unit("h") * scalar_of(matrix, F.count(F.lit(1))) <= POOL)
-    )
-    drawn = (
-        pool.select("incident_id", "features", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-        .withColumn("h", F.xxhash64(F.lit(seed), "tree", "incident_id"))
-    )
-    # Keep about four times the sample by a hash bound before ranking. Pools too small for the
-    # bound to leave a full sample keep every row.
-    share = F.least(F.lit(1.0), F.lit(4.0 * sample) / scalar_of(pool, F.count(F.lit(1))))
+    share = F.least(F.lit(1.0), F.lit(4.0 * sample) / scalar_of(matrix, F.count(F.lit(1))))
+    numbers = F.sequence(F.lit(0), F.lit(trees - 1))
+    hashed = F.transform(numbers, lambda t: F.struct(t.alias("tree"), F.xxhash64(F.lit(seed), t, F.col("incident_id")).alias("h")))
+    below = lambda x: F.shiftrightunsigned(x["h"], 11).cast("double") / F.lit(float(2**53)) <= F.col("_share")
+    drawn = matrix.select("incident_id", "features", share.alias("_share")).select(
+        "incident_id", "features", F.explode(F.filter(hashed, below)).alias("_t")
+    ).select("incident_id", "features", "_t.tree", "_t.h")
     first = F.row_number().over(Window.partitionBy("tree").orderBy("h", "incident_id"))
-    samples = drawn.where(unit("h") <= share).withColumn("r", first).where(F.col("r") <= sample).select("tree", "incident_id", "features")
+    samples = drawn.withColumn("r", first).where(F.col("r") <= sample).select("tree", "incident_id", "features")
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         ordered = pdf.sort_values("incident_id")

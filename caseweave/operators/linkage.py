@@ -7,54 +7,55 @@ from pyspark.sql import functions as F
 
 from .scale import skew_safe_join
 
-# Incidents with more people than this are kept as hubs (person -> incident) instead of pairs. The
-# hub rows hold the same information: two people co-occur when they share a hub.
-HUB_PEOPLE = 64
+# People of an incident are compared in blocks of about this many, so that no array or task grows with the incident.
+BLOCK_PEOPLE = 64
 
 
-def _split_by_size(bridge: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
-    sizes = bridge.groupBy("incident_id").agg(F.count(F.lit(1)).alias("people"))
-    sized = skew_safe_join(bridge, sizes, ["incident_id"])
-    return sized.where(F.col("people") <= limit).drop("people"), sized.where(F.col("people") > limit)
+def _block(person: Column, blocks: Column) -> Column:
+    return F.pmod(F.xxhash64(person), blocks.cast("bigint"))
 
 
-def co_offender_pairs(bridge: DataFrame, person: str = "offender_id", limit: int = HUB_PEOPLE) -> tuple[DataFrame, DataFrame]:
-    """(pairs, hubs): (person_a, person_b, incidents) with a < b, and the membership rows of larger
-    incidents. Pairs are formed inside one short array per incident, never by a self-join."""
-    rows = bridge.where(F.col(person).isNotNull()).select("incident_id", F.col(person).alias("p")).distinct()
-    small, large = _split_by_size(rows, limit)
-    people = small.groupBy("incident_id").agg(F.array_sort(F.collect_list("p")).alias("ps"))
-    pairs = people.select(
-        F.explode(
-            F.flatten(
-                F.transform(
-                    "ps",
-                    lambda a, i: F.transform(
-                        F.slice("ps", i + 2, F.greatest(F.size("ps") - i - 1, F.lit(0))),
-                        lambda b: F.struct(a.alias("person_a"), b.alias("person_b")),
-                    ),
-                )
-            )
-        ).alias("x")
-    )
-    counted = pairs.groupBy("x.person_a", "x.person_b").agg(F.count(F.lit(1)).alias("incidents"))
-    return counted, large.select("incident_id", F.col("p").alias(person), "people")
-
+def _blocks_of(people: Column) -> Column:
+    return F.greatest(F.lit(1), F.ceil(people / BLOCK_PEOPLE)).cast("bigint")
 
-def offender_victim_pairs(offenders: DataFrame, victims: DataFrame, limit: int = HUB_PEOPLE) -> tuple[DataFrame, DataFrame]:
-    """(pairs, hubs) of everyone on both sides of an incident; same hub rule as above."""
-    sides = offenders.where("offender_id IS NOT NULL").select("incident_id", F.lit("o").alias("side"), F.col("offender_id").cast("string").alias("p")).unionByName(
-        victims.where("victim_id IS NOT NULL").select("incident_id", F.lit("v").alias("side"), F.col("victim_id").cast("string").alias("p"))
-    ).distinct()
-    small, large = _split_by_size(sides, limit)
 
-    def side(s: str) -> Column:
-        return F.collect_list(F.when(F.col("side") == s, F.col("p")))
+def co_offender_pairs(bridge: DataFrame, person: str = "offender_id") -> DataFrame:
+    """(person_a, person_b, incidents) with a < b, for every pair of every incident.
 
-    both = small.groupBy("incident_id").agg(side("o").alias("os"), side("v").alias("vs"))
-    pairs = both.select(F.explode("os").alias("offender_id"), "vs").select("offender_id", F.explode("vs").alias("victim_id"))
-    counted = pairs.groupBy("offender_id", "victim_id").agg(F.count(F.lit(1)).alias("incidents"))
-    return counted, large
+    The people of an incident are dealt into blocks by hash; block i meets block j >= i in a group of its own. Pairs are formed inside
+    the short arrays of a group.
+    """
+    rows = bridge.where(F.col(person).isNotNull()).select("incident_id", F.col(person).alias("p")).distinct()
+    sizes = rows.groupBy("incident_id").agg(_blocks_of(F.count(F.lit(1))).alias("blocks"))
+    placed = skew_safe_join(rows, sizes, ["incident_id"]).withColumn("own", _block(F.col("p"), F.col("blocks")))
+    dealt = placed.select("incident_id", "p", "own", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    side = lambda block: F.collect_list(F.when(F.col("own") == F.col(block), F.col("p")))
+    met = dealt.select("incident_id", "p", "own", low.alias("low"), high.alias("high")).groupBy("incident_id", "low", "high").agg(side("low").alias("ls"), side("high").alias("hs"))
+    apart = F.col("low") != F.col("high")
+    pairs = met.select(apart.alias("apart"), "hs", F.explode("ls").alias("a")).select("apart", "a", F.explode("hs").alias("b")).where("apart or a < b")
+    return pairs.groupBy(F.least("a", "b").alias("person_a"), F.greatest("a", "b").alias("person_b")).agg(F.count(F.lit(1)).alias("incidents"))
+
+
+def offender_victim_pairs(offenders: DataFrame, victims: DataFrame) -> DataFrame:
+    """(offender_id, victim_id, incidents) for everyone on the two sides of an incident; blocks as above, on each side."""
+    sides = [
+        df.where(F.col(name).isNotNull()).select("incident_id", F.col(name).cast("string").alias("p")).distinct()
+        for df, name in ((offenders, "offender_id"), (victims, "victim_id"))
+    ]
+    sizes = [df.groupBy("incident_id").agg(_blocks_of(F.count(F.lit(1))).alias(name)) for df, name in zip(sides, ("o", "v"))]
+    blocks = sizes[0].join(sizes[1], "incident_id")
+
+    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
+        placed = skew_safe_join(df, blocks, ["incident_id"])
+        every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(other) - 1)).alias(f"{other}_block")
+        return placed.select("incident_id", F.lit(own).alias("side"), "p", _block(F.col("p"), F.col(own)).alias(f"{own}_block"), every)
+
+    both = dealt(sides[0], "o", "v").unionByName(dealt(sides[1], "v", "o"))
+    side = lambda s: F.collect_list(F.when(F.col("side") == s, F.col("p")))
+    met = both.groupBy("incident_id", "o_block", "v_block").agg(side("o").alias("os"), side("v").alias("vs"))
+    pairs = met.select(F.explode("os").alias("offender_id"), "vs").select("offender_id", F.explode("vs").alias("victim_id"))
+    return pairs.groupBy("offender_id", "victim_id").agg(F.count(F.lit(1)).alias("incidents"))
 
 
 def person_locations(incidents: DataFrame, place: Column, person: str = "offender_id") -> DataFrame:

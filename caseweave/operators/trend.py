@@ -14,7 +14,8 @@ from .checks import require_all
 from .cleaning import clean_times
 
 SERIES = ["district", "crime_type"]
-MAX_TYPES = 100_000
+# Tasks among which the types of a grid are dealt.
+GRID_SALTS = 64
 
 
 def check_parameters(
@@ -56,27 +57,19 @@ def daily_counts(incidents: DataFrame) -> DataFrame:
 def daily_grid(counts: DataFrame) -> DataFrame:
     """Fill the whole grid: every day between the first and the last, every district, every type.
 
-    The grid is generated by exploding arrays, not by joining tables. Zero rows and observed rows
+    Districts and types are distinct tables, joined to the grid they define; days are exploded. Zero rows and observed rows
     are then merged by one aggregation keyed on the series, and that partitioning also serves every
     window of the trend operators.
     """
-    extent = counts.agg(
-        F.min("date").alias("first"),
-        F.max("date").alias("last"),
-        F.collect_set("crime_type").alias("types"),
-        F.sum("daily_incidents").alias("total"),
-    )
-    types = F.when(F.size("types") <= MAX_TYPES, F.col("types")).otherwise(
-        F.raise_error(F.lit("too many distinct types for a dense daily grid")).cast("array<string>")
-    )
-    shape = extent.where(F.col("total") > 0).select(
-        F.struct(F.sequence("first", "last").alias("days"), types.alias("types")).alias("shape")
-    )
-    districts = counts.groupBy("district").agg(F.sum("daily_incidents").alias("_n")).where(F.col("_n") > 0)
-    zeros = (
-        districts.select("district", shape.scalar().alias("s"))
-        .select("district", F.col("s.days").alias("days"), F.explode("s.types").alias("crime_type"))
-        .select(F.explode("days").alias("date"), "district", "crime_type", F.lit(0).cast("bigint").alias("daily_incidents"))
+    days = counts.agg(F.min("date").alias("first"), F.max("date").alias("last"), F.sum("daily_incidents").alias("total")).where("total > 0")
+    extent = days.select(F.sequence("first", "last").alias("days")).scalar()
+    salts = F.explode(F.sequence(F.lit(0), F.lit(GRID_SALTS - 1))).alias("salt")
+    districts = counts.groupBy("district").agg(F.sum("daily_incidents").alias("_n")).where("_n > 0").select("district", salts)
+    types = counts.groupBy("crime_type").agg(F.sum("daily_incidents").alias("_n")).where("_n > 0").select("crime_type", F.pmod(F.hash("crime_type"), F.lit(GRID_SALTS)).alias("salt"))
+    # The product of districts and types is the grid itself; a type meets the districts in the task of its salt.
+    spanned = districts.select("district", "salt", extent.alias("days"))
+    zeros = spanned.join(types.where("crime_type is not null"), "salt").select(
+        F.explode("days").alias("date"), "district", "crime_type", F.lit(0).cast("bigint").alias("daily_incidents")
     )
     return (
         zeros.unionByName(counts)

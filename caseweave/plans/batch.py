@@ -31,7 +31,7 @@ def _stage(name: str, work: Callable[[], dict[str, DataFrame]], folder: str) ->
         for table, df in work().items():
             row["outputs"].append(write_table(df, f"{folder}/{table}"))
     except Exception as problem:
-        row.update(status="failed", error=f"{type(problem).__name__}: {problem}"[:2000])
+        row.update(status="failed", error=f"{type(problem).__name__}: {problem}")
     row["runtime_seconds"] = round(time.time() - started, 3)
     return row
 

@@ -115,11 +115,11 @@ def visible_subgraph(spark, d):
 
 def co_offender_pairs(spark, d):
     bridge = inputs.order_victims(spark, d).withColumnRenamed("victim_id", "offender_id")
-    return shaped(linkage.co_offender_pairs(bridge)[0])
+    return shaped(linkage.co_offender_pairs(bridge))
 
 
 def offender_victim_pairs(spark, d):
-    return shaped(linkage.offender_victim_pairs(inputs.order_incidents(spark, d), inputs.order_victims(spark, d))[0])
+    return shaped(linkage.offender_victim_pairs(inputs.order_incidents(spark, d), inputs.order_victims(spark, d)))
 
 
 def person_locations(spark, d):

@@ -25,7 +25,7 @@ def new_flags(spark, d):
     old = inputs.event_flags(spark, d).withColumn("title", F.concat("title", F.when(F.col("target_id") == "T7", " Fraud").otherwise("")))
     spots = flags.without_pending_target(flags.hotspot_flags(hotspots.grid_hotspots(geo), _now()), old)
     spikes = trend.period_spikes(geo, _newest(geo), 7, 3)
-    trends = flags.without_pending_type(flags.trend_flags(spikes, _now(), minimum=-1000.0), old)
+    trends = flags.without_pending_type(flags.trend_flags(spikes, _now()), old)
     return shaped(spots.unionByName(trends).select("flag_id", "flag_type", "severity", "title", "summary", "confidence_score", "target_type", "target_id", "status"))
 
 
@@ -222,9 +222,9 @@ QUERIES = {
         with_(FLAGS, "SELECT count(*) FILTER (status = 'PENDING') AS pending, count(*) FILTER (status = 'PENDING' AND severity = 'CRITICAL') AS critical_pending FROM flags"),
     ),
     "review_queue": (
-        lambda s, d: shaped(flags.review_queue(inputs.event_flags(s, d), 100).select("flag_id", "severity", "status")),
+        lambda s, d: shaped(flags.review_queue(inputs.event_flags(s, d)).select("flag_id", "severity", "status")),
         with_(FLAGS, """SELECT flag_id, severity, status FROM flags ORDER BY CASE WHEN status = 'PENDING' THEN 0 ELSE 1 END,
-          CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 ELSE 3 END, confidence_score DESC, flag_id LIMIT 100"""),
+          CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 ELSE 3 END, confidence_score DESC, flag_id"""),
     ),
     "new_flags": (
         new_flags,
@@ -233,7 +233,7 @@ QUERIES = {
             'LOCATION' AS target_type, id AS target_id, 'PENDING' AS status FROM spots
           UNION ALL SELECT 'FLAG_TREND_ALL_' || crime_type, 'EMERGING_TREND', 'HIGH', 'Emerging trend: ' || crime_type || ' in ALL',
             printf('%s up by %.1f%% (%d against %.1f).', crime_type, p, n, b), 0.88, 'CATEGORY', crime_type, 'PENDING' FROM rated
-            WHERE p >= -1000 AND (crime_type <> 'Fraud' OR NOT EXISTS (SELECT 1 FROM events WHERE user_id % 50 = 7 AND event_id % 4 = 0))"""),
+            WHERE p >= 50 AND (crime_type <> 'Fraud' OR NOT EXISTS (SELECT 1 FROM events WHERE user_id % 50 = 7 AND event_id % 4 = 0))"""),
     ),
     "pending_dedupe": (
         pending_dedupe,

@@ -35,10 +35,11 @@ class Store:
         df = self.read(table)
         return df if predicate is None else df.where(predicate)
 
-    def find_many(self, table: str, limit: int = 100, order_by: str = "created_at", descending: bool = True, **filters) -> DataFrame:
+    def find_many(self, table: str, limit: int | None = None, order_by: str = "created_at", descending: bool = True, key: str | None = None, **filters) -> DataFrame:
         df = matching(self.read(table), **filters)
         order = F.col(order_by).desc() if descending else F.col(order_by).asc()
-        return df.orderBy(order).limit(limit)
+        ordered = df.orderBy(order, *([key] if key else []))
+        return ordered if limit is None else ordered.limit(limit)
 
     def find_one(self, table: str, column: str, value) -> DataFrame:
         return self.read(table).where(F.col(column).cast("string") == str(value)).limit(1)

@@ -5,31 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.store import latest_rows
 from .tables import read_all, run_available, write_batch
 
+CELL = ("date", "district", "crime_type")
 
-def daily_count_stream(incidents: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Counts per (date, district, crime_type). Days close once the watermark has passed them; later
-    rows stay in the incident table and are picked up by the nightly recompute."""
-    timed = incidents.withColumn("occurrence_datetime", F.col("occurrence_datetime").cast("timestamp"))
-    return (
-        timed.withWatermark("occurrence_datetime", delay)
-        .groupBy(F.window("occurrence_datetime", "1 day"), "district", "crime_type")
-        .agg(F.count(F.lit(1)).alias("daily_incidents"))
-        .select(F.to_date("window.start").alias("date"), "district", "crime_type", "daily_incidents")
-    )
 
+def partial_counts(incidents: DataFrame) -> DataFrame:
+    """Counts per (date, district, crime_type) of the given incidents."""
+    day = F.to_date("occurrence_datetime").alias("date")
+    return incidents.groupBy(day, "district", "crime_type").agg(F.count(F.lit(1)).alias("daily_incidents"))
 
-def run_daily_counts(incidents: DataFrame, folder: str, checkpoint: str, delay: str = "1 day") -> None:
-    """Write every changed count of each batch below ``folder/daily_counts``."""
-    writer = daily_count_stream(incidents, delay).writeStream.outputMode("update").foreachBatch(
-        lambda df, batch: write_batch(df, folder, "daily_counts", batch)
-    )
+
+def run_daily_counts(incidents: DataFrame, folder: str, checkpoint: str) -> None:
+    """Store each batch's own counts below ``folder/daily_counts``. Days never close, so no row comes too late."""
+    writer = incidents.writeStream.foreachBatch(lambda df, batch: write_batch(partial_counts(df), folder, "daily_counts", batch))
     run_available(writer, checkpoint)
 
 
 def current_counts(spark, folder: str) -> DataFrame:
-    """The newest count of each cell."""
-    keys = ["date", "district", "crime_type"]
-    return latest_rows(read_all(spark, folder, "daily_counts"), keys, "batch").drop("batch")
+    """The sum of the batches' counts of each cell."""
+    return read_all(spark, folder, "daily_counts").groupBy(*CELL).agg(F.sum("daily_incidents").alias("daily_incidents"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.scale import materialize
 from ..operators.quality import intake_rules, violations
 from .tables import prepare, read_before, run_available, write_batch
 
@@ -20,28 +21,34 @@ TABLES = {
 
 
 def _key(prefix: str, *parts: Column) -> Column:
-    return F.concat(F.lit(prefix), F.lower(F.hex(F.xxhash64(*parts))))
+    return F.concat(F.lit(prefix), F.sha2(F.to_json(F.array(*[F.coalesce(p.cast("string"), F.lit("")) for p in parts])), 256))
 
 
 def judged(payloads: DataFrame, known_offenders: DataFrame, known_numbers: DataFrame) -> DataFrame:
-    """Payloads with all their field errors: the row rules, offender ids that do not exist, and
-    numbers that were taken before or occur again in this batch."""
-    rows = violations(payloads, intake_rules()).withColumn("_row", F.xxhash64(F.to_json(F.struct(*payloads.columns))))
+    """Every payload with all its field errors: the row rules, offender ids that do not exist, and numbers that were taken before.
+
+    Among the faultless payloads of one number the first by content is accepted; the others, also equal ones, are rejected as recorded.
+    ``payloads`` must not change between reads, for rows are told apart by their place.
+    """
+    content = F.sha2(F.to_json(F.struct(*payloads.columns)), 256)
+    rows = violations(payloads, intake_rules()).withColumn("_row", F.struct(content.alias("content"), F.monotonically_increasing_id().alias("place")))
     named = rows.select("_row", F.explode("offenders.offender_id").alias("offender_id")).where("offender_id IS NOT NULL")
     missing = named.join(known_offenders.select("offender_id").distinct(), "offender_id", "left_anti").groupBy("_row").agg(
         F.min("offender_id").alias("_missing")
     )
     taken = known_numbers.select("fir_number").distinct().withColumn("_taken", F.lit(True))
-    first = rows.groupBy("fir_number").agg(F.min("_row").alias("_first"))
-    joined = rows.join(missing, "_row", "left").join(taken, "fir_number", "left").join(first, "fir_number", "left")
-    again = F.coalesce("_taken", F.lit(False)) | (F.col("_row") > F.col("_first"))
+    joined = rows.join(missing, "_row", "left").join(taken, "fir_number", "left")
+    faultless = (F.size("field_errors") == 0) & F.col("_missing").isNull() & F.col("_taken").isNull()
+    first = joined.where(faultless).groupBy("fir_number").agg(F.min("_row").alias("_first"))
+    placed = joined.withColumn("_faultless", faultless).join(first, "fir_number", "left")
+    again = F.coalesce("_taken", F.lit(False)) | (F.col("_faultless") & (F.col("_row") != F.col("_first")))
     extra = F.array_compact(
         F.array(
             F.when(F.col("_missing").isNotNull(), F.struct(F.lit("offenders").alias("field"), F.concat(F.lit("offender_id "), "_missing", F.lit(" not found")).alias("message"))),
             F.when(again, F.struct(F.lit("fir_number").alias("field"), F.lit("already recorded").alias("message"))),
         )
     )
-    return joined.withColumn("field_errors", F.concat("field_errors", extra)).drop("_missing", "_taken", "_first").dropDuplicates(["_row"])
+    return placed.withColumn("field_errors", F.concat("field_errors", extra)).drop("_missing", "_taken", "_first", "_faultless")
 
 
 def accepted_tables(valid: DataFrame) -> dict[str, DataFrame]:
@@ -82,7 +89,7 @@ def run_intake(payloads: DataFrame, known_offenders: DataFrame, folder: str, che
 
     def apply(df: DataFrame, batch: int) -> None:
         offenders = known_offenders.select("offender_id").unionByName(read_before(spark, folder, "offenders", batch).select("offender_id"))
-        checked = judged(df, offenders, read_before(spark, folder, "incidents", batch)).persist()
+        checked = judged(materialize(df), offenders, read_before(spark, folder, "incidents", batch)).persist()
         bad = F.size("field_errors") > 0
         write_batch(checked.where(bad).drop("_row"), folder, "rejected", batch)
         for table, rows in accepted_tables(checked.where(~bad)).items():

@@ -1,7 +1,8 @@
 """Append-only result tables written per micro-batch.
 
 Every batch owns one folder per table and overwrites only that folder, so a batch that is replayed
-after a failure replaces its own rows and nothing is added twice.
+after a failure replaces its own rows and nothing is added twice. Batch 0 belongs to a new checkpoint:
+it removes what the batches of an earlier one left, however those were cut.
 """
 
 from __future__ import annotations
@@ -14,7 +15,18 @@ def batch_path(folder: str, table: str, batch: int) -> str:
     return f"{folder.rstrip('/')}/{table}/batch={batch}"
 
 
+def remove_batches(spark: SparkSession, folder: str, table: str) -> None:
+    """Delete the batches of a table, but not the empty one that gives it its columns."""
+    jvm = spark.sparkContext._jvm
+    pattern = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{table}/batch=[0-9]*")
+    store = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for found in store.globStatus(pattern) or []:
+        store.delete(found.getPath(), True)
+
+
 def write_batch(df: DataFrame, folder: str, table: str, batch: int) -> None:
+    if batch == 0:
+        remove_batches(df.sparkSession, folder, table)
     df.drop("batch").write.mode("overwrite").parquet(batch_path(folder, table, batch))
 
 

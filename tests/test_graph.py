@@ -100,13 +100,14 @@ def test_components(spark, n, pairs):
     assert got == union_find(n, pairs)
 
 
-def test_large_incidents_become_hubs(spark):
-    rows = [("i", f"p{k}") for k in range(10)] + [("j", "p0"), ("j", "p1"), ("k", "p0"), ("k", "p1"), ("k", "p1"), ("l", None)]
+def test_pairs_of_large_incidents_are_complete(spark):
+    rows = [("i", f"p{k:03d}") for k in range(200)] + [("j", "p000"), ("j", "p001"), ("k", "p000"), ("k", "p001"), ("k", "p001"), ("l", None)]
     bridge = spark.createDataFrame(rows, "incident_id string, offender_id string")
-    pairs, hubs = linkage.co_offender_pairs(bridge, limit=5)
-    assert [tuple(r) for r in pairs.collect()] == [("p0", "p1", 2)] and hubs.count() == 10
-    pairs, hubs = linkage.co_offender_pairs(bridge, limit=50)
-    assert pairs.count() == 45 and hubs.count() == 0
+    got = {(r.person_a, r.person_b): r.incidents for r in linkage.co_offender_pairs(bridge).collect()}
+    assert len(got) == 200 * 199 // 2 and got.pop(("p000", "p001")) == 3 and set(got.values()) == {1} and all(a < b for a, b in got)
+    victims = bridge.where("offender_id < 'p100'").withColumnRenamed("offender_id", "victim_id")
+    got = {(r.offender_id, r.victim_id): r.incidents for r in linkage.offender_victim_pairs(bridge, victims).collect()}
+    assert len(got) == 200 * 100 and got["p000", "p001"] == 3 and got["p150", "p001"] == 1
 
 
 def test_visibility_and_search(spark):

@@ -36,9 +36,33 @@ def test_counts_do_not_depend_on_batches(spark, slices, tmp_path):
     results = []
     for per_batch in (1, 5):
         folder = f"{tmp_path}/{per_batch}"
-        counts.run_daily_counts(stream(spark, slices, per_batch), folder, f"{folder}/cp", delay="60 days")
+        counts.run_daily_counts(stream(spark, slices, per_batch), folder, f"{folder}/cp")
         results.append(key(counts.current_counts(spark, folder).collect()))
     assert results[0] == results[1] and len(results[0]) > 100
+    # Another checkpoint with other batches over the same tables changes nothing.
+    counts.run_daily_counts(stream(spark, slices, 3), f"{tmp_path}/1", f"{tmp_path}/1/again")
+    assert key(counts.current_counts(spark, f"{tmp_path}/1").collect()) == results[0]
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    rows = [("2024-03-20", 0), ("2024-03-21", 0), ("2024-03-01", 1), ("2024-03-20", 2)]
+    df = spark.createDataFrame([(f"{d} 10:00:00", "D", "T", n) for d, n in rows], "t string, district string, crime_type string, n int").withColumn("occurrence_datetime", F.to_timestamp("t"))
+    for n in range(3):
+        df.where(F.col("n") == n).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+    raw = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    counts.run_daily_counts(raw, f"{tmp_path}/t", f"{tmp_path}/cp")
+    got = {str(r["date"]): r["daily_incidents"] for r in counts.current_counts(spark, f"{tmp_path}/t").collect()}
+    assert got == {"2024-03-01": 1, "2024-03-20": 2, "2024-03-21": 1}
+
+
+def test_intake_judges_every_payload(spark):
+    rows = [payload(f"F{k}", kind) for k in range(21) for kind in ("theft", "no such type")] + [payload("F0")]
+    schema = spark.read.schema(INTAKE).json(spark.sparkContext.parallelize([json.dumps(r) for r in rows]))
+    known = spark.createDataFrame([], "offender_id string")
+    taken = spark.createDataFrame([], "fir_number string")
+    out = intake.judged(schema, known, taken).collect()
+    good = [r["fir_number"] for r in out if not r["field_errors"]]
+    assert len(out) == 43 and sorted(good) == sorted(f"F{k}" for k in range(21))
 
 
 def test_enrichment_in_batches_and_on_replay(spark, slices, tmp_path):

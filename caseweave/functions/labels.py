@@ -75,8 +75,19 @@ def lookup(mapping: dict, key: Column, default=None) -> Column:
     return found if default is None else F.coalesce(found, F.lit(default))
 
 
+def canonical(word: Column) -> Column:
+    """A status, role, decision or type as the vocabularies above spell it."""
+    return F.lower(F.trim(word))
+
+
+def canonical_flag_type(word: Column) -> Column:
+    """The one spelling of a flag type; an unknown one stays, in lower case."""
+    return F.coalesce(lookup(FLAG_TYPE_SPELLINGS, canonical(word)), canonical(word))
+
+
 def severity_points(crime_type: Column, points: dict[str, int] | None = None) -> Column:
-    return lookup(points or SEVERITY_POINTS, crime_type, 1)
+    """Points of a type in any case; 1 for an unknown one."""
+    return lookup({k.lower(): v for k, v in (points or SEVERITY_POINTS).items()}, canonical(crime_type), 1)
 
 
 def type_category(crime_type: Column) -> Column:

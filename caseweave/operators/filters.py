@@ -68,7 +68,7 @@ def serious_or_escalated(flags: DataFrame) -> DataFrame:
 
 
 def open_backlog(incidents: DataFrame) -> DataFrame:
-    return incidents.where(F.col("status").isin(*OPEN_STATUSES))
+    return incidents.where(F.upper("status").isin(*OPEN_STATUSES))
 
 
 def repeat_people(people: DataFrame) -> DataFrame:

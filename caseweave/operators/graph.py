@@ -256,14 +256,14 @@ def edges_of(edges: DataFrame, frontier: DataFrame, relation: str | None = None)
 def k_hop(edges: DataFrame, start: DataFrame, hops: int = 2) -> tuple[DataFrame, DataFrame]:
     """(nodes with their hop, distinct edges) reachable from ``start`` (column id) in ``hops`` steps.
 
-    The edges of the last frontier are not followed. Writes one small table per hop.
+    The edges of the last frontier are not followed; without a hop there are none. Writes one small table per hop.
     """
     visited = start.select("id").distinct().withColumn("hop", F.lit(0))
     frontier = visited.select("id")
-    collected = None
+    collected = edges.limit(0)
     for hop in range(1, hops + 1):
         touched = materialize(edges_of(edges, frontier))
-        collected = touched if collected is None else collected.unionByName(touched)
+        collected = collected.unionByName(touched)
         ends = touched.select(F.explode(F.array("source", "target")).alias("id")).distinct()
         fresh = materialize(ends.join(visited, "id", "left_anti"))
         visited = visited.unionByName(fresh.withColumn("hop", F.lit(hop)))

@@ -65,7 +65,7 @@ def intake_rules() -> list[Rule]:
 
 
 def flag_type_rule(c: str = "flag_type") -> Rule:
-    return (c, one_of(F.lower(F.col(c)), labels.FLAG_TYPES), f"must be one of: {', '.join(labels.FLAG_TYPES)}")
+    return (c, one_of(labels.canonical_flag_type(F.col(c)), labels.FLAG_TYPES), f"must be one of: {', '.join(labels.FLAG_TYPES)}")
 
 
 def decision_rule(c: str = "decision") -> Rule:
@@ -76,8 +76,8 @@ def enum_rules() -> dict[str, Rule]:
     """Column checks of the stored tables, by ``table.column``."""
     return {
         "users.role": ("role", one_of(F.col("role"), labels.ROLES), "unknown role"),
-        "incidents.status": ("status", one_of(F.col("status"), labels.INCIDENT_STATUSES), "unknown status"),
-        "flags.status": ("status", one_of(F.col("status"), labels.FLAG_STATUSES), "unknown status"),
+        "incidents.status": ("status", one_of(labels.canonical(F.col("status")), labels.INCIDENT_STATUSES), "unknown status"),
+        "flags.status": ("status", one_of(labels.canonical(F.col("status")), labels.FLAG_STATUSES), "unknown status"),
         "flags.flag_type": flag_type_rule(),
         "review_decisions.decision": decision_rule(),
     }

@@ -54,7 +54,8 @@ def latest_decisions(decisions: DataFrame) -> DataFrame:
 
 def current_flags(flags: DataFrame, decisions: DataFrame) -> DataFrame:
     """Flags with the status of their latest decision; decisions themselves are only appended."""
-    last = latest_decisions(decisions).select("flag_id", labels.lookup(labels.STATUS_AFTER, F.upper("decision")).alias("_status"), F.col("reason").alias("review_reason"))
+    newest = decisions.groupBy("flag_id").agg(F.max_by(F.struct("decision", "reason"), F.struct("created_at", "decision_id")).alias("d"))
+    last = newest.select("flag_id", labels.lookup(labels.STATUS_AFTER, F.upper("d.decision")).alias("_status"), F.col("d.reason").alias("review_reason"))
     return flags.join(last, "flag_id", "left").withColumn("status", F.coalesce("_status", "status")).drop("_status")
 
 

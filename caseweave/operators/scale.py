@@ -16,12 +16,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Keys with at least HOT_ROWS rows are spread over HOT_SPREAD tasks. At most HOT_KEYS keys are
-# treated that way, which bounds the broadcast; a key outside that list holds less than
-# 1 / HOT_KEYS of the rows and is no danger to a single task.
+# A key is hot if it holds at least HOT_ROWS rows and at least 1 / HOT_KEYS of all rows, so there are at most HOT_KEYS hot keys,
+# which bounds their broadcast. A hot key is spread over one more task for each such share that it holds.
 HOT_ROWS = 2_000_000
 HOT_KEYS = 10_000
-HOT_SPREAD = 64
+# Rows without a key match nothing; they are spread over this many tasks.
+NULL_SPREAD = 64
 
 # Groups up to SMALL_GROUP rows are ranked whole; larger ones are narrowed first with a mergeable
 # sketch whose rank error is 1 / SKETCH_ACCURACY of the group.
@@ -61,15 +61,10 @@ def scalar_of(df: DataFrame, expr: Column) -> Column:
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], rows: int | None = None) -> DataFrame:
-    """Keys holding at least ``rows`` rows; never more than HOT_KEYS of them."""
-    return (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") >= (HOT_ROWS if rows is None else rows))
-        .orderBy(F.col("_n").desc(), *keys)
-        .limit(HOT_KEYS)
-        .select(*keys, F.lit(HOT_SPREAD).alias("_spread"))
-    )
+    """(keys, _spread): every hot key, and the number of tasks it is spread over."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    share = F.greatest(F.lit(HOT_ROWS if rows is None else rows).cast("double"), scalar_of(counts, F.sum("_n")) / HOT_KEYS)
+    return counts.where(F.col("_n") >= share).select(*keys, (F.ceil(F.col("_n") / share) + 1).cast("bigint").alias("_spread"))
 
 
 def skew_safe_join(
@@ -81,27 +76,27 @@ def skew_safe_join(
 ) -> DataFrame:
     """Join a large, possibly skewed ``left`` with a ``right`` that is unique or short per key.
 
-    Rows of a hot key get a random-looking but repeatable salt (a hash of the row), and only the
-    matching right rows are copied once per salt. Every other key keeps salt 0, so the right side
-    grows by at most HOT_KEYS * HOT_SPREAD rows.
+    Rows of a hot key get a salt, a hash of the row, and only the matching right rows are copied once per salt. Every other key
+    keeps salt 0. The hash is the same on every attempt, which a retried task needs; for that, identical rows share a salt, so where
+    many may be identical, aggregate them before the join.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"skew_safe_join does not support how={how!r}")
     on = list(on)
-    hot = hot_keys(left, on, rows)
+    marked = F.broadcast(hot_keys(left, on, rows))
     row_hash = F.xxhash64(*[F.col(c) for c in left.columns])
     no_key = F.lit(False)
     for c in on:
         no_key = no_key | F.col(c).isNull()
-    spread = F.coalesce(F.col("_spread"), F.when(no_key, F.lit(HOT_SPREAD)))
-    salted_left = left.join(F.broadcast(hot), on, "left").withColumn(
+    spread = F.coalesce(F.col("_spread"), F.when(no_key, F.lit(NULL_SPREAD).cast("bigint")))
+    salted_left = left.join(marked, on, "left").withColumn(
         "_salt",
         F.when(spread.isNotNull(), F.pmod(row_hash, spread.cast("bigint"))).otherwise(
             F.lit(0).cast("bigint")
         ),
     ).drop("_spread")
     salted_right = (
-        right.join(F.broadcast(hot), on, "left")
+        right.join(marked, on, "left")
         .withColumn(
             "_salt",
             F.explode(

@@ -14,13 +14,13 @@ from .hotspots import grid_hotspots
 
 def station_comparison(incidents: DataFrame) -> DataFrame:
     return incidents.groupBy(F.coalesce("police_station", F.lit("UNKNOWN")).alias("police_station")).agg(
-        F.count(F.lit(1)).alias("total_incidents"), F.count_if(F.col("status") == "OPEN").alias("open_cases")
+        F.count(F.lit(1)).alias("total_incidents"), F.count_if(F.upper("status") == "OPEN").alias("open_cases")
     )
 
 
 def station_backlog(incidents: DataFrame) -> DataFrame:
     """Total, open, closed and rounded backlog rate per station."""
-    is_open = F.col("status").isin(*OPEN_STATUSES)
+    is_open = F.upper("status").isin(*OPEN_STATUSES)
     total, opened = F.count(F.lit(1)), F.count_if(is_open)
     return incidents.groupBy("police_station").agg(
         total.alias("total_station_cases"), opened.alias("open_cases"), (total - opened).alias("closed_cases"),

@@ -63,7 +63,7 @@ DECISIONS = """decisions AS (
   SELECT event_id * 2 + step AS decision_id, event_id AS flag_id, 'U' || CAST(user_id AS VARCHAR) AS reviewer_id,
     CASE (event_id // 3 + step) % 3 WHEN 0 THEN 'ACKNOWLEDGE' WHEN 1 THEN 'ESCALATE' ELSE 'DISMISS' END AS decision,
     'reason ' || CAST(step AS VARCHAR) AS reason, ts + step * INTERVAL 1 HOUR AS created_at
-  FROM events CROSS JOIN (SELECT CAST(unnest([1, 2]) AS BIGINT) AS step) WHERE event_id % 3 = 0)"""
+  FROM events CROSS JOIN (SELECT CAST(unnest([1, 2]) AS BIGINT) AS step))"""
 
 COUNTS = """counts AS (
   SELECT CAST(occurrence_datetime AS DATE) AS date, district, crime_type, count(*) AS n FROM inc GROUP BY 1, 2, 3),

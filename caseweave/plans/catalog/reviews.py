@@ -32,9 +32,8 @@ def new_flags(spark, d):
 def pending_dedupe(spark, d):
     """One raised flag per target that has no pending flag: dismissed flags raised again."""
     f = inputs.event_flags(spark, d)
-    again = f.where("status = 'DISMISSED' AND severity = 'CRITICAL'").withColumn("target_id", F.concat_ws("-", "target_id", "flag_type"))
-    held = f.withColumn("target_id", F.concat_ws("-", "target_id", "flag_type")).where("severity = 'HIGH'")
-    return shaped(flags.without_pending_target(again, held).select("flag_id", "target_id"))
+    f = f.withColumn("target_id", F.concat_ws("-", "target_id", "flag_type", F.floor(F.col("flag_id") / 1000).cast("string")))
+    return shaped(flags.without_pending_target(f.where("status = 'DISMISSED'"), f).select("flag_id", "target_id"))
 
 
 def created_flags(spark, d):
@@ -50,9 +49,9 @@ def current_status(spark, d):
 
 
 def checked_decisions(spark, d):
-    f = inputs.event_flags(spark, d).where("severity <> 'LOW'")
+    f = inputs.event_flags(spark, d)
     asked = inputs.event_decisions(spark, d).select(
-        "decision_id", "flag_id", F.when(F.col("decision_id") % 5 == 0, "POSTPONE").otherwise(F.lower("decision")).alias("decision"),
+        "decision_id", F.when(F.col("decision_id") % 11 == 0, -F.col("flag_id") - 1).otherwise(F.col("flag_id")).alias("flag_id"), F.when(F.col("decision_id") % 5 == 0, "POSTPONE").otherwise(F.lower("decision")).alias("decision"),
         F.when(F.col("decision_id") % 7 != 0, F.col("reason")).alias("reason"),
     )
     good, bad = review.check_decisions(asked, f)
@@ -237,8 +236,8 @@ QUERIES = {
     ),
     "pending_dedupe": (
         pending_dedupe,
-        with_(FLAGS + ", f AS (SELECT *, target_id || '-' || flag_type AS t FROM flags)", """SELECT min(flag_id) AS flag_id, t AS target_id FROM f
-          WHERE status = 'DISMISSED' AND severity = 'CRITICAL' AND t NOT IN (SELECT t FROM f WHERE severity = 'HIGH' AND status = 'PENDING') GROUP BY t"""),
+        with_(FLAGS + ", f AS (SELECT *, target_id || '-' || flag_type || '-' || CAST(flag_id // 1000 AS VARCHAR) AS t FROM flags)", """SELECT min(flag_id) AS flag_id, t AS target_id FROM f
+          WHERE status = 'DISMISSED' AND t NOT IN (SELECT t FROM f WHERE status = 'PENDING') GROUP BY t"""),
     ),
     "created_flags": (
         created_flags,
@@ -254,10 +253,10 @@ QUERIES = {
     ),
     "checked_decisions": (
         checked_decisions,
-        with_(FLAGS + ", " + DECISIONS + """, a AS (SELECT decision_id, flag_id, CASE WHEN decision_id % 5 = 0 THEN 'POSTPONE' ELSE decision END AS decision,
+        with_(FLAGS + ", " + DECISIONS + """, a AS (SELECT decision_id, CASE WHEN decision_id % 11 = 0 THEN -flag_id - 1 ELSE flag_id END AS flag_id, CASE WHEN decision_id % 5 = 0 THEN 'POSTPONE' ELSE decision END AS decision,
             CASE WHEN decision_id % 7 <> 0 THEN reason END AS reason FROM decisions)""",
           """SELECT decision_id, decision, concat_ws('|', CASE WHEN decision = 'POSTPONE' THEN 'must be one of: ACKNOWLEDGE, ESCALATE, DISMISS' END,
-            CASE WHEN reason IS NULL THEN 'a reason is mandatory' END, CASE WHEN flag_id NOT IN (SELECT flag_id FROM flags WHERE severity <> 'LOW') THEN 'flag not found' END) AS problems FROM a"""),
+            CASE WHEN reason IS NULL THEN 'a reason is mandatory' END, CASE WHEN flag_id NOT IN (SELECT flag_id FROM flags) THEN 'flag not found' END) AS problems FROM a"""),
     ),
     "routed_actions": (
         routed_actions,

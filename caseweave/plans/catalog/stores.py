@@ -143,7 +143,7 @@ QUERIES = {
         flatten_documents,
         """SELECT CAST(o_orderkey AS VARCHAR) AS incident_id, 'CN-' || o_orderkey AS case_no, o_orderpriority AS district, o_orderstatus AS police_station, o_orderdate AS occurrence_datetime,
           o_orderdate + INTERVAL 30 HOUR AS reported_datetime, replace(o_orderpriority, '-', ',') AS mo_tags, CAST(o_custkey AS VARCHAR) AS offender_id, o_totalprice > 200000 AS prior_record_flag
-          FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)""",
+          FROM orders""",
     ),
     "case_sections": (
         lambda s, d: shaped(readers.case_sections(inputs.case_documents(s, d)).select("incident_id", "ActID", "SectionID", "ActOrderID")),

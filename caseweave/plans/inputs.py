@@ -126,8 +126,8 @@ def event_flags(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def event_decisions(spark: SparkSession, folder: str) -> DataFrame:
-    """Two decisions for every third flag, one hour and two hours after it was raised."""
-    e = table(spark, folder, "events").where(F.col("event_id") % 3 == 0)
+    """Two decisions for every flag, one hour and two hours after it was raised."""
+    e = table(spark, folder, "events")
     choices = {0: "ACKNOWLEDGE", 1: "ESCALATE", 2: "DISMISS"}
     return e.select("event_id", "user_id", "ts", F.explode(F.array(F.lit(1), F.lit(2))).alias("step")).select(
         (F.col("event_id") * 2 + F.col("step")).alias("decision_id"),
@@ -209,7 +209,7 @@ def case_documents(spark: SparkSession, folder: str) -> DataFrame:
         ).alias("ActSectionAssociation")
     )
     o = table(spark, folder, "orders")
-    return o.join(lines, o["o_orderkey"] == lines["l_orderkey"]).select(
+    return o.join(lines, o["o_orderkey"] == lines["l_orderkey"], "left").select(
         F.col("o_orderkey").alias("CaseMasterID"),
         F.concat(F.lit("CN-"), F.col("o_orderkey").cast("string")).alias("CaseNo"),
         F.col("o_orderpriority").alias("DistrictName"),

@@ -105,8 +105,7 @@ def node_rows(df: DataFrame, node_type: Column, ref: Column, name: Column, now:
 
 def upsert_nodes(old: DataFrame, new: DataFrame) -> DataFrame:
     """First creation time, newest name."""
-    return old.unionByName(new).groupBy("node_id").agg(
-        F.min("node_type").alias("node_type"), F.min("ref_id").alias("ref_id"),
+    return old.unionByName(new).groupBy("node_id", "node_type", "ref_id").agg(
         F.max_by("display_name", F.struct("updated_at", "display_name")).alias("display_name"),
         F.min("created_at").alias("created_at"), F.max("updated_at").alias("updated_at"),
     )
@@ -124,10 +123,9 @@ def upsert_edges(old: DataFrame, new: DataFrame, add_weight: bool = True) -> Dat
     """Edges by id. A repeat adds its weight, or keeps the largest when ``add_weight`` is off
     (replays then change nothing)."""
     weight = F.sum("weight") if add_weight else F.max("weight")
-    return old.unionByName(new).groupBy("edge_id").agg(
-        F.min("from_node_id").alias("from_node_id"), F.min("to_node_id").alias("to_node_id"),
-        F.min("relation_type").alias("relation_type"), F.min("incident_id").alias("incident_id"),
-        weight.alias("weight"), F.min("created_at").alias("created_at"),
+    # The ends, the relation and the incident follow from the id.
+    return old.unionByName(new).groupBy("edge_id", "from_node_id", "to_node_id", "relation_type", "incident_id").agg(
+        weight.alias("weight"), F.min("created_at").alias("created_at")
     )
 
 

@@ -35,9 +35,9 @@ def read_optional_csv(spark: SparkSession, path: str, schema: str) -> DataFrame
         return None
 
 
-def read_json_records(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """A JSON array of records, or one record per line when written by Spark."""
-    reader = spark.read.option("multiLine", True)
+def read_json_records(spark: SparkSession, path: str, schema: str | None = None, lines: bool = False) -> DataFrame:
+    """A JSON array of records; with ``lines`` one record per line, as ``write_json`` writes them, which also lets files be split."""
+    reader = spark.read.option("multiLine", not lines)
     return (reader.schema(schema) if schema else reader).json(path)
 
 

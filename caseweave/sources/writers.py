@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None) -> str:
     writer = df.write.mode("overwrite").format(fmt)
     if fmt == "csv":
-        writer = writer.option("header", True)
+        writer = writer.option("header", True).option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")  # Spark's own drops microseconds
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.save(path)

@@ -69,10 +69,11 @@ def availability(incidents, cluster_stats, trend_stats, anomalies, trend_summary
     }
 
 
-def all_districts(frames: list[DataFrame | None]) -> DataFrame:
-    """Every district named in any of the tables, nulls dropped. Each table is reduced first."""
-    parts = [f.select(F.col("district").cast("string").alias("district")).distinct() for f in frames if f is not None and "district" in f.columns]
-    return reduce(DataFrame.unionByName, parts).where(F.col("district").isNotNull()).distinct()
+def merged(tables: list[DataFrame]) -> DataFrame:
+    """Tables of one row per district side by side, with a row for every district of any of them. One small aggregation, no joins."""
+    keyed = [t.withColumn("district", F.col("district").cast("string")).where(F.col("district").isNotNull()) for t in tables]
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), keyed)
+    return stacked.groupBy("district").agg(*[F.max(c).alias(c) for c in stacked.columns if c != "district"])
 
 
 def district_features(incidents, cluster_stats, trend_stats, anomalies, trend_summary=None, spike_events=None, available: dict[str, bool] | None = None) -> DataFrame:
@@ -98,15 +99,13 @@ def district_features(incidents, cluster_stats, trend_stats, anomalies, trend_su
         tables.append(trend_summary.groupBy("district").agg(F.avg("trend_strength_pct").alias("average_trend_strength")))
     if ok["spike_events"]:
         tables.append(spike_events.groupBy("district").agg(F.count(F.lit(1)).alias("number_of_spike_events")))
-    extra = []
+    extra = [F.count(F.lit(1)).alias("_incidents")]
     if ok["repeat_offender"]:
         extra.append((F.avg(bool_flag(F.col("repeat_offender"))) * 100.0).alias("repeat_offender_percentage"))
     if ok["population_density"]:
         extra.append(F.avg("population_density").alias("_density"))
-    if extra:
-        tables.append(incidents.groupBy("district").agg(*extra))
-    frames = [incidents, cluster_stats, trend_stats, anomalies, trend_summary, spike_events]
-    joined = reduce(lambda a, b: a.join(b, "district", "left"), tables, all_districts(frames))
+    tables.append(incidents.groupBy("district").agg(*extra))
+    joined = merged(tables)
 
     def number(name: str):
         return F.coalesce(F.col(name).cast("double"), F.lit(0.0)) if name in joined.columns else F.lit(0.0)

@@ -35,8 +35,8 @@ def _risk_inputs(spark, d):
     geo = inputs.geo_incidents(spark, d).withColumns({"repeat_offender": F.col("k") % 3 == 0, "population_density": F.col("k")})
     clusters = materialize(hotspots.cluster_statistics(materialize(dbscan.assign_clusters(geo))))
     summary = materialize(trend.trend_summary(trend.daily_grid(trend.daily_counts(geo))))
-    found = trend.anomalies(summary)
-    return geo, clusters, trend.series_statistics(summary, found), found, summary, trend.spike_events(found)
+    found = materialize(trend.anomalies(summary))
+    return geo, clusters, materialize(trend.series_statistics(summary, found)), found, summary, materialize(trend.spike_events(found))
 
 
 def district_features(spark, d):

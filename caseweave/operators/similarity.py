@@ -312,17 +312,27 @@ def tag_set_summary(df: DataFrame, threshold: float = 0.4, tags: str = "mo_tags"
     return found.join(a, "tags_a").join(b, "tags_b")
 
 
-def tag_matches(new: DataFrame, pool: DataFrame, threshold: float = 0.4, key: str = "fir_number", tags: str = "mo_tags") -> DataFrame:
+def tag_matches(
+    new: DataFrame, pool: DataFrame, threshold: float = 0.4, key: str = "fir_number", tags: str = "mo_tags", top_k: int | None = None
+) -> DataFrame:
     """(source, target, shared_mo_tags, similarity_score) of each new case against the pool, self
-    excluded. Sets are matched once each and only then expanded to cases."""
+    excluded. Sets are matched once each and only then expanded to cases. ``top_k`` asks for the best matches of each new
+    case, ties to the lowest key; the expansion then grows with the new cases, not with the square of a common set."""
     n, p = with_tag_set(new, tags), with_tag_set(pool, tags)
     found = tag_set_matches(n.select("tags").distinct(), p.select("tags").distinct(), threshold)
     sources = n.select(F.col(key).alias("source"), F.col("tags").alias("tags_a"))
     targets = p.select(F.col(key).alias("target"), F.col("tags").alias("tags_b"))
+    if top_k is not None:  # of equal sets no case needs more than these, itself left out
+        first = F.row_number().over(Window.partitionBy("tags_b").orderBy("target"))
+        targets = targets.withColumn("_first", first).where(F.col("_first") <= top_k + 1).drop("_first")
     hits = skew_safe_join(targets, found.join(sources, "tags_a"), ["tags_b"])
-    return hits.where(F.col("source") != F.col("target")).select(
+    found = hits.where(F.col("source") != F.col("target")).select(
         "source", "target", F.col("shared").alias("shared_mo_tags"), F.col("score").alias("similarity_score")
     )
+    if top_k is None:
+        return found
+    best = F.row_number().over(Window.partitionBy("source").orderBy(F.col("similarity_score").desc(), "target"))
+    return found.withColumn("_best", best).where(F.col("_best") <= top_k).drop("_best")
 
 
 def match_edges(matches: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -37,6 +37,15 @@ def once(value: Column) -> Column:
     return F.when(F.monotonically_increasing_id() >= 0, value)
 
 
+#: Rows of a file of a small intermediate table.
+FILE_ROWS = 50_000
+
+
+def stored(df: DataFrame, rows: int) -> DataFrame:
+    """``materialize`` for a table of at most ``rows`` narrow rows, in one file for each FILE_ROWS of them."""
+    return materialize(df.coalesce(max(1, -(-rows // FILE_ROWS))))
+
+
 def kept_in_worker(key: object, make: Callable[[], object]) -> object:
     """An object that later tasks of the same Python worker find again."""
     holder = sys.modules.setdefault("caseweave_worker_state", types.ModuleType("caseweave_worker_state"))

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, once
+from .common import materialize, once, stored
 
 WINDOW = 13
 DEPTH = 2
@@ -87,14 +87,16 @@ def alignments(index: DataFrame, probed: DataFrame) -> DataFrame:
 
 def phrase_matches(docs: DataFrame, items: DataFrame, index: DataFrame, window: int = WINDOW, depth: int = DEPTH, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with n_words and ``hits``: (item, start, length) of every stretch of words covered by exact occurrences of an item's windows."""
-    probed = materialize(probes(items, index, window, depth))
+    spread = items.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
+    probed = stored(probes(items, index, window, depth), depth * spread)
     aligned = alignments(index, probed)
     of_probe = probed.select("probe", "item", "words").distinct()
-    rows = aligned.join(small(materialize(of_probe)), "probe").select("doc", "item", "words", "shift").distinct()
+    rows = aligned.join(small(stored(of_probe, spread)), "probe").select("doc", "item", "words", "shift").distinct()
     found = materialize(rows.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("item", "words", "shift")).alias("_tries")))
-    split = docs.drop("n_words", "hits").withColumn("_words", once(split_words(F.col(text))))
-    joined = split.join(found, F.col(key).eqNullSafe(F.col("_doc")), "left")
-    low = joined.withColumn("_words", once(F.when(F.col("_tries").isNotNull(), F.transform("_words", lowered)).otherwise(F.col("_words"))))
+    # Always by shuffle, each text once, for the documents with alignments grow with the input. Words are made after it.
+    joined = docs.drop("n_words", "hits", "_doc", "_tries", "_words").join(found.hint("merge"), F.col(key).eqNullSafe(F.col("_doc")), "left")
+    split = joined.withColumn("_words", once(split_words(F.col(text))))
+    low = split.withColumn("_words", once(F.when(F.col("_tries").isNotNull(), F.transform("_words", lowered)).otherwise(F.col("_words"))))
 
     def runs(attempt: Column) -> Column:
         """Starts of the windows of one alignment that agree word by word."""
@@ -119,8 +121,9 @@ def covered(hits: Column) -> Column:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, depth: int = DEPTH, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
     """``docs`` with (n_words, n_hit, n_items, items_sha256, contaminated)."""
-    items = materialize(test_items(benchmark, item))
-    terms = materialize(items.select(F.explode("words").alias("term")).distinct())
+    items = stored(test_items(benchmark, item), benchmark.count())
+    spread = items.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
+    terms = stored(items.select(F.explode("words").alias("term")).distinct(), spread)
     index = build_index(docs, terms, key, text)
     found = phrase_matches(docs.drop("n_hit", "n_items", "items_sha256", "contaminated"), items, index, window, depth, key, text)
     names = F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["item"].cast("string"))))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .scale import materialize, skew_safe_join
 
+PART_ROWS = 100_000
+
 
 def _order(seed: int, node: Column) -> Column:
     """Per-round pseudo-random order of nodes; the node itself breaks hash ties."""
@@ -27,13 +29,19 @@ def connected_components(edges: DataFrame, nodes: DataFrame, src: str, dst: str,
         .select(F.least(src, dst).alias("u"), F.greatest(src, dst).alias("v"))
         .distinct()
     )
+    # Later tables have no more rows than this one; they are cut into parts of PART_ROWS.
+    rows = live.count()
+
+    def stored(df: DataFrame) -> DataFrame:
+        return materialize(df.coalesce(max(1, -(-2 * rows // PART_ROWS))))
+
     mappings: list[DataFrame] = []
     seed = 0
     while not live.isEmpty():
         seed += 1
         both = live.unionByName(live.select(F.col("v").alias("u"), F.col("u").alias("v")))
         first = both.groupBy("u").agg(F.min(_order(seed, F.col("v"))).alias("m"))
-        mapping = materialize(
+        mapping = stored(
             first.select(F.col("u").alias("from"), F.least(_order(seed, F.col("u")), F.col("m"))["node"].alias("to"))
         )
         mappings.append(mapping)
@@ -42,7 +50,7 @@ def connected_components(edges: DataFrame, nodes: DataFrame, src: str, dst: str,
             .join(mapping.withColumnsRenamed({"from": "v", "to": "b"}), "v")
             .where(F.col("a") != F.col("b"))
         )
-        live = materialize(moved.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
+        live = stored(moved.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
     roots = None
     for mapping in reversed(mappings):
         step = mapping.withColumnRenamed("to", "mid")
@@ -50,7 +58,7 @@ def connected_components(edges: DataFrame, nodes: DataFrame, src: str, dst: str,
             roots = step.withColumnRenamed("mid", "root")
         else:
             later = roots.withColumnsRenamed({"from": "mid"})
-            roots = materialize(
+            roots = stored(
                 step.join(later, "mid", "left").select("from", F.coalesce("root", "mid").alias("root"))
             )
     every = nodes.select(F.col(node).alias("from")).distinct()

@@ -84,23 +84,36 @@ def _stream(spark, d):
     return inputs.incidents_of_events(raw)
 
 
+def _slices(spark, d, folder):
+    """All events in four files, taken two at a time; every file spans the whole time, so later batches bring earlier days."""
+    inputs.table(spark, d, "events").repartition(4, F.col("event_id") % 7).write.parquet(f"{folder}/source")
+    raw = tables.file_stream(spark, f"{folder}/source", inputs.table(spark, d, "events").schema, files_per_batch=2)
+    return inputs.incidents_of_events(raw)
+
+
 def _run_folder(spark):
     return f"{shared_folder(spark).rstrip('/')}/caseweave/{uuid.uuid4().hex}"
 
 
 def streamed_daily_counts(spark, d):
     folder = _run_folder(spark)
-    counts.run_daily_counts(_stream(spark, d), f"{folder}/tables", f"{folder}/checkpoint")
+    counts.run_daily_counts(_slices(spark, d, folder), f"{folder}/tables", f"{folder}/checkpoint")
     return shaped(counts.current_counts(spark, f"{folder}/tables"))
 
 
 def streamed_edges(spark, d):
     folder = _run_folder(spark)
-    enrich.run_enrichment(inputs.with_coordinates(_stream(spark, d)), f"{folder}/tables", f"{folder}/checkpoint")
+    enrich.run_enrichment(inputs.with_coordinates(_slices(spark, d, folder)), f"{folder}/tables", f"{folder}/checkpoint")
     edges = enrich.current_edges(spark, f"{folder}/tables")
     return shaped(edges.select("from_node_id", "to_node_id", "relation_type", "incident_id", "weight"))
 
 
+def streamed_nodes(spark, d):
+    folder = _run_folder(spark)
+    enrich.run_enrichment(inputs.with_coordinates(_slices(spark, d, folder)), f"{folder}/tables", f"{folder}/checkpoint")
+    return shaped(enrich.current_nodes(spark, f"{folder}/tables").select("node_id", "node_type", "ref_id", "display_name"))
+
+
 def streamed_flags(spark, d):
     folder = _run_folder(spark)
     enrich.run_enrichment(inputs.with_coordinates(_stream(spark, d)), f"{folder}/tables", f"{folder}/checkpoint")
@@ -159,14 +172,19 @@ QUERIES = {
         with_(EVENTS, """SELECT 'offender_' || CAST(offender_id AS VARCHAR) AS from_node_id, 'LOC::' || district || '::' || police_station AS to_node_id, 'occurred_at' AS relation_type,
           CAST(incident_id AS VARCHAR) AS incident_id, 1.0::DOUBLE AS weight FROM inc"""),
     ),
+    "streamed_nodes": (
+        streamed_nodes,
+        with_(EVENTS, """SELECT DISTINCT 'offender_' || CAST(offender_id AS VARCHAR) AS node_id, 'offender' AS node_type, CAST(offender_id AS VARCHAR) AS ref_id, CAST(offender_id AS VARCHAR) AS display_name FROM inc
+          UNION ALL SELECT DISTINCT 'LOC::' || district || '::' || police_station, 'location', 'LOC::' || district || '::' || police_station, 'LOC::' || district || '::' || police_station FROM inc"""),
+    ),
     "streamed_flags": (
         streamed_flags,
         with_(GEO + """, c AS (SELECT police_station, CAST(round(latitude * 100) AS BIGINT) AS y, CAST(round(longitude * 100) AS BIGINT) AS x, count(*) AS n FROM geo GROUP BY 1, 2, 3),
           s AS (SELECT printf('HS_%s_%.2f_%.2f', police_station, y / 100.0, x / 100.0) AS id, police_station, round(least(1.0, 0.4 + n * 0.1), 2)::DOUBLE AS score FROM c WHERE n >= 3),
           aged AS (SELECT *, CAST((SELECT max(occurrence_datetime) FROM inc) AS DATE) - CAST(occurrence_datetime AS DATE) AS age FROM inc),
           t AS (SELECT crime_type, count(*) FILTER (age < 30) AS n, count(*) FILTER (age >= 30) / 3.0 AS b FROM aged WHERE age < 120 GROUP BY 1)""",
-          """SELECT 'FLAG_HS_' || id AS flag_id, 'HOTSPOT' AS flag_type, CASE WHEN score >= 0.8 THEN 'CRITICAL' WHEN score >= 0.6 THEN 'HIGH' ELSE 'MEDIUM' END AS severity,
+          """SELECT 'FLAG_HS_' || id || '@0' AS flag_id, 'HOTSPOT' AS flag_type, CASE WHEN score >= 0.8 THEN 'CRITICAL' WHEN score >= 0.6 THEN 'HIGH' ELSE 'MEDIUM' END AS severity,
             score AS confidence_score, id AS target_id, police_station AS jurisdiction_id, 'PENDING' AS status FROM s
-          UNION ALL SELECT 'FLAG_TREND_ALL_' || crime_type, 'EMERGING_TREND', 'HIGH', 0.88, crime_type, 'ALL', 'PENDING' FROM t WHERE 100 * (n - b) / nullif(b, 0) >= 50"""),
+          UNION ALL SELECT 'FLAG_TREND_ALL_' || crime_type || '@0', 'EMERGING_TREND', 'HIGH', 0.88, crime_type, 'ALL', 'PENDING' FROM t WHERE 100 * (n - b) / nullif(b, 0) >= 50"""),
     ),
 }

@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.texts import location_id
 from ..operators import flags as flag_ops
 from ..operators.hotspots import grid_counts, hotspots_of_counts
+from ..operators.review import current_flags
 from ..operators.similarity import match_edges, tag_matches
 from ..operators.trend import spikes_of_days, type_days
-from ..sources.store import edge_rows, upsert_edges
+from ..sources.store import edge_rows, upsert_edges, upsert_nodes
 from .tables import prepare, read_all, read_before, run_available, write_batch
 
 FLAG_SCHEMA = (
     "flag_id string, flag_type string, severity string, title string, summary string, confidence_score double, "
     "target_type string, target_id string, jurisdiction_id string, evidence_payload string, status string, created_at timestamp"
 )
+NODE_SCHEMA = "node_id string, node_type string, ref_id string, display_name string, created_at timestamp, updated_at timestamp"
 EDGE_SCHEMA = (
     "edge_id string, from_node_id string, to_node_id string, relation_type string, incident_id string, weight double, created_at timestamp"
 )
@@ -35,6 +39,19 @@ def entity_edges(incidents: DataFrame, now: Column) -> DataFrame:
     return out
 
 
+def entity_nodes(incidents: DataFrame, now: Column) -> DataFrame:
+    """The suspects, victims and locations of the given incidents, with the ids that their links use; each once."""
+    place = location_id(F.col("district"), F.col("police_station"))
+
+    def rows(kind: str, node: Column, ref: Column) -> DataFrame:
+        found = incidents.select(node.alias("node_id"), F.lit(kind).alias("node_type"), ref.cast("string").alias("ref_id")).where("ref_id is not null")
+        return found.distinct().select("*", F.col("ref_id").alias("display_name"), now.alias("created_at"), now.alias("updated_at"))
+
+    person = lambda kind: rows(kind, F.concat(F.lit(f"{kind}_"), F.col(f"{kind}_id").cast("string")), F.col(f"{kind}_id"))
+    out = person("offender").unionByName(rows("location", place, place))
+    return out.unionByName(person("victim")) if "victim_id" in incidents.columns else out
+
+
 def batch_flags(
     fresh_cells: DataFrame, all_cells: DataFrame, fresh_days: DataFrame, all_days: DataFrame,
     pending: DataFrame, as_of: Column, now: Column, matches: DataFrame | None = None,
@@ -53,16 +70,23 @@ def batch_flags(
     return out
 
 
-def run_enrichment(incidents: DataFrame, folder: str, checkpoint: str, as_of: Column | None = None) -> None:
-    """Per batch: store the incidents, their entity links, tag matches (edges from 0.5, flags from
-    0.7) and the flags they cause.
+def raised_in(flags: DataFrame, batch: int) -> DataFrame:
+    """Flags with an id of this raising, so that a flag raised again does not inherit the decision on the earlier one."""
+    return flags.withColumn("flag_id", F.concat("flag_id", F.lit(f"@{batch}")))
+
+
+def run_enrichment(
+    incidents: DataFrame, folder: str, checkpoint: str, as_of: Column | None = None, decisions: Callable[[], DataFrame] | None = None
+) -> None:
+    """Per batch: store the incidents, their entities and links, tag matches (edges from 0.5, flags from
+    0.7) and the flags they cause. ``decisions`` gives the review decisions so far; a target whose flag was decided may be flagged again.
 
     Flags are computed from small tables of cell and day counts to which every batch adds its own
     counts; the incidents of earlier batches are read again only to match tags.
     """
     spark = incidents.sparkSession
     has_tags = "mo_tags" in incidents.columns
-    prepare(spark, folder, {"entity_edges": EDGE_SCHEMA, "flags": FLAG_SCHEMA})
+    prepare(spark, folder, {"entity_nodes": NODE_SCHEMA, "entity_edges": EDGE_SCHEMA, "flags": FLAG_SCHEMA})
 
     def upto(table: str, batch: int) -> DataFrame:
         return read_all(spark, folder, table).where(F.col("batch") <= batch).drop("batch")
@@ -74,6 +98,7 @@ def run_enrichment(incidents: DataFrame, folder: str, checkpoint: str, as_of: Co
         write_batch(df, folder, "incidents", batch)
         fresh = own("incidents", batch)
         stamp = F.current_timestamp()
+        write_batch(entity_nodes(fresh, stamp), folder, "entity_nodes", batch)
         write_batch(entity_edges(fresh, stamp), folder, "entity_edges", batch)
         write_batch(grid_counts(fresh), folder, "cell_counts", batch)
         write_batch(type_days(fresh), folder, "type_days", batch)
@@ -83,15 +108,22 @@ def run_enrichment(incidents: DataFrame, folder: str, checkpoint: str, as_of: Co
             write_batch(match_edges(matches), folder, "mo_edges", batch)
         days = upto("type_days", batch)
         newest = days.agg(F.max("date")).scalar() if as_of is None else as_of
+        earlier = read_before(spark, folder, "flags", batch)
+        pending = earlier if decisions is None else current_flags(earlier, decisions())
         found = batch_flags(
-            own("cell_counts", batch), upto("cell_counts", batch), own("type_days", batch), days,
-            read_before(spark, folder, "flags", batch), newest, stamp, matches,
+            own("cell_counts", batch), upto("cell_counts", batch), own("type_days", batch), days, pending, newest, stamp, matches,
         )
-        write_batch(found, folder, "flags", batch)
+        write_batch(raised_in(found, batch), folder, "flags", batch)
 
     run_available(incidents.writeStream.foreachBatch(apply), checkpoint)
 
 
+def current_nodes(spark, folder: str) -> DataFrame:
+    """Entities by id, with the first and the last time they were met."""
+    nodes = read_all(spark, folder, "entity_nodes").drop("batch")
+    return upsert_nodes(nodes.limit(0), nodes)
+
+
 def current_edges(spark, folder: str) -> DataFrame:
     """Entity links by id; a replayed incident does not add weight."""
     edges = read_all(spark, folder, "entity_edges").drop("batch")

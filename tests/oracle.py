@@ -15,6 +15,8 @@ import duckdb
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+from caseweave.operators.scale import run_scope  # noqa: E402
+
 
 def connection(folder: str):
     con = duckdb.connect()
@@ -36,8 +38,9 @@ def rows_of(columns, rows):
 
 def compare(spark, con, folder: str, query, sql: str) -> str:
     """Empty when equal, else a short description of the difference."""
-    df = query(spark, folder)
-    left = rows_of(df.columns, [tuple(r) for r in df.collect()])
+    with run_scope(spark):
+        df = query(spark, folder)
+        left = rows_of(df.columns, [tuple(r) for r in df.collect()])
     result = con.execute(sql)
     columns = [c[0] for c in result.description]
     right = rows_of(columns, result.fetchall())

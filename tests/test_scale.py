@@ -71,3 +71,13 @@ def test_materialize_keeps_rows_and_cuts_lineage(spark):
     kept = scale.materialize(df)
     assert sorted(kept.collect()) == sorted(df.collect())
     assert "Range" not in kept._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_run_scope_removes_its_tables(spark):
+    import os
+
+    with scale.run_scope(spark):
+        kept = scale.materialize(spark.range(5))
+        paths = list(kept.inputFiles())
+        assert kept.count() == 5 and all(os.path.exists(p.removeprefix("file://")) for p in paths)
+    assert not any(os.path.exists(p.removeprefix("file://")) for p in paths)

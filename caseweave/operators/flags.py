@@ -175,14 +175,12 @@ def without_pending_target(candidates: DataFrame, flags: DataFrame) -> DataFrame
 
 def without_pending_type(candidates: DataFrame, flags: DataFrame, with_region: bool = False) -> DataFrame:
     """Drop trend candidates whose type occurs in the title of a pending flag, in any region unless
-    ``with_region``. Candidate types are a short vocabulary, so they travel to the flags as one
-    array; no join on a text condition is needed."""
-    vocabulary = candidates.select(F.col("target_id").alias("t")).distinct().agg(F.array_sort(F.collect_set("t")).alias("v")).scalar()
+    ``with_region``. Titles are cut into their stretches of the lengths that types have, and those are joined with the types by
+    equality; the work does not grow with the number of types."""
+    lengths = candidates.select(F.char_length("target_id").alias("n")).where("n > 0").distinct().agg(F.collect_set("n")).scalar()
     regions: Sequence[str] = ["jurisdiction_id"] if with_region else []
-    named = (
-        flags.where(F.col("status") == "PENDING")
-        .select(*regions, "title", F.explode(vocabulary).alias("target_id"))
-        .where(F.contains(F.col("title"), F.col("target_id")))
-        .select(*regions, "target_id")
-    )
+    titles = flags.where(F.col("status") == "PENDING").select(*regions, "title").distinct()
+    sized = titles.select(*regions, "title", F.explode(lengths).alias("_n")).where(F.char_length("title") >= F.col("_n"))
+    places = F.sequence(F.lit(1), F.char_length("title") - F.col("_n") + 1)
+    named = sized.select(*regions, F.explode(F.transform(places, lambda i: F.substr("title", i, F.col("_n")))).alias("target_id"))
     return candidates.join(named.distinct(), [*regions, "target_id"], "left_anti").select(*candidates.columns)

@@ -11,10 +11,11 @@ from pyspark.sql import types as T
 from .checks import InputError, id_column, require_columns
 from .scale import exact_quantiles
 
+# Text columns with more levels are no features unless ``max_levels`` says otherwise; ``dropped_columns`` lists them.
 MAX_LEVELS = 50
-# Distinct counts above this estimate are certainly above MAX_LEVELS; those columns are not counted
+# Distinct counts estimated above this multiple of the limit are certainly above it; those columns are not counted
 # exactly, so no wide distinct aggregation is ever needed.
-CERTAINLY_MANY = 4 * MAX_LEVELS
+CERTAINLY_MANY = 4
 
 # Fixed: identifiers and free text are never features.
 NEVER_FEATURES = ("incident_id", "id", "case_id", "mo_text", "description", "narrative")
@@ -51,9 +52,9 @@ def _text(c: str) -> Column:
     return F.col(c).cast("string")
 
 
-def feature_plan(df: DataFrame, columns: Sequence[str]) -> tuple[list[dict], list[dict]]:
+def feature_plan(df: DataFrame, columns: Sequence[str], max_levels: int = MAX_LEVELS) -> tuple[list[dict], list[dict]]:
     """(numeric, categorical) encodings. Runs aggregations whose results have one row per column or
-    at most MAX_LEVELS rows per categorical column."""
+    a bounded number of rows per categorical column."""
     numeric = [c for c in columns if _is_numeric(df, c)]
     other = [c for c in columns if not _is_numeric(df, c)]
     numbers: list[dict] = []
@@ -77,7 +78,7 @@ def feature_plan(df: DataFrame, columns: Sequence[str]) -> tuple[list[dict], lis
     categories: list[dict] = []
     if other:
         sketch = df.agg(*[F.approx_count_distinct(_text(c), 0.02).alias(c) for c in other]).first()
-        few = [c for c in other if 0 < sketch[c] <= CERTAINLY_MANY]
+        few = [c for c in other if 0 < sketch[c] <= CERTAINLY_MANY * max_levels]
         if few:
             levels = (
                 df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), _text(c).alias("v")) for c in few])).alias("e"))
@@ -89,7 +90,7 @@ def feature_plan(df: DataFrame, columns: Sequence[str]) -> tuple[list[dict], lis
                 seen = {r["v"] for r in levels if r["c"] == c}
                 known = sorted(v for v in seen if v is not None)
                 encoded = sorted(set(known) | ({"missing"} if None in seen else set()))
-                if len(known) <= MAX_LEVELS and len(encoded) > 1:
+                if len(known) <= max_levels and len(encoded) > 1:
                     categories.append({"column": c, "levels": encoded})
     if not numbers and not categories:
         raise InputError("no usable features remain: all columns are empty, constant or have too many levels")
@@ -109,11 +110,22 @@ def feature_columns(numbers: list[dict], categories: list[dict]) -> list[tuple[s
     return out
 
 
+def dropped_columns(df: DataFrame, columns: Sequence[str] | None = None, exclude: Sequence[str] = SENSITIVE, max_levels: int = MAX_LEVELS) -> DataFrame:
+    """(column, reason) of the chosen columns that are no features."""
+    chosen = select_features(df, columns, exclude)
+    numbers, categories = feature_plan(df, chosen, max_levels)
+    used = {p["column"] for p in [*numbers, *categories]}
+    left = [c for c in chosen if c not in used]
+    levels = df.agg(F.lit(0).alias("|"), *[F.approx_count_distinct(_text(c), 0.02).alias(c) for c in left]).first()
+    reason = lambda c: "more than " + str(max_levels) + " levels" if not _is_numeric(df, c) and levels[c] > 1 else "empty or constant"
+    return df.sparkSession.createDataFrame([(c, reason(c)) for c in left], "column string, reason string")
+
+
 def feature_matrix(
-    df: DataFrame, columns: Sequence[str] | None = None, keys: Sequence[str] = (), exclude: Sequence[str] = SENSITIVE
+    df: DataFrame, columns: Sequence[str] | None = None, keys: Sequence[str] = (), exclude: Sequence[str] = SENSITIVE, max_levels: int = MAX_LEVELS
 ) -> DataFrame:
     """(incident_id, features array<double>) and the feature names in the column's metadata."""
-    encoded = feature_columns(*feature_plan(df, select_features(df, columns, exclude)))
+    encoded = feature_columns(*feature_plan(df, select_features(df, columns, exclude), max_levels))
     return df.select(
         id_column(df, keys).alias("incident_id"),
         F.array(*[v for _, v in encoded]).alias("features", metadata={"names": [n for n, _ in encoded]}),

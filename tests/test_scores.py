@@ -98,3 +98,11 @@ def test_bad_thresholds_and_bands(spark):
 
     assert [r[0] for r in df.select(risk_band(F.col("risk_score"))).collect()] == ["Low", "Moderate", "High", "Critical"]
     assert [r[0] for r in df.select(dashboard_band(F.col("risk_score"))).collect()] == ["low", "low", "high", "critical"]
+
+
+def test_dropped_columns_are_listed(spark):
+    df = spark.range(200).select(F.col("id").cast("string").alias("many"), F.lit("x").alias("same"), (F.col("id") % 7).alias("number"), F.lit(None).cast("double").alias("empty"))
+    names = ["many", "same", "number", "empty"]
+    assert {tuple(r) for r in features.dropped_columns(df, names).collect()} == {("many", "more than 50 levels"), ("same", "empty or constant"), ("empty", "empty or constant")}
+    wide = df.withColumn("incident_id", F.col("many"))
+    assert len(features.feature_names(features.feature_matrix(wide, names, max_levels=300))) == 201

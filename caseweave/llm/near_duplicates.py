@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import materialize, slices
+from .common import materialize, slices, stored
 
 SEED = 42
 SHINGLE = 3
@@ -166,7 +166,7 @@ def links_within(prints: DataFrame, radius: int = RADIUS, shard: int = SHARD) ->
     """(u, v) links between distinct fingerprints ``fp`` whose components are those of all pairs within ``radius`` (2 at most)."""
     if not 0 <= radius <= 2:
         raise ValueError("shards are cut for a radius of 2 at most")
-    rows = prints.select("fp", F.lit(0).alias("at"))
+    rows, n_rows = prints.select("fp", F.lit(0).alias("at")), prints.count()
     found: DataFrame | None = None
     for level, masks in enumerate(fixed_bits()):
         last = level == LEVELS - 1
@@ -174,7 +174,7 @@ def links_within(prints: DataFrame, radius: int = RADIUS, shard: int = SHARD) ->
         dealt = rows.select("fp", F.explode(F.sequence(F.col("at") * 6, F.col("at") * 6 + 5)).alias("at")).select(
             "fp", "at", F.col("fp").bitwiseAND(F.element_at(fixed, F.col("at") + 1)).alias("bits")
         )
-        sizes = materialize(dealt.groupBy("at", "bits").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+        sizes = stored(dealt.groupBy("at", "bits").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), 3 * n_rows)
         placed = dealt.join(sizes, ["at", "bits"])
         small = placed if last else placed.where(F.col("n") <= shard)
         by_shard = small.select("at", "bits", "fp").repartition("at", "bits").sortWithinPartitions("at", "bits")
@@ -182,19 +182,21 @@ def links_within(prints: DataFrame, radius: int = RADIUS, shard: int = SHARD) ->
         found = links if found is None else found.unionByName(links)
         if last or sizes.where(F.col("n") > shard).isEmpty():
             break
-        rows = materialize(placed.where(F.col("n") > shard).select("fp", "at"))
+        rows = stored(placed.where(F.col("n") > shard).select("fp", "at"), 6 * n_rows)
+        n_rows = rows.count()
     return found
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, shard: int = SHARD) -> DataFrame:
     """(key, fingerprint, component_id) of every row; ``component_id`` is the least key that links reach."""
     prints = materialize(fingerprints(docs, key, text, shingle))
-    least = materialize(prints.groupBy("fp").agg(F.min("key").alias("least")))
+    rows = prints.count()
+    least = stored(prints.groupBy("fp").agg(F.min("key").alias("least")), rows)
     links = links_within(least, radius, shard)
     ends = links.select(F.col("u").alias("fp")).unionByName(links.select(F.col("v").alias("fp"))).distinct()
-    roots = materialize(connected_components(links, ends, "u", "v", "fp").withColumnRenamed("component", "root"))
-    first = materialize(least.join(roots, "fp").groupBy("root").agg(F.min("least").alias("component")))
-    named = materialize(least.join(roots.join(first, "root").drop("root"), "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id")))
+    roots = stored(connected_components(links, ends, "u", "v", "fp").withColumnRenamed("component", "root"), rows)
+    first = stored(least.join(roots, "fp").groupBy("root").agg(F.min("least").alias("component")), rows)
+    named = stored(least.join(roots.join(first, "root").drop("root"), "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id")), rows)
     return prints.join(named, "fp").select(
         F.col("key").alias(key), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )

@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, blank_words, crc32_of, materialize, once
+from .common import BLANKS, blank_words, crc32_of, materialize, once, stored
 
 RISK = 0.02
 DOUBT = 0.05
@@ -170,14 +170,14 @@ def with_verdict(measured: DataFrame, cutoffs: DataFrame, stratum: str = "stratu
 def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang", risk: float = RISK, doubt: float = DOUBT) -> DataFrame:
     """(key, base measures, base_failed, kept) of every row."""
     measured = materialize(with_base(docs.select(key, text, stratum_of(stratum).alias("stratum")), text).drop(text))
-    cutoffs = materialize(fit_cutoffs(measured, labels, key, risk=risk, doubt=doubt))
+    cutoffs = stored(fit_cutoffs(measured, labels, key, risk=risk, doubt=doubt), 1)  # a row per stratum
     return with_verdict(measured, cutoffs).select(key, *BASE, "base_failed", "kept")
 
 
 def keep(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang", risk: float = RISK, doubt: float = DOUBT) -> DataFrame:
     """The rows of ``docs`` that pass. Texts are measured twice, to fit and to judge, and never shuffled."""
     measured = materialize(with_base(docs.select(key, text, stratum_of(stratum).alias("stratum")), text).drop(text))
-    cutoffs = materialize(fit_cutoffs(measured, labels, key, risk=risk, doubt=doubt))
+    cutoffs = stored(fit_cutoffs(measured, labels, key, risk=risk, doubt=doubt), 1)  # a row per stratum
     whole = F.struct(*docs.columns)
     fresh = with_base(docs.select(F.col(text).alias("text"), stratum_of(stratum).alias("stratum"), whole.alias("_row")))
     return with_verdict(fresh, cutoffs).where("kept").select("_row.*")

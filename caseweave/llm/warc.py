@@ -98,7 +98,7 @@ def write_warc(pages: DataFrame, folder: str | None = None, least: int = LEAST,
     """Write a record per row; returns the manifest (path, bytes, records)."""
     folder = folder or work_folder(pages.sparkSession, "warc")
     rows = with_revisits(pages, least, key, url, html)
-    return materialize(rows.mapInArrow(written(folder, file_bytes), "path string, bytes bigint, records bigint"))
+    return materialize(rows.mapInArrow(written(folder, file_bytes), "path string, bytes bigint, records bigint").repartition(1))  # a row per file
 
 
 def archives(spark, folder: str) -> DataFrame:

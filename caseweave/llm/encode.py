@@ -84,7 +84,7 @@ class TextEncoder:
         """Ids of a text as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        if self.kind == "whole":
+        if self.kind == "whole" or self._respelled(text):
             return self._whole(text)
         self.seen.turn()
         if len(self.heads) > self.remembered // 10:
@@ -114,6 +114,13 @@ class TextEncoder:
             return [first, *(r[1:] if r[0] == " " else r for r in rest)]
         return text.replace("\n", " \n").split(" ")
 
+    def _respelled(self, text: str) -> bool:
+        """Whether the lower-casing of ``cut`` makes or unmakes a special string of the text; stretches of such a text are not remembered."""
+        if self.kind != "dropped" or not text.isascii():
+            return False
+        lowered = text.lower()
+        return any((s in lowered or s in text) and [p.lower() for p in text.split(s)] != lowered.split(s) for s in self.specials)
+
     def _spelled(self, key: str) -> str:
         return key if self.kind == "dropped" or key[:1] == "\n" else " " + key
 

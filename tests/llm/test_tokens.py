@@ -45,6 +45,17 @@ def test_encoder_equals_library(path, remembered):
         assert encoder.encode(text) == ids(text).tobytes(), repr(text)
 
 
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_special_strings_in_capitals(path):
+    """Lower-cased they equal the special string, which they are not; words around and after them keep their own ids."""
+    encoder, ids = TextEncoder(path), library(path)
+    for text in (
+        "hello <|ENDOFTEXT|> planet-9 a,b see x.y", "x.y a,b planet-9", "<|EndOfText|>", "q-1 <|endoftext|> r-2 <|ENDOFTEXT|>z s-3", "q-1 r-2 s-3 <|endoftext|>",
+        "é <|ENDOFTEXT|> t-4 u-5", "<|ENDOFTEXT|><|endoftext|>", "<|endoftext|><|ENDOFTEXT|>", "a <|endoftext|> B-6",
+    ):
+        assert encoder.encode(text) == ids(text).tobytes(), text
+
+
 def test_counter_equals_library():
     ids = library(BYTES)
     for remembered in (1000, 20):

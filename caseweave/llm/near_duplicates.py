@@ -203,6 +203,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """One row of each group of near-duplicates: that of the least key. Rows without a key go: they cannot be named."""
-    kept = near_duplicates(docs, key, text, radius).where(F.col(key) == F.col("component_id")).select(key).distinct()
-    return docs.join(kept, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
+    """One row of each group of near-duplicates: that of the least key, null last; of rows with that key the one whose text has the least hash.
+
+    The rows are written with a number each, which ranks last and by which the survivors are found, so neither null nor repeated keys lose a group.
+    """
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")))
+    own = F.col("doc").getField
+    rank = F.struct(own(key).isNull().alias("nameless"), own(key).alias("key"), F.xxhash64(own(text)).alias("digest"), "row")
+    groups = near_duplicates(rows.select(rank.alias("rank"), own(text).alias("text")), "rank", "text", radius)
+    kept = groups.where(F.col("rank.row") == F.col("component_id.row")).select("rank.row")
+    return rows.join(kept, "row", "left_semi").select("doc.*")

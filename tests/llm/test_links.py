@@ -62,6 +62,21 @@ def test_near_duplicates(spark):
     assert near_duplicates.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_one_of_each_group_stays_without_keys(spark):
+    """Rows without a key, and rows of one key whose texts are in different groups, stand for their groups like any other."""
+    a, b, c, d = (spelled(40, "abcdefghij") for _ in range(4))
+    rows = [(None, a), (None, a), (None, b), (5, b), (7, c), (7, d), (7, d), (8, d), (None, None), (None, "")]
+    schema = "doc_id bigint, text string, row string, doc string"
+    for order in (rows, rows[::-1]):
+        kept = near_duplicates.keep_first(spark.createDataFrame([(k, t, "clash", "clash") for k, t in order], schema).repartition(3))
+        got = [(r.doc_id, r.text or "") for r in kept.collect()]
+        assert sorted(got, key=repr) == sorted([(None, a), (5, b), (7, c), (7, d), (None, "")], key=repr)
+    alike = [(1, " ".join(["same"] * n)) for n in (30, 31)]  # of one key and one group
+    assert fingerprint(alike[0][1]) == fingerprint(alike[1][1])
+    stays = {near_duplicates.keep_first(spark.createDataFrame(o, "doc_id bigint, text string")).first().text for o in (alike, alike[::-1])}
+    assert len(stays) == 1
+
+
 def test_chains_link_through_every_shard_level(spark):
     """Fingerprints that differ in one or two bits of any places; chains are longer than the radius."""
     prints = {0: 0}

@@ -163,16 +163,38 @@ class Members:
         return starts
 
     def owned(self, begin: int, end: int) -> list[int]:
-        """Starts of the records that start in [begin, end)."""
+        """Starts of the records that start in [begin, end). A candidate that opens a record but whose chain breaks off is either within a record or
+        before a break of the archive; which of them, the members from the start of the file tell."""
         at = self.next_magic(begin, end)
         while at < end:
-            if self.opens_record(at) and (starts := self.chain(at, end)) is not None:
-                return starts
+            if self.opens_record(at):
+                starts = self.chain(at, end)
+                return self.walked(begin, end) if starts is None else starts
             if at == 0:
-                raise ValueError("the archive is broken: its members do not follow one another")
+                raise broken(0)
             at = self.next_magic(at + 1, end)
         return []
 
+    def walked(self, begin: int, end: int) -> list[int]:
+        """The same by following the members from the start of the file; an error if they break off."""
+        at, starts = 0, []
+        while at < end:
+            if not self.opens_record(at):
+                raise broken(at)
+            if at >= begin:
+                starts.append(at)
+            try:
+                at = self.take(at, False)[1]
+            except zlib.error as error:
+                raise broken(at) from error
+        if at < self.size and not self.opens_record(at):
+            raise broken(at)
+        return starts
+
+
+def broken(at: int) -> ValueError:
+    return ValueError(f"the archive is broken: its members do not follow one another at byte {at}")
+
 
 def parsed(data: bytes) -> tuple:
     """(type, id, target, refers to, digest, http length, payload) of one record."""

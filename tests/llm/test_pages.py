@@ -67,6 +67,33 @@ def test_broken_archive_is_an_error():
         warc.Members(io.BytesIO(plain), len(plain)).owned(0, len(plain))
 
 
+@pytest.mark.parametrize("damage", ["cut off", "padded", "within", "between"])
+def test_archive_broken_after_the_first_range_is_an_error(damage):
+    """The range that holds the record before the break reports it, whichever range that is."""
+    dice = random.Random(3)
+    members = [warc.member(warc.as_record(i, "u", dice.randbytes(3000), "0", None)) for i in range(8)]
+    if damage == "cut off":
+        members[-1] = members[-1][:-20]
+    elif damage == "padded":
+        members.append(b"\0" * 100)
+    elif damage == "within":
+        members[5] = members[5][:1500] + b"\0" * 100 + members[5][1600:]
+    else:
+        members.insert(5, b"junk")
+    data = b"".join(members)
+    first = len(members[0]) + 1  # in no case does the break touch the first range
+    ends = sorted({first, *range(first, len(data), 7000), len(data)})
+    errors = 0
+    for begin, end in zip([0, *ends], ends):
+        try:
+            warc.Members(io.BytesIO(data), len(data)).owned(begin, end)
+        except ValueError:
+            errors += 1
+    assert errors
+    with pytest.raises(ValueError):
+        warc.Members(io.BytesIO(data), len(data)).owned(first, len(data))
+
+
 def test_lookup_table():
     names = [f"s{i}" for i in range(7)]
     table = sharding.lookup_table(names, 1009)

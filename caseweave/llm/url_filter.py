@@ -4,9 +4,9 @@ Host words: the labels of a host are split into words by a unigram Viterbi searc
 cut into its possible words, those are joined with the counts, and the search runs over the words that exist, so neither the vocabulary nor
 the labels go to any one place.
 
-Naive Bayes: the urls that a rule decides are the examples. Tokens are host words and path tokens (numbers become ``<n>``), hashed into BUCKETS
-features, which bounds the model whatever the data; counts are multinomial with add-one smoothing. A url that no rule decides is blocked
-if the log odds of its tokens favour block.
+Naive Bayes: the urls that a rule decides are the examples. Tokens are host words and path tokens (numbers become ``<n>``); each token is counted
+by itself, multinomial with add-one smoothing over the distinct tokens of all urls. The counts stay a table that the tokens of the urls are joined
+with. A url that no rule decides is blocked if the log odds of its tokens favour block.
 
 Edges: a null url, or one without ``://``, has an empty host and path, fits no rule and is judged by the class shares alone. Without any example, or
 with a tie, a url is allowed. Null page texts add no words. Repeated rows are judged each. An empty table gives an empty result. Extra columns
@@ -15,19 +15,19 @@ are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.scale import skew_safe_join
 from .common import materialize
 
 LONGEST = 20
-BUCKETS = 1 << 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host, path).
 RULES = [
@@ -116,38 +116,33 @@ def url_tokens(words: Column, path: Column) -> Column:
     return F.concat(F.transform(F.coalesce(words, F.array().cast("array<string>")), lambda w: F.concat(F.lit("h:"), w)), named)
 
 
-def bucket_of(token: Column, buckets: int = BUCKETS) -> Column:
-    return F.pmod(F.xxhash64(token), F.lit(buckets)).cast("int")
+def fit_odds(urls: DataFrame) -> tuple[DataFrame, float]:
+    """(token, odds), the log odds of block of every token of ``urls`` (tokens, listed), and the log odds of the class shares."""
+    blocked, allowed = F.count(F.when(F.col("listed") == "block", 1)), F.count(F.when(F.col("listed") == "allow", 1))
+    classes = urls.agg(blocked, allowed).first()
+    counts = materialize(urls.select("listed", F.explode("tokens").alias("token")).groupBy("token").agg(blocked.alias("block"), allowed.alias("allow")))
+    size, *sums = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("block"), F.lit(0)), F.coalesce(F.sum("allow"), F.lit(0))).first()
+    logs = [F.log(F.col(c) + 1.0) - F.lit(math.log(max(1, n + size))) for c, n in zip(("block", "allow"), sums)]
+    return counts.select("token", (logs[0] - logs[1]).alias("odds")), math.log((classes[0] + 1) / (classes[1] + 1))
 
 
-def fit_odds(examples: DataFrame, buckets: int = BUCKETS) -> tuple[np.ndarray, float]:
-    """Log odds of block per bucket, and of the class shares, from (tokens, listed). At most two counts per bucket reach the driver."""
-    blocked = F.col("listed") == "block"
-    classes = examples.agg(F.count(F.when(blocked, 1)), F.count(F.when(~blocked, 1))).first()
-    tokens = examples.select("listed", F.explode("tokens").alias("t")).groupBy(bucket_of(F.col("t"), buckets).alias("b"))
-    counts = np.zeros((2, buckets))
-    for b, block, allow in tokens.agg(F.count(F.when(blocked, 1)), F.count(F.when(~blocked, 1))).collect():
-        counts[:, b] = block, allow
-    logs = np.log(counts + 1) - np.log(counts.sum(axis=1, keepdims=True) + buckets)
-    return (logs[0] - logs[1]).astype(np.float64), float(np.log((classes[0] + 1) / (classes[1] + 1)))
-
-
-def judged(odds: np.ndarray, prior: float) -> Callable[[Column], Column]:
-    def run(buckets: pd.Series) -> pd.Series:
-        return pd.Series([float(prior + odds[np.asarray(b, dtype=np.int64)].sum()) for b in buckets], dtype="float64")
-
-    run.__annotations__ = {"buckets": pd.Series, "return": pd.Series}
-    return F.pandas_udf(run, "double")
+def judged(urls: DataFrame, odds: DataFrame, prior: float) -> DataFrame:
+    """(row, block_odds) of the ``urls`` (row, tokens) that have tokens; odds are added in order of size, so that their sum does not depend on the run."""
+    found = skew_safe_join(urls.select("row", F.explode("tokens").alias("token")), odds, ["token"])
+    every = found.groupBy("row").agg(F.sort_array(F.collect_list("odds")).alias("every"))
+    return every.select("row", F.aggregate("every", F.lit(prior), lambda total, x: total + x).alias("block_odds"))
 
 
 def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, key: str = "page_id", url: str = "url", text: str | None = "html") -> DataFrame:
     """(key, host, path, rule, verdict, block_odds) of every row; without ``text`` host labels are words as they are."""
-    rows = materialize(pages.select(key, F.col(url).alias("url")).select(key, *[c.alias(n) for n, c in host_and_path(F.col("url")).items()]))
+    parts = [c.alias(n) for n, c in host_and_path(F.col("url")).items()]
+    rows = materialize(pages.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(url).alias("url")).select("row", "key", *parts))
     texts = pages.select(F.col(text).alias("text")) if text else pages.select(F.lit("").alias("text"))
     counts = materialize(word_counts(texts, "text"))
     words = materialize(host_words(rows.where("host <> ''").select("host").distinct(), counts))
     tokens = rows.withColumns(by_rules(rules)).join(words, "host", "left").withColumn("tokens", url_tokens(F.col("words"), F.col("path"))).drop("words")
-    odds, prior = fit_odds(tokens.where("listed is not null"))
-    scored = tokens.withColumn("block_odds", judged(odds, prior)(F.transform("tokens", lambda t: bucket_of(t))))
+    tokens = materialize(tokens)
+    odds, prior = fit_odds(tokens)
+    scored = tokens.join(judged(tokens, odds, prior), "row", "left").withColumn("block_odds", F.coalesce("block_odds", F.lit(prior)))
     method = F.when(F.col("block_odds") > 0, "block").otherwise("allow")
-    return scored.select(key, "host", "path", "rule", F.coalesce("listed", method).alias("verdict"), "block_odds")
+    return scored.select(F.col("key").alias(key), "host", "path", "rule", F.coalesce("listed", method).alias("verdict"), "block_odds")

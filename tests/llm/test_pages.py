@@ -161,6 +161,32 @@ def test_bayes_learns_paths(spark):
     assert any(r.rule is None for r in out)
 
 
+def test_bayes_counts_every_token_by_itself(spark):
+    """Log odds against exact counts; tokens that no example has keep to themselves."""
+    urls = [f"http://h{i % 7}.org/{DICE.choice(['spam', 'ham', 'x'])}/t{DICE.randint(0, 60)}/" for i in range(150)] + [None, "http://new.net/unseen"]
+    rules = [("block", f"h{k}.org", "/spam/") for k in range(5)] + [("allow", f"h{k}.org", "/ham/") for k in range(4)]
+    rows = spark.createDataFrame([(i % 140, u) for i, u in enumerate(urls)], "page_id bigint, url string")
+    counts, words = {}, {}
+    classes = {"block": 0, "allow": 0}
+    out = url_filter.filter_urls(rows, rules, text=None).collect()
+    split = {label: url_filter.best_split(label, {}, 1.0) for label in [f"h{k}" for k in range(7)] + ["org", "new", "net"]}
+    for url in urls:
+        host, path = url.split("/", 3)[2:] if url else ("", "")
+        words[url] = [f"h:{w}" for label in host.split(".") if label for w in split[label]] + [f"p:{p}" for p in path.split("/") if p]
+        listed = next((v for v, h, p in rules if h == host and f"/{path}".startswith(p)), None)
+        if listed:
+            classes[listed] += 1
+        for token in words[url]:
+            counts.setdefault(token, {"block": 0, "allow": 0})
+            if listed:
+                counts[token][listed] += 1
+    total = {c: sum(n[c] for n in counts.values()) + len(counts) for c in classes}
+    odds = {t: np.log((n["block"] + 1) / total["block"]) - np.log((n["allow"] + 1) / total["allow"]) for t, n in counts.items()}
+    want = [np.log((classes["block"] + 1) / (classes["allow"] + 1)) + sum(odds[t] for t in words[u]) for u in urls]
+    assert np.allclose(sorted(r.block_odds for r in out), sorted(want))
+    assert all(r.rule or r.verdict == ("block" if r.block_odds > 0 else "allow") for r in out)
+
+
 def test_vectors_are_finite():
     for text in (None, "", " \n", "a", "\n\n", "ÉÀ 日本", LONG):
         assert np.isfinite(quality_classifier.statistics(text)).all()

@@ -19,7 +19,6 @@ import math
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +26,6 @@ from pyspark.sql import functions as F
 from ..operators.scale import skew_safe_join
 from .common import materialize
 
-LONGEST = 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host, path).
 RULES = [
@@ -56,19 +54,20 @@ def by_rules(rules: Sequence[tuple[str, str, str]], host: str = "host", path: st
 
 
 def word_counts(texts: DataFrame, text: str) -> DataFrame:
-    """(word, n) over all texts: runs of 1 to LONGEST letters or digits, lower-cased."""
-    words = texts.select(F.explode(F.split(F.lower(F.col(text)), r"[^a-z0-9]+")).alias("word"))
-    return words.where((F.col("word") != "") & (F.length("word") <= LONGEST)).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    """(word, n) over all texts: runs of letters with their marks, and digits, of any script and length, lower-cased."""
+    words = texts.select(F.explode(F.split(F.lower(F.col(text)), r"[^\p{L}\p{M}\p{N}]+")).alias("word"))
+    return words.where(F.col("word") != "").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def best_split(label: str, counts: dict[str, int], total: float) -> list[str]:
     """The most likely words of a label; an unknown stretch of k letters costs as much as a word of 1 / (total 10^k)."""
     best: list[tuple[float, int]] = [(0.0, 0)]
+    unknown, letter = math.log(total), math.log(10.0)
     for end in range(1, len(label) + 1):
         options = []
-        for start in range(max(0, end - LONGEST), end):
+        for start in range(end):
             n = counts.get(label[start:end])
-            cost = np.log(total / n) if n else np.log(total) + (end - start) * np.log(10.0)
+            cost = math.log(total / n) if n else unknown + (end - start) * letter
             options.append((best[start][0] + cost, start))
         best.append(min(options))
     words, end = [], len(label)
@@ -91,15 +90,15 @@ def segmented(total: float) -> Callable:
 
 def label_words(labels: DataFrame, counts: DataFrame) -> DataFrame:
     """(label, words) of distinct ``labels`` (label), by ``counts`` (word, n)."""
-    total = float(counts.agg(F.coalesce(F.sum("n"), F.lit(0)) + 1).first()[0])
+    total, longest = counts.agg(F.coalesce(F.sum("n"), F.lit(0)) + 1, F.coalesce(F.max(F.length("word")), F.lit(0))).first()
     size = F.length("label")
-    stretch = lambda start: F.transform(F.sequence(F.lit(1), F.least(F.lit(LONGEST), size - start)), lambda n: F.substr(F.col("label"), start + 1, n))
-    cuts = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), size - 1), stretch)))
-    pieces = labels.where("label <> ''").select("label", F.explode(cuts).alias("word"))
-    known = pieces.join(counts, "word").groupBy("label").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+    starts = labels.where("label <> ''").select("label", F.explode(F.sequence(F.lit(1), size)).alias("start"))
+    lengths = F.sequence(F.lit(1), F.least(F.lit(max(1, longest)), size - F.col("start") + 1))  # of the known words, up to the label's own
+    pieces = starts.select("label", "start", F.explode(lengths).alias("length")).select("label", F.substr("label", "start", "length").alias("word"))
+    known = pieces.join(counts, "word").groupBy("label").agg(F.collect_set(F.struct("word", "n")).alias("known"))
     nothing = F.array().cast("array<struct<word:string,n:bigint>>")
     every = labels.where("label <> ''").join(known, "label", "left").select("label", F.coalesce("known", nothing).alias("known"))
-    return every.mapInArrow(segmented(total), "label string, words array<string>")
+    return every.mapInArrow(segmented(float(total)), "label string, words array<string>")
 
 
 def host_words(hosts: DataFrame, counts: DataFrame) -> DataFrame:

@@ -153,6 +153,18 @@ def test_segmentation():
     assert url_filter.best_split("", counts, 1000.0) == []
 
 
+def test_long_and_accented_words_are_known(spark):
+    long = "donaudampfschifffahrtsgesellschaft"
+    assert url_filter.best_split(long, {long: 5, "schiff": 9}, 100.0) == [long]
+    assert url_filter.best_split("q" * 30, {}, 100.0) == ["q" * 30]
+    texts = spark.createDataFrame([(f"Die {long.upper()}, café-société; 東京 e\u0301te {'w' * 70} " * 4,)], "html string")
+    counts = url_filter.word_counts(texts, "html")
+    assert {r.word: r.n for r in counts.collect()} == {w: 4 for w in ("die", long, "café", "société", "東京", "e\u0301te", "w" * 70)}
+    labels = ["meine" + long, "cafésociété", "東京", "die" + "w" * 70]
+    out = {r.label: r.words for r in url_filter.label_words(spark.createDataFrame([(x,) for x in labels], "label string"), counts).collect()}
+    assert out == {labels[0]: ["meine", long], labels[1]: ["café", "société"], "東京": ["東京"], labels[3]: ["die", "w" * 70]}
+
+
 def test_bayes_learns_paths(spark):
     rows = [(i, f"http://h{i % 7}.org/{'spam' if i % 2 else 'ham'}/{i}") for i in range(40)]
     rules = [("block", f"h{k}.org", "/spam/") for k in range(5)] + [("allow", f"h{k}.org", "/ham/") for k in range(5)]

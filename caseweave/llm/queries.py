@@ -6,7 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, near_duplicates, packing, quality_classifier, quality_rules, sharding, token_blocks, token_counts, url_filter, warc
+from . import (
+    conversation_repair, decontamination, near_duplicates, packing, periodic_runs, quality_classifier, quality_rules, repeated_windows, sharding,
+    token_blocks, token_counts, url_filter, warc,
+)
 from .common import table
 
 SHARDS = [f"shard-{n:02d}" for n in range(16)]
@@ -75,6 +78,23 @@ def op10_url_verdicts(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, folder, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """The periodic runs of every document, every tenth of which was looped before."""
+    return periodic_runs.digests(periodic_runs.periodic_runs(periodic_runs.looped(table(spark, folder, "documents"))))
+
+
+def op12_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the passages of 35 words that occur again."""
+    found = repeated_windows.repeated_windows(table(spark, folder, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op13_repair_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    """Faults and the cheapest repair of every conversation after damage."""
+    return conversation_repair.audited(table(spark, folder, "conversations"))
+
+
 WARC_SQL = """
 WITH pages_ AS (
   SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
@@ -124,4 +144,7 @@ QUERIES = {
     "op8_near_duplicates": (op8_near_duplicates, None),
     "op9_quality_rules": (op9_quality_rules, None),
     "op10_url_verdicts": (op10_url_verdicts, None),
+    "op11_periodic_runs": (op11_periodic_runs, None),
+    "op12_repeated_passages": (op12_repeated_passages, None),
+    "op13_repair_conversations": (op13_repair_conversations, None),
 }

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.texts import natural_order
 
-OPEN_STATUSES = ("OPEN", "UNDER_INVESTIGATION")
+# Every spelling of a status in which a case is still worked on.
+OPEN_STATUSES = ("OPEN", "UNDER_INVESTIGATION", "UNDER_REVIEW")
 
 # What each role may use.
 ROLE_FEATURES = {

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import labels
@@ -145,6 +145,14 @@ def grid_counts(incidents: DataFrame) -> DataFrame:
     )
 
 
+def count_merge() -> list[Column]:
+    """What makes several rows of ``grid_counts`` with one key one row."""
+    return [
+        F.sum("n").alias("n"), F.min_by("latitude", "first_id").alias("latitude"), F.min_by("longitude", "first_id").alias("longitude"),
+        F.min("first_id").alias("first_id"),
+    ]
+
+
 def hotspots_of_counts(counts: DataFrame, min_incidents: int = 3, scope: Sequence[str] = ()) -> DataFrame:
     """Cells with at least ``min_incidents`` rows. Members are not listed inside the row, where one
     busy cell would hold an unbounded array; see ``grid_members``."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import MinMaxScaler, OneHotEncoder, StringIndexer, TargetEncoder, VectorAssembler
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,10 +13,9 @@ from pyspark.sql import functions as F
 from ..functions.numbers import min_max
 from ..functions.timeparts import six_hour_bucket
 from .radius import neighbour_counts
-from .scale import skew_safe_join
+from .scale import materialize, skew_safe_join
 
 BUCKETS = ("Night", "Morning", "Afternoon", "Evening")
-MODEL_COLUMNS = ["station_ratio", "mo_weight", "spatial_density_1km", "prior_offender", "property_loss_scaled"]
 
 
 def station_ratio(incidents: DataFrame, as_of: Column, days: int = 30, baseline_days: int = 365) -> DataFrame:
@@ -53,22 +52,50 @@ def model_features(incidents: DataFrame, as_of: Column, category: str, target: C
     )
 
 
-def train_tier_model(features: DataFrame, label: str = "target", folds: int = 5, seed: int = 42, trees: int = 50) -> tuple[PipelineModel, dict[str, float]]:
-    """80/20 split, cross-validation on the training part, metrics on the held-out part."""
-    train, test = features.randomSplit([0.8, 0.2], seed)
-    forest = RandomForestClassifier(labelCol="_label", featuresCol="_x", seed=seed, numTrees=trees)
-    stages = [
-        StringIndexer(inputCol=label, outputCol="_label", handleInvalid="keep", stringOrderType="alphabetAsc"),
-        StringIndexer(inputCol="time_bucket", outputCol="_bucket", handleInvalid="keep", stringOrderType="alphabetAsc"),
+def raw_features(incidents: DataFrame, as_of: Column, category: str, prior: Column, target: Column, label: Column, density: DataFrame | None = None) -> DataFrame:
+    """What the model's own stages start from: no column is made from the target or from the range of other rows' losses."""
+    near = neighbour_counts(incidents, 1000.0) if density is None else density
+    placed = skew_safe_join(incidents, near.select("latitude", "longitude", F.col("neighbours").alias("spatial_density_1km")), ["latitude", "longitude"], "left")
+    return placed.join(station_ratio(incidents, as_of), "police_station", "left").select(
+        "incident_id", "station_ratio", F.col(category).alias("category"), F.coalesce("spatial_density_1km", F.lit(0)).cast("double").alias("spatial_density_1km"),
+        prior.cast("double").alias("prior_offender"), F.col("property_loss").cast("double").alias("property_loss"),
+        six_hour_bucket(F.col("occurrence_datetime")).alias("time_bucket"), target.cast("double").alias("target"), label.alias("label"),
+    )
+
+
+def held_out(key: Column, share: int = 20) -> Column:
+    """Whether a row is kept from training: by its key alone, so neither order nor other columns move it."""
+    return F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("bigint") % 100 < share
+
+
+def model_stages(forest: RandomForestClassifier, smoothing: float = 10.0) -> list:
+    """Encoders and scaler are stages, so every fold fits them on its own training rows. The share of targets per category is smoothed toward that of all."""
+    index = {"handleInvalid": "keep", "stringOrderType": "alphabetAsc"}
+    return [
+        StringIndexer(inputCol="label", outputCol="_label", **index),
+        StringIndexer(inputCol="category", outputCol="_category", **index),
+        TargetEncoder(inputCol="_category", outputCol="mo_weight", labelCol="target", targetType="continuous", smoothing=smoothing, handleInvalid="keep"),
+        VectorAssembler(inputCols=["property_loss"], outputCol="_loss", handleInvalid="keep"),
+        MinMaxScaler(inputCol="_loss", outputCol="_loss_scaled"),
+        StringIndexer(inputCol="time_bucket", outputCol="_bucket", **index),
         OneHotEncoder(inputCol="_bucket", outputCol="_bucket_hot"),
-        VectorAssembler(inputCols=[*MODEL_COLUMNS, "_bucket_hot"], outputCol="_x", handleInvalid="keep"),
+        VectorAssembler(inputCols=["station_ratio", "mo_weight", "spatial_density_1km", "prior_offender", "_loss_scaled", "_bucket_hot"], outputCol="_x", handleInvalid="keep"),
         forest,
     ]
+
+
+def train_tier_model(rows: DataFrame, folds: int = 5, seed: int = 42, trees: int = 50, key: str = "incident_id") -> tuple[PipelineModel, DataFrame]:
+    """Cross-validation on the training part of ``raw_features``; the model and (metric, value) on the held-out part, read once."""
+    marked = materialize(rows.withColumn("_held", held_out(F.col(key))))
+    train, test = marked.where("not _held").drop("_held"), marked.where("_held").drop("_held")
+    forest = RandomForestClassifier(labelCol="_label", featuresCol="_x", seed=seed, numTrees=trees)
     f1 = MulticlassClassificationEvaluator(labelCol="_label", metricName="f1")
     grid = ParamGridBuilder().addGrid(forest.maxDepth, [4, 8]).build()
-    best = CrossValidator(estimator=Pipeline(stages=stages), estimatorParamMaps=grid, evaluator=f1, numFolds=folds, seed=seed).fit(train).bestModel
-    scored = best.transform(test)
-    metrics = {"f1": f1.evaluate(scored)}
-    if features.select(label).distinct().limit(3).count() == 2:
-        metrics["auc"] = BinaryClassificationEvaluator(labelCol="_label").evaluate(scored)
-    return best, metrics
+    fitted = CrossValidator(estimator=Pipeline(stages=model_stages(forest)), estimatorParamMaps=grid, evaluator=f1, numFolds=folds, seed=seed).fit(train)
+    scored = materialize(fitted.bestModel.transform(test).select("_label", "rawPrediction", "probability", "prediction"))
+    sizes = {r["_held"]: r["count"] for r in marked.groupBy("_held").count().collect()}
+    values = {"train_rows": float(sizes.get(False, 0)), "held_out_rows": float(sizes.get(True, 0)), "validation_f1": max(fitted.avgMetrics), "f1": f1.evaluate(scored)}
+    if len(fitted.bestModel.stages[0].labels) == 2:
+        values["auc"] = BinaryClassificationEvaluator(labelCol="_label").evaluate(scored)
+    metrics = rows.sparkSession.createDataFrame(list(values.items()), "metric string, value double")
+    return fitted.bestModel, metrics

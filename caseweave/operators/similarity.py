@@ -40,7 +40,7 @@ def documents(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def _profiles(docs: DataFrame) -> DataFrame:
+def word_profiles(docs: DataFrame) -> DataFrame:
     """Each document with its sorted words and a key shared by documents of equal word counts."""
     return docs.withColumn("ws", F.array_sort(words(F.col("text")))).withColumn(
         "key", F.sha2(F.concat_ws(" ", "ws"), 256)
@@ -75,7 +75,7 @@ def _vector_terms(profiles: DataFrame) -> DataFrame:
 
 def tfidf_weights(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Long sparse matrix (block, doc, token, weight). Blocks of one document yield nothing."""
-    profiles = _profiles(documents(df, keys))
+    profiles = word_profiles(documents(df, keys))
     terms = _vector_terms(profiles).select("block", "key", "token", F.col("w").alias("weight"))
     busy = profiles.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("block")
     members = profiles.where(F.size("ws") > 0).select("block", "key", "doc").join(busy, "block", "left_semi")
@@ -89,7 +89,7 @@ def _numbered_words(terms: DataFrame) -> DataFrame:
     return skew_safe_join(terms.select("block", "key", "token", "w"), numbered, ["block", "token"])
 
 
-def _ordered_vectors(terms: DataFrame, limit: float) -> DataFrame:
+def ordered_vectors(terms: DataFrame, limit: float) -> DataFrame:
     """One row per profile: words rarest first, their weights, and the prefix that matters.
 
     The prefix ends once the rest of the vector is shorter than ``limit``: two vectors that share
@@ -161,7 +161,7 @@ def best_neighbours(terms: DataFrame, firsts: DataFrame, threshold: float, keep:
     even a word in every prefix costs one entry per tile, not one per profile pair.
     """
     limit = threshold - 1e-9
-    vectors = materialize(_ordered_vectors(_numbered_words(terms), limit).join(firsts, ["block", "key"]))
+    vectors = materialize(ordered_vectors(_numbered_words(terms), limit).join(firsts, ["block", "key"]))
     lead = vectors.select("block", "key", F.col("words")[0].alias("lead"))
     placed = dense_index(lead, ["lead", "key"], "pos", ["block"]).select(
         "block", "key", F.floor(F.col("pos") / TILE_ROWS).cast("bigint").alias("tile")
@@ -225,7 +225,7 @@ def cosine_top_k(df: DataFrame, threshold: float = 0.3, top_k: int = 5, keys: Se
     require_all(
         [(0.0 <= threshold <= 1.0, "threshold must be within [0, 1]"), (top_k >= 1, "top_k must be >= 1")], "matcher parameters"
     )
-    profiles = materialize(_profiles(documents(df, keys)).select("block", "doc", "ws", "key"))
+    profiles = materialize(word_profiles(documents(df, keys)).select("block", "doc", "ws", "key"))
     terms = materialize(_vector_terms(profiles))
     keep = top_k + 1
     ids = materialize(_lowest_ids(profiles.where(F.size("ws") > 0), keep, ["block", "key"]))
@@ -272,6 +272,11 @@ def _with_zero_matches(attached: DataFrame, profiles: DataFrame, top_k: int) ->
     return joined.withColumn("c", F.concat(have, F.coalesce(extra, none))).drop("spare")
 
 
+def tag_prefix(tags: str, threshold: float) -> Column:
+    """The tags of a sorted set of which any set at or above the threshold shares one with its own such tags."""
+    return F.slice(tags, 1, _prefix_length(F.size(tags), threshold))
+
+
 def _prefix_length(size: Column, threshold: float) -> Column:
     """Tags that must be indexed so that any pair at or above the threshold shares one of them."""
     return size - F.ceil(size * F.lit(threshold) - F.lit(1e-9)).cast("int") + 1
@@ -286,7 +291,7 @@ def tag_set_matches(sets_a: DataFrame, sets_b: DataFrame, threshold: float = 0.4
     require_all([(0.0 < threshold <= 1.0, "threshold must be within (0, 1]")], "matcher parameters")
 
     def prefixed(df: DataFrame, s: str) -> DataFrame:
-        p = F.slice("tags", 1, _prefix_length(F.size("tags"), threshold))
+        p = tag_prefix("tags", threshold)
         return df.where(F.size("tags") > 0).select(F.col("tags").alias(f"tags_{s}"), p.alias(f"p_{s}"), F.explode(p).alias("tag"))
 
     joined = skew_safe_join(prefixed(sets_a, "a"), prefixed(sets_b, "b"), ["tag"])
@@ -320,19 +325,22 @@ def tag_matches(
     case, ties to the lowest key; the expansion then grows with the new cases, not with the square of a common set."""
     n, p = with_tag_set(new, tags), with_tag_set(pool, tags)
     found = tag_set_matches(n.select("tags").distinct(), p.select("tags").distinct(), threshold)
-    sources = n.select(F.col(key).alias("source"), F.col("tags").alias("tags_a"))
-    targets = p.select(F.col(key).alias("target"), F.col("tags").alias("tags_b"))
+    return cases_of_sets(found, n.select(F.col(key).alias("source"), "tags"), p.select(F.col(key).alias("target"), "tags"), top_k)
+
+
+def cases_of_sets(found: DataFrame, sources: DataFrame, targets: DataFrame, top_k: int | None) -> DataFrame:
+    """The cases behind matching sets: ``sources`` (source, tags) and ``targets`` (target, tags)."""
     if top_k is not None:  # of equal sets no case needs more than these, itself left out
-        first = F.row_number().over(Window.partitionBy("tags_b").orderBy("target"))
+        first = F.row_number().over(Window.partitionBy("tags").orderBy("target"))
         targets = targets.withColumn("_first", first).where(F.col("_first") <= top_k + 1).drop("_first")
-    hits = skew_safe_join(targets, found.join(sources, "tags_a"), ["tags_b"])
-    found = hits.where(F.col("source") != F.col("target")).select(
+    hits = skew_safe_join(targets.withColumnRenamed("tags", "tags_b"), found.join(sources.withColumnRenamed("tags", "tags_a"), "tags_a"), ["tags_b"])
+    matches = hits.where(F.col("source") != F.col("target")).select(
         "source", "target", F.col("shared").alias("shared_mo_tags"), F.col("score").alias("similarity_score")
     )
     if top_k is None:
-        return found
+        return matches
     best = F.row_number().over(Window.partitionBy("source").orderBy(F.col("similarity_score").desc(), "target"))
-    return found.withColumn("_best", best).where(F.col("_best") <= top_k).drop("_best")
+    return matches.withColumn("_best", best).where(F.col("_best") <= top_k).drop("_best")
 
 
 def match_edges(matches: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -250,3 +250,30 @@ def summary_facts(stats: DataFrame, events: DataFrame, ranking: DataFrame, tiere
     for r in rows[1:]:
         out = out.unionByName(r)
     return out
+
+
+def facts_of(row: DataFrame) -> DataFrame:
+    """The columns of a one-row frame as (fact, value) rows."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("fact"), F.col(c).cast("string").alias("value")) for c in row.columns])
+    return row.select(F.explode(pairs).alias("p")).select("p.fact", "p.value")
+
+
+def hotspot_facts(assignments: DataFrame, tiered: DataFrame) -> DataFrame:
+    """Headline facts of a clustering as (fact, value) rows; without clusters the facts about them are null."""
+    seen = assignments.agg(F.count(F.lit(1)).alias("incidents"), F.count_if(F.col("cluster_id") == -1).alias("noise"))
+    largest = F.max_by(F.struct("cluster_id", "district", "cluster_radius_metres", "risk_level"), F.struct("number_of_incidents", -F.col("cluster_id")))
+    found = tiered.agg(
+        F.count(F.lit(1)).alias("clusters"), F.round(F.avg("number_of_incidents"), 2).alias("mean_cluster_size"), F.max("number_of_incidents").alias("largest_cluster_size"),
+        largest.alias("largest"), *[F.count_if(F.col("risk_level") == v).alias(f"{v.lower()}_clusters") for v in ("High", "Medium", "Low")],
+    ).select("*", *[F.col(f"largest.{c}").alias(f"largest_cluster_{a}") for c, a in (("cluster_id", "id"), ("district", "district"), ("risk_level", "level"))]).drop("largest")
+    return facts_of(seen).unionByName(facts_of(found))
+
+
+def score_facts(scores: DataFrame) -> DataFrame:
+    """Headline facts of the district scores as (fact, value) rows."""
+    rank = F.struct("risk_score", F.col("district"))
+    return facts_of(scores.agg(
+        F.count(F.lit(1)).alias("districts"), F.round(F.avg("risk_score"), 2).alias("mean_score"),
+        F.max("risk_score").alias("highest_score"), F.min("risk_score").alias("lowest_score"), F.min_by("district", rank).alias("lowest_risk_district"),
+        *[F.count_if(F.col("risk_level") == v).alias(f"{v.lower()}_districts") for v in ("Low", "Moderate", "High", "Critical")],
+    ))

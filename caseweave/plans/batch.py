@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import features as feature_ops
@@ -20,18 +20,25 @@ from ..operators.trend import trend_outputs
 from ..sources import cache
 from ..sources.writers import write_json, write_table
 
-SUMMARY_SCHEMA = "module string, status string, runtime_seconds double, outputs array<string>, error string"
+SUMMARY_SCHEMA = (
+    "module string, status string, runtime_seconds double, outputs array<string>, error string, error_class string, "
+    "tables array<struct<name: string, rows: bigint, empty_columns: array<string>>>"
+)
 
 
 def _stage(name: str, work: Callable[[], dict[str, DataFrame]], folder: str) -> dict:
-    """Build and write one stage's tables. Only the summary is kept on the driver."""
+    """Build and write one stage's tables. Only the summary is kept on the driver; what it says of a table is observed while the table is written."""
     started = time.time()
-    row = {"module": name, "status": "success", "runtime_seconds": 0.0, "outputs": [], "error": None}
+    row = {"module": name, "status": "success", "runtime_seconds": 0.0, "outputs": [], "error": None, "error_class": None, "tables": []}
     try:
         for table, df in work().items():
-            row["outputs"].append(write_table(df, f"{folder}/{table}"))
+            seen = Observation(f"{name} {table}")
+            filled = [F.count(F.col(f"`{c}`")).alias(f"filled {c}") for c in df.columns]
+            row["outputs"].append(write_table(df.observe(seen, F.count(F.lit(1)).alias("rows"), *filled), f"{folder}/{table}"))
+            found = seen.get
+            row["tables"].append((table, found["rows"], [c for c in df.columns if found["rows"] and not found[f"filled {c}"]]))
     except Exception as problem:
-        row.update(status="failed", error=f"{type(problem).__name__}: {problem}")
+        row.update(status="failed", error=f"{type(problem).__name__}: {problem}", error_class=type(problem).__name__)
     row["runtime_seconds"] = round(time.time() - started, 3)
     return row
 
@@ -62,8 +69,8 @@ def run_batch(
     def finish() -> tuple[str, DataFrame]:
         status = overall_status([r["status"] for r in rows])
         summary = spark.createDataFrame(
-            [(r["module"], r["status"], r["runtime_seconds"], r["outputs"], r["error"]) for r in rows]
-            + [("final", status, round(sum(r["runtime_seconds"] for r in rows), 3), [], None)],
+            [(r["module"], r["status"], r["runtime_seconds"], r["outputs"], r["error"], r.get("error_class"), r.get("tables", [])) for r in rows]
+            + [("final", status, round(sum(r["runtime_seconds"] for r in rows), 3), [], None, None, [])],
             SUMMARY_SCHEMA,
         )
         write_json(summary.coalesce(1), f"{folder}/run_summary")
@@ -72,7 +79,7 @@ def run_batch(
     try:
         require_rows(require_columns(incidents, ["incident_id", "crime_type", "district", "occurrence_datetime"]))
     except Exception as problem:
-        rows.append({"module": "load", "status": "failed", "runtime_seconds": 0.0, "outputs": [], "error": str(problem)})
+        rows.append({"module": "load", "status": "failed", "runtime_seconds": 0.0, "outputs": [], "error": str(problem), "error_class": type(problem).__name__})
         finish()
         raise
 

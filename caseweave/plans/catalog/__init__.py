@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-GROUPS = ("trends", "places", "texts", "networks", "scores", "reviews", "roles", "stores")
+GROUPS = ("trends", "places", "texts", "networks", "scores", "reviews", "roles", "stores", "streams", "ordered", "lookups")
 
 
 def registered() -> dict:

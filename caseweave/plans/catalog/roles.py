@@ -37,8 +37,8 @@ def _sql(ctes: str, parts: dict[str, str]) -> str:
 
 
 def _people(spark, d) -> DataFrame:
-    """Customers of the nation with key 1, as people with a prior record."""
-    c = inputs.table(spark, d, "customer").where("c_nationkey = 1")
+    """Customers as people; those with a balance have a prior record."""
+    c = inputs.table(spark, d, "customer")
     return c.select(
         F.col("c_custkey").alias("offender_id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("risk_tier"), F.lit(None).cast("string").alias("vehicle_no"),
         F.lit(1).alias("prior_cases_count"), (F.col("c_acctbal") > 0).alias("prior_record_flag"),
@@ -157,7 +157,7 @@ QUERIES = {
     "constable_view": (constable_view, _sql(_BOTH, {
         "active_beat_flags": _FLAGS_OF_STATION, "patrol_route_hotspots": _SPOTS_OF_STATION,
         "totals": f"SELECT 'all' AS item, count(*) AS value FROM inc WHERE police_station = '{STATION}'",
-        "repeat_offenders_nearby": "SELECT c_custkey AS item, 1 AS value FROM customer WHERE c_nationkey = 1 AND c_acctbal > 0",
+        "repeat_offenders_nearby": "SELECT c_custkey AS item, 1 AS value FROM customer WHERE c_acctbal > 0",
     })),
     "sho_view": (sho_view, _sql(_BOTH, {
         "case_backlog_summary": f"SELECT police_station AS item, count(*) FILTER ({_OPEN}) AS value FROM inc WHERE police_station = '{STATION}' GROUP BY 1",

@@ -76,16 +76,24 @@ def model_features(spark, d):
     return shaped(risk_model.model_features(geo, newest, "crime_type", target, F.col("offender_id") % 2 == 0))
 
 
-def tier_model(spark, d):
-    """Every incident that the trained model can place, with its known tier. The label is made from the status, which is no feature."""
+def _tier_rows(spark, d, label):
     geo = inputs.geo_incidents(spark, d)
     newest = F.to_date(geo.agg(F.max("occurrence_datetime")).scalar())
-    target = F.when(F.col("status") == "OPEN", "HIGH").when(F.col("status") == "UNDER_INVESTIGATION", "MEDIUM").otherwise("LOW")
-    weights = (F.col("property_loss") > 100).cast("double")
-    frame = risk_model.model_features(geo, newest, "crime_type", weights, F.col("offender_id") % 2 == 0)
-    rows = materialize(frame.drop("target").join(geo.select("incident_id", target.alias("target")), "incident_id"))
+    return risk_model.raw_features(geo, newest, "crime_type", F.col("offender_id") % 2 == 0, F.col("property_loss") > 100, label)
+
+
+def tier_model(spark, d):
+    """Every incident that the trained model can place, with its known tier. The label is made from the status, which is no feature."""
+    rows = _tier_rows(spark, d, F.when(F.col("status") == "OPEN", "HIGH").when(F.col("status") == "UNDER_INVESTIGATION", "MEDIUM").otherwise("LOW"))
     model, _ = risk_model.train_tier_model(rows)
-    return model.transform(rows).where("prediction is not null").select("incident_id", F.col("target").alias("tier"))
+    return model.transform(rows).where("prediction is not null").select("incident_id", F.col("label").alias("tier"))
+
+
+def tier_metrics(spark, d):
+    """Held-out figures of a model whose tier follows from the loss: how many rows it learnt from and was judged on, and whether it learnt the rule."""
+    _, metrics = risk_model.train_tier_model(_tier_rows(spark, d, F.when(F.col("property_loss") > 60, "HIGH").otherwise("LOW")), folds=3, trees=20)
+    value = F.col("value")
+    return shaped(metrics.select("metric", F.when(F.col("metric").like("%rows"), value).otherwise((value >= 0.9).cast("double")).alias("value")))
 
 
 def isolation_summary(spark, d):
@@ -214,6 +222,12 @@ QUERIES = {
         tier_model,
         with_(EVENTS, "SELECT incident_id, CASE status WHEN 'OPEN' THEN 'HIGH' WHEN 'UNDER_INVESTIGATION' THEN 'MEDIUM' ELSE 'LOW' END AS tier FROM inc"),
     ),
+    "tier_metrics": (
+        tier_metrics,
+        with_(EVENTS + ", held AS (SELECT CAST('0x' || substr(md5(CAST(incident_id AS VARCHAR)), 1, 8) AS BIGINT) % 100 < 20 AS h FROM inc)",
+              """SELECT 'train_rows' AS metric, count(*) FILTER (NOT h)::DOUBLE AS value FROM held UNION ALL SELECT 'held_out_rows', count(*) FILTER (h)::DOUBLE FROM held
+              UNION ALL SELECT unnest(['validation_f1', 'f1', 'auc']), 1.0::DOUBLE"""),
+    ),
     "time_buckets": (
         time_buckets,
         with_(EVENTS + ", h AS (SELECT *, hour(occurrence_datetime) AS h FROM inc)",

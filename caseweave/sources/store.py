@@ -103,12 +103,28 @@ def node_rows(df: DataFrame, node_type: Column, ref: Column, name: Column, now:
     )
 
 
-def upsert_nodes(old: DataFrame, new: DataFrame) -> DataFrame:
+NODE_KEYS = ["node_id", "node_type", "ref_id"]
+# The ends, the relation and the incident follow from the id.
+EDGE_KEYS = ["edge_id", "from_node_id", "to_node_id", "relation_type", "incident_id"]
+
+
+def node_merge() -> list[Column]:
     """First creation time, newest name."""
-    return old.unionByName(new).groupBy("node_id", "node_type", "ref_id").agg(
+    return [
         F.max_by("display_name", F.struct("updated_at", "display_name")).alias("display_name"),
         F.min("created_at").alias("created_at"), F.max("updated_at").alias("updated_at"),
-    )
+    ]
+
+
+def edge_merge(add_weight: bool = True) -> list[Column]:
+    """A repeat adds its weight, or keeps the largest when ``add_weight`` is off (replays then change nothing)."""
+    weight = F.sum("weight") if add_weight else F.max("weight")
+    return [weight.alias("weight"), F.min("created_at").alias("created_at")]
+
+
+def upsert_nodes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Both tables as one, a row per node. ``keyed.KeyedTable`` does the same to the buckets that ``new`` touches only."""
+    return old.unionByName(new).groupBy(*NODE_KEYS).agg(*node_merge())
 
 
 def edge_rows(df: DataFrame, incident: Column, source: Column, target: Column, relation: Column, now: Column, weight: Column | None = None) -> DataFrame:
@@ -120,13 +136,8 @@ def edge_rows(df: DataFrame, incident: Column, source: Column, target: Column, r
 
 
 def upsert_edges(old: DataFrame, new: DataFrame, add_weight: bool = True) -> DataFrame:
-    """Edges by id. A repeat adds its weight, or keeps the largest when ``add_weight`` is off
-    (replays then change nothing)."""
-    weight = F.sum("weight") if add_weight else F.max("weight")
-    # The ends, the relation and the incident follow from the id.
-    return old.unionByName(new).groupBy("edge_id", "from_node_id", "to_node_id", "relation_type", "incident_id").agg(
-        weight.alias("weight"), F.min("created_at").alias("created_at")
-    )
+    """Edges by id."""
+    return old.unionByName(new).groupBy(*EDGE_KEYS).agg(*edge_merge(add_weight))
 
 
 def cross_incident_edges(edges: DataFrame) -> DataFrame:

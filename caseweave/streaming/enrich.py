@@ -9,12 +9,18 @@ from pyspark.sql import functions as F
 
 from ..functions.texts import location_id
 from ..operators import flags as flag_ops
-from ..operators.hotspots import grid_counts, hotspots_of_counts
+from ..operators.hotspots import CELL, count_merge, grid_counts, hotspots_of_counts
 from ..operators.review import current_flags
-from ..operators.similarity import match_edges, tag_matches
+from ..operators.scale import materialize
+from ..operators.similarity import match_edges
 from ..operators.trend import spikes_of_days, type_days
-from ..sources.store import edge_rows, upsert_edges, upsert_nodes
+from ..sources.keyed import KeyedTable, compact_every
+from ..sources.store import EDGE_KEYS, NODE_KEYS, edge_merge, edge_rows, node_merge
 from .tables import prepare, read_all, read_before, run_available, write_batch
+from .text_index import TagIndex
+
+#: Batches after which the keyed tables are compacted.
+COMPACT_EVERY = 8
 
 FLAG_SCHEMA = (
     "flag_id string, flag_type string, severity string, title string, summary string, confidence_score double, "
@@ -53,13 +59,11 @@ def entity_nodes(incidents: DataFrame, now: Column) -> DataFrame:
 
 
 def batch_flags(
-    fresh_cells: DataFrame, all_cells: DataFrame, fresh_days: DataFrame, all_days: DataFrame,
-    pending: DataFrame, as_of: Column, now: Column, matches: DataFrame | None = None,
+    cells: DataFrame, fresh_days: DataFrame, all_days: DataFrame, pending: DataFrame, as_of: Column, now: Column, matches: DataFrame | None = None,
 ) -> DataFrame:
-    """New flags caused by a batch: only its cells and types are looked at again, from the running
-    counts. Candidates with an equal pending flag are dropped."""
-    cells = ["_station", "cell_lat", "cell_lon"]
-    spots = hotspots_of_counts(all_cells.join(fresh_cells.select(*cells).distinct(), cells, "left_semi"))
+    """New flags caused by a batch: only its cells (``cells`` has their running counts) and types are looked at again. Candidates with an equal
+    pending flag are dropped."""
+    spots = hotspots_of_counts(cells)
     spikes = spikes_of_days(all_days.join(fresh_days.select("crime_type").distinct(), "crime_type", "left_semi"), as_of)
     out = flag_ops.without_pending_target(flag_ops.hotspot_flags(spots, now), pending).unionByName(
         flag_ops.without_pending_type(flag_ops.trend_flags(spikes, now), pending)
@@ -76,55 +80,62 @@ def raised_in(flags: DataFrame, batch: int) -> DataFrame:
 
 
 def run_enrichment(
-    incidents: DataFrame, folder: str, checkpoint: str, as_of: Column | None = None, decisions: Callable[[], DataFrame] | None = None
+    incidents: DataFrame, folder: str, checkpoint: str, as_of: Column | None = None, decisions: Callable[[], DataFrame] | None = None,
+    top_k: int | None = None,
 ) -> None:
     """Per batch: store the incidents, their entities and links, tag matches (edges from 0.5, flags from
     0.7) and the flags they cause. ``decisions`` gives the review decisions so far; a target whose flag was decided may be flagged again.
+    ``top_k`` keeps the best tag matches of each incident only.
 
-    Flags are computed from small tables of cell and day counts to which every batch adds its own
-    counts; the incidents of earlier batches are read again only to match tags.
+    Entities, links, and the cell and day counts from which flags follow are keyed tables: a batch adds its own rows, reads the buckets of
+    its own cells, and now and then the batches before it are merged. Tags are matched by a stored index; no incident is read again.
     """
     spark = incidents.sparkSession
     has_tags = "mo_tags" in incidents.columns
-    prepare(spark, folder, {"entity_nodes": NODE_SCHEMA, "entity_edges": EDGE_SCHEMA, "flags": FLAG_SCHEMA})
-
-    def upto(table: str, batch: int) -> DataFrame:
-        return read_all(spark, folder, table).where(F.col("batch") <= batch).drop("batch")
+    prepare(spark, folder, {"flags": FLAG_SCHEMA})
+    nodes, edges = node_table(spark, folder), edge_table(spark, folder)
+    cells = KeyedTable(spark, f"{folder}/cell_counts", grid_counts(incidents).schema, [*CELL, "district", "crime_type"], count_merge, CELL)
+    days = KeyedTable(spark, f"{folder}/type_days", type_days(incidents).schema, ["crime_type", "date"], lambda: [F.sum("n").alias("n")])
 
-    def own(table: str, batch: int) -> DataFrame:
-        return read_all(spark, folder, table).where(F.col("batch") == batch).drop("batch")
+    tag_index = TagIndex(spark, f"{folder}/tag_index", incidents.schema["incident_id"].dataType.simpleString(), top_k=top_k) if has_tags else None
 
     def apply(df: DataFrame, batch: int) -> None:
+        compact_every([nodes, edges, cells, days, *([tag_index.postings, tag_index.members] if has_tags else [])], batch, COMPACT_EVERY)
         write_batch(df, folder, "incidents", batch)
-        fresh = own("incidents", batch)
+        fresh = read_all(spark, folder, "incidents").where(F.col("batch") == batch).drop("batch")
         stamp = F.current_timestamp()
-        write_batch(entity_nodes(fresh, stamp), folder, "entity_nodes", batch)
-        write_batch(entity_edges(fresh, stamp), folder, "entity_edges", batch)
-        write_batch(grid_counts(fresh), folder, "cell_counts", batch)
-        write_batch(type_days(fresh), folder, "type_days", batch)
+        nodes.append(entity_nodes(fresh, stamp), batch)
+        edges.append(entity_edges(fresh, stamp), batch)
+        cells.append(grid_counts(fresh), batch)
+        days.append(type_days(fresh), batch)
         matches = None
         if has_tags:
-            matches = tag_matches(fresh, upto("incidents", batch), key="incident_id")
+            matches = materialize(tag_index.add(fresh, batch))
             write_batch(match_edges(matches), folder, "mo_edges", batch)
-        days = upto("type_days", batch)
-        newest = days.agg(F.max("date")).scalar() if as_of is None else as_of
+        all_days = days.read(batch)
+        newest = all_days.agg(F.max("date")).scalar() if as_of is None else as_of
         earlier = read_before(spark, folder, "flags", batch)
         pending = earlier if decisions is None else current_flags(earlier, decisions())
-        found = batch_flags(
-            own("cell_counts", batch), upto("cell_counts", batch), own("type_days", batch), days, pending, newest, stamp, matches,
-        )
+        found = batch_flags(cells.lookup(grid_counts(fresh), batch), type_days(fresh), all_days, pending, newest, stamp, matches)
         write_batch(raised_in(found, batch), folder, "flags", batch)
 
     run_available(incidents.writeStream.foreachBatch(apply), checkpoint)
 
 
+def node_table(spark, folder: str) -> KeyedTable:
+    return KeyedTable(spark, f"{folder}/entity_nodes", NODE_SCHEMA, NODE_KEYS, node_merge)
+
+
+def edge_table(spark, folder: str) -> KeyedTable:
+    """A replayed incident does not add weight."""
+    return KeyedTable(spark, f"{folder}/entity_edges", EDGE_SCHEMA, EDGE_KEYS, lambda: edge_merge(add_weight=False))
+
+
 def current_nodes(spark, folder: str) -> DataFrame:
     """Entities by id, with the first and the last time they were met."""
-    nodes = read_all(spark, folder, "entity_nodes").drop("batch")
-    return upsert_nodes(nodes.limit(0), nodes)
+    return node_table(spark, folder).read()
 
 
 def current_edges(spark, folder: str) -> DataFrame:
-    """Entity links by id; a replayed incident does not add weight."""
-    edges = read_all(spark, folder, "entity_edges").drop("batch")
-    return upsert_edges(edges, edges.limit(0), add_weight=False)
+    """Entity links by id."""
+    return edge_table(spark, folder).read()

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.scale import materialize
 from ..operators.quality import intake_rules, violations
-from .tables import prepare, read_before, run_available, write_batch
+from ..operators.scale import materialize
+from ..sources.keyed import KeyedTable, compact_every
+from .tables import prepare, run_available, state_store, write_batch
+
+COMPACT_EVERY = 8
 
 TABLES = {
     "incidents": "incident_id string, fir_number string, incident_type string, location_id string, reported_at timestamp, "
@@ -82,18 +85,38 @@ def accepted_tables(valid: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def run_intake(payloads: DataFrame, known_offenders: DataFrame, folder: str, checkpoint: str) -> None:
-    """Validate each batch; accepted rows go to the tables, the rest to ``rejected``."""
+def first_deliveries(payloads: DataFrame, within: str) -> DataFrame:
+    """Payloads without those of equal content that came again within a time, in one batch or in several. The state is a digest per payload that came
+    within it. A row's time is that of its batch, so none is ever late."""
+    content = F.sha2(F.to_json(F.struct(*payloads.columns)), 256)
+    timed = payloads.withColumns({"_content": content, "_received": F.current_timestamp()}).withWatermark("_received", within)
+    return timed.dropDuplicatesWithinWatermark(["_content"]).drop("_content", "_received")
+
+
+def run_intake(payloads: DataFrame, known_offenders: DataFrame, folder: str, checkpoint: str, within: str = "1 day") -> None:
+    """Validate each batch; accepted rows go to the tables, the rest to ``rejected``.
+
+    Deliveries of the same payload within the time ``within`` are dropped by the stream's state. What passes is checked exactly: case numbers and
+    people of earlier batches are keyed tables, of which a batch opens the buckets of its own numbers and people.
+    """
     spark = payloads.sparkSession
     prepare(spark, folder, TABLES)
+    numbers, people = (KeyedTable(spark, f"{folder}/known_{key}s", f"{key} string, n bigint", [key], lambda: [F.sum("n").alias("n")]) for key in ("fir_number", "offender_id"))
 
     def apply(df: DataFrame, batch: int) -> None:
-        offenders = known_offenders.select("offender_id").unionByName(read_before(spark, folder, "offenders", batch).select("offender_id"))
-        checked = judged(materialize(df), offenders, read_before(spark, folder, "incidents", batch)).persist()
+        compact_every([numbers, people], batch, COMPACT_EVERY)
+        rows = materialize(df)
+        named = rows.select(F.explode("offenders.offender_id").alias("offender_id")).where("offender_id is not null")
+        offenders = known_offenders.select("offender_id").unionByName(people.lookup(named, batch - 1).select("offender_id"))
+        checked = materialize(judged(rows, offenders, numbers.lookup(rows.select("fir_number"), batch - 1)))
         bad = F.size("field_errors") > 0
         write_batch(checked.where(bad).drop("_row"), folder, "rejected", batch)
-        for table, rows in accepted_tables(checked.where(~bad)).items():
-            write_batch(rows, folder, table, batch)
-        checked.unpersist()
+        accepted = accepted_tables(checked.where(~bad))
+        for table, found in accepted.items():
+            write_batch(found, folder, table, batch)
+        count = F.count(F.lit(1)).alias("n")
+        numbers.append(accepted["incidents"].groupBy("fir_number").agg(count), batch)
+        people.append(accepted["offenders"].groupBy("offender_id").agg(count), batch)
 
-    run_available(payloads.writeStream.foreachBatch(apply), checkpoint)
+    with state_store(spark):
+        run_available(first_deliveries(payloads, within).writeStream.foreachBatch(apply), checkpoint)

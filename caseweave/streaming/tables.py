@@ -7,6 +7,9 @@ it removes what the batches of an earlier one left, however those were cut.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +55,23 @@ def file_stream(spark: SparkSession, folder: str, schema, name_glob: str = "*.pa
     return reader.parquet(folder)
 
 
+#: State that does not fit the heap lies on the executors' disks and is saved by its changes.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB, unless the session names a provider itself."""
+    name, provider = STATE_STORE
+    before = spark.conf.get(name)
+    if "RocksDB" not in before:
+        spark.conf.set(name, provider)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def run_available(writer, checkpoint: str) -> None:
     """Process what is there and stop."""
     query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

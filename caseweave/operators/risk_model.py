@@ -6,6 +6,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
 from pyspark.ml.feature import MinMaxScaler, OneHotEncoder, StringIndexer, TargetEncoder, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -92,10 +93,11 @@ def train_tier_model(rows: DataFrame, folds: int = 5, seed: int = 42, trees: int
     f1 = MulticlassClassificationEvaluator(labelCol="_label", metricName="f1")
     grid = ParamGridBuilder().addGrid(forest.maxDepth, [4, 8]).build()
     fitted = CrossValidator(estimator=Pipeline(stages=model_stages(forest)), estimatorParamMaps=grid, evaluator=f1, numFolds=folds, seed=seed).fit(train)
-    scored = materialize(fitted.bestModel.transform(test).select("_label", "rawPrediction", "probability", "prediction"))
+    scored = materialize(fitted.bestModel.transform(test).select("_label", "probability", "prediction"))
     sizes = {r["_held"]: r["count"] for r in marked.groupBy("_held").count().collect()}
-    values = {"train_rows": float(sizes.get(False, 0)), "held_out_rows": float(sizes.get(True, 0)), "validation_f1": max(fitted.avgMetrics), "f1": f1.evaluate(scored)}
+    values = {"train_rows": float(sizes.get(False, 0)), "held_out_rows": float(sizes.get(True, 0)), "validation_f1": float(max(fitted.avgMetrics)), "f1": f1.evaluate(scored)}
     if len(fitted.bestModel.stages[0].labels) == 2:
-        values["auc"] = BinaryClassificationEvaluator(labelCol="_label").evaluate(scored)
+        second = scored.select("_label", vector_to_array("probability")[1].alias("score"))  # the third class is that of unknown labels
+        values["auc"] = BinaryClassificationEvaluator(labelCol="_label", rawPredictionCol="score").evaluate(second)
     metrics = rows.sparkSession.createDataFrame(list(values.items()), "metric string, value double")
     return fitted.bestModel, metrics

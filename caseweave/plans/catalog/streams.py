@@ -10,7 +10,7 @@ from ...operators import graph
 from ...operators.scale import shared_folder
 from ...sources import store
 from ...sources.keyed import KeyedTable
-from ...streaming import enrich, groups, intake, tables, text_index
+from ...streaming import enrich, groups, intake, tables, text_index, windows
 from .. import inputs
 from . import networks, stores
 from .common import GEO, shaped, with_
@@ -64,6 +64,17 @@ def compacted_edges(spark, d):
     return shaped(_in_batches(table, rows, F.dayofyear("created_at") % 4, 4).read())
 
 
+def windowed_daily_counts(spark, d):
+    """Events in three slices, of which the second is the newest and the third brings days that closed."""
+    folder = _folder(spark)
+    e = inputs.event_incidents(spark, d)
+    day = F.dayofmonth("occurrence_datetime")
+    number = F.when(day <= 10, 0).when(day > 20, 1).otherwise(2)
+    run = lambda _, stream: windows.run_windowed_counts(stream, f"{folder}/tables", f"{folder}/checkpoint")
+    _in_turn(spark, _cut(e, number, 3), folder, run)
+    return shaped(windows.windowed_counts(spark, f"{folder}/tables"))
+
+
 def streamed_components(spark, d):
     folder = _folder(spark)
     edges = graph.graph_edges(inputs.event_case_graph(spark, d)).select("source", "target")
@@ -103,7 +114,7 @@ def streamed_intake(spark, d):
     """Payloads in two slices; every tenth is delivered three times, in both slices, and every tenth comes again with another author. Accepted
     numbers, and rejected rows with their faults."""
     folder = _folder(spark)
-    p, i = inputs.intake_payloads(spark, d), F.col("event_id")
+    p, i = inputs.intake_payloads(spark, d).withColumn("narrative_text", F.lit(None).cast("string")), F.col("event_id")
     again, other = p.where(i % 10 == 0), p.where(i % 10 == 6).withColumn("created_by", F.lit("other"))
     known = spark.createDataFrame([], "offender_id string")
     run = lambda _, stream: intake.run_intake(stream, known, f"{folder}/tables", f"{folder}/checkpoint")
@@ -140,6 +151,7 @@ score AS (SELECT a.doc AS a, b.doc AS b, round(least(1.0, sum(a.w * b.w)), 9) AS
 QUERIES = {
     "compacted_nodes": (compacted_nodes, stores.QUERIES["upsert_nodes"][1]),
     "compacted_edges": (compacted_edges, stores.QUERIES["upsert_edges"][1]),
+    "windowed_daily_counts": (windowed_daily_counts, stores.QUERIES["streamed_daily_counts"][1]),
     "streamed_components": (streamed_components, networks.QUERIES["components"][1]),
     "streamed_text_matches": (
         streamed_text_matches,

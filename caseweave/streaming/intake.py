@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.quality import intake_rules, violations
 from ..operators.scale import materialize
 from ..sources.keyed import KeyedTable, compact_every
-from .tables import prepare, run_available, state_store, write_batch
+from .tables import STATE_STORE, prepare, run_available, settings, write_batch
 
 COMPACT_EVERY = 8
 
@@ -118,5 +118,5 @@ def run_intake(payloads: DataFrame, known_offenders: DataFrame, folder: str, che
         numbers.append(accepted["incidents"].groupBy("fir_number").agg(count), batch)
         people.append(accepted["offenders"].groupBy("offender_id").agg(count), batch)
 
-    with state_store(spark):
+    with settings(spark, STATE_STORE):
         run_available(first_deliveries(payloads, within).writeStream.foreachBatch(apply), checkpoint)

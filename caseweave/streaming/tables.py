@@ -56,20 +56,22 @@ def file_stream(spark: SparkSession, folder: str, schema, name_glob: str = "*.pa
 
 
 #: State that does not fit the heap lies on the executors' disks and is saved by its changes.
-STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+#: No batch without rows: state that waits for the clock would else ask for one after the other.
+ROWS_ONLY = {"spark.sql.streaming.noDataMicroBatches.enabled": "false"}
 
 
 @contextmanager
-def state_store(spark: SparkSession) -> Iterator[None]:
-    """Queries started inside keep their state in RocksDB, unless the session names a provider itself."""
-    name, provider = STATE_STORE
-    before = spark.conf.get(name)
-    if "RocksDB" not in before:
-        spark.conf.set(name, provider)
+def settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
+    """Queries started inside run with these settings; those of the session come back."""
+    before = {name: spark.conf.get(name) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def run_available(writer, checkpoint: str) -> None:

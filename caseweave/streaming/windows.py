@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
-from datetime import datetime, timedelta
 
 import pandas as pd
 import pyarrow as pa
@@ -21,7 +20,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.scale import materialize
 from ..sources.keyed import KeyedTable, compact_every
 from .counts import CELL
-from .tables import state_store
+from .tables import ROWS_ONLY, STATE_STORE, settings
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -39,7 +38,8 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _total(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """The new total of an open cell; what a closed one got since it closed."""
-    closed = key[0] is None or (datetime.combine(key[0], datetime.min) + timedelta(days=1) - datetime(1970, 1, 1)).total_seconds() * 1000 <= state.getCurrentWatermarkMs()
+    day, district, kind = (None if pd.isnull(k) else k for k in key)
+    closed = day is None or (pd.Timestamp(day) + pd.Timedelta(days=1)).timestamp() * 1000 <= state.getCurrentWatermarkMs()
     if state.hasTimedOut:
         if closed:
             state.remove()
@@ -53,7 +53,7 @@ def _total(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Ite
         state.setTimeoutDuration(1)  # looked at again in the next batch
     elif state.exists:
         state.remove()
-    yield pd.DataFrame({"date": [key[0]], "district": [key[1]], "crime_type": [key[2]], "daily_incidents": [n], "late": [closed]})
+    yield pd.DataFrame({"date": [day and pd.Timestamp(day).date()], "district": [district], "crime_type": [kind], "daily_incidents": [n], "late": [closed]})
 
 
 def _tables(spark: SparkSession, folder: str) -> tuple[KeyedTable, KeyedTable]:
@@ -79,7 +79,7 @@ def run_windowed_counts(incidents: DataFrame, folder: str, checkpoint: str, dela
         cells.append(found.where("not late").drop("late"), batch)
         late.append(found.where("late").drop("late"), batch)
 
-    with state_store(spark):
+    with settings(spark, {**STATE_STORE, **ROWS_ONLY}):
         query = totals.writeStream.foreachBatch(apply).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
     return [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]

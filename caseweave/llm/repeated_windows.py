@@ -32,34 +32,32 @@ import pyarrow.parquet
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept_in_worker, materialize, open_store, slices, work_folder
+from .common import kept_in_worker, open_store, slices, stored, work_folder
 
 #: Words of the stretches whose least hash is a window's minimiser.
 STRETCH = 5
 #: Windows of a super-k-mer at most.
 SPAN = 31
-HOT_ROWS = 500
+HOT_ROWS = 4000
 HOT_KEYS = 1_000_000
 FILTER_BITS = 1 << 27
 #: Bytes of packed strings that a task holds before it sends them, and words that a bucket task sorts at a time.
-HELD_BYTES = 24 << 20
+HELD_BYTES = 16 << 20
 SORTED_WORDS = 1 << 18
+#: Rows of a small table that a document is reckoned to give, which decides over how many files a table has.
+ROWS_EACH = 6
 SEED = 12
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-    return h ^ h >> np.uint64(31)
-
-
 def stretch_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """Hashes of the ``n`` words from each place on; only places with so many words after them are there."""
-    total = np.zeros(max(0, len(words) - n + 1), dtype=np.uint64)
-    for i in range(n):
-        total = mixed(total * MIX + words[i : i + len(total)])
-    return total
+    out, done = words[: len(words) if len(words) >= n else 0], 1
+    while done < n and len(out):
+        step = min(done, n - done)
+        out, done = out[: len(out) - step] * MIX + out[step:], done + step
+        out = out ^ out >> np.uint64(29)
+    return out * MIX ^ out >> np.uint64(32)
 
 
 def least_of(values: np.ndarray, n: int) -> np.ndarray:
@@ -103,7 +101,7 @@ class Cut:
 
 
 def tokenised(column: pa.Array) -> list[list[bytes]]:
-    return [(t or "").encode("utf-8").split() for t in column.to_pylist()]  # of bytes: exactly at 20, 09-0D
+    return [(t or b"").split() for t in column.cast(pa.binary()).to_pylist()]  # of bytes: exactly at 20, 09-0D
 
 
 def counted(width: int) -> Callable:
@@ -153,15 +151,15 @@ def packed_rows(texts: list[list[bytes]], width: int, known: Filter) -> Iterator
     cut = Cut(texts, width)
     may = np.flatnonzero(known.has(cut.minimiser))
     hot = known.is_hot(cut.minimiser[may])
-    for i, is_hot in zip(may.tolist(), hot.tolist()):
-        text, start, windows = int(cut.text[i]), int(cut.start[i]), int(cut.windows[i])
+    whole = stretch_hashes(cut.hashes, width).view(np.int64) if hot.any() else None
+    columns = (cut.text[may].tolist(), cut.start[may].tolist(), cut.windows[may].tolist(), cut.minimiser[may].tolist(), hot.tolist())
+    for text, start, windows, minimiser, split in zip(*columns):
         words = texts[text]
-        if not is_hot:
-            yield text, start, windows, int(cut.minimiser[i]), b" ".join(words[start : start + windows + width - 1])
+        if not split:
+            yield text, start, windows, minimiser, b" ".join(words[start : start + windows + width - 1])
             continue
         at = int(cut.begins[text])
-        whole = stretch_hashes(cut.hashes[at + start : at + start + windows + width - 1], width).view(np.int64).tolist()
-        for s, bucket in enumerate(whole, start):
+        for s, bucket in enumerate(whole[at + start : at + start + windows].tolist(), start):
             yield text, s, 1, bucket, b" ".join(words[s : s + width])
 
 
@@ -221,24 +219,25 @@ def digest(packed: bytes) -> bytes:
 
 
 def sorted_buckets(width: int) -> Callable:
-    """Rows come sorted by bucket; whole buckets are judged together, many small ones at a time."""
+    """Rows come sorted by bucket; whole buckets are judged together, many small ones at a time. Equal strings, which several tasks may send, are one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, packed, n, size = None, [], [], 0
+        last, counts, size = None, {}, 0
         for batch in batches:
             for bucket, string, count in zip(*(c.to_pylist() for c in batch.columns)):
                 if bucket != last and size > SORTED_WORDS:
-                    yield judged(packed, n)
-                    packed, n, size = [], [], 0
+                    yield judged(counts)
+                    counts, size = {}, 0
                 last = bucket
-                packed.append(string)
-                n.append(count)
-                size += string.count(b" ") + 1
-        if packed:
-            yield judged(packed, n)
-
-    def judged(packed: list[bytes], n: list[int]) -> pa.RecordBatch:
-        bits = repeats(packed, np.array(n, dtype=np.int64), width)
+                n = counts.get(string, 0)
+                counts[string] = n + count
+                size += 0 if n else string.count(b" ") + 1
+        if counts:
+            yield judged(counts)
+
+    def judged(counts: dict[bytes, int]) -> pa.RecordBatch:
+        packed = list(counts)
+        bits = repeats(packed, np.fromiter(counts.values(), dtype=np.int64, count=len(packed)), width)
         found = np.flatnonzero(bits)
         return pa.record_batch({"digest": pa.array([digest(packed[i]) for i in found.tolist()], pa.binary()), "windows": bits[found]})
 
@@ -253,7 +252,7 @@ def places(width: int, where: tuple) -> Callable:
         met: set[bytes] = set()
         for part in slices(batches, 256):
             met = met if len(met) < 100_000 else set()
-            ids = [md5((t or "").encode("utf-8")).digest() for t in part.column(0).to_pylist()]
+            ids = [md5(t or b"").digest() for t in part.column(0).cast(pa.binary()).to_pylist()]
             fresh = [i for i, d in enumerate(ids) if d not in met and not met.add(d)]
             texts = tokenised(part.column(0).take(pa.array(fresh, pa.int64())))
             rows = [(ids[fresh[text]], start, digest(packed)) for text, start, _, _, packed in packed_rows(texts, width, known)]
@@ -264,6 +263,36 @@ def places(width: int, where: tuple) -> Callable:
     return run
 
 
+FOUND = "array<struct<start: bigint, windows: bigint>>"
+
+
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (text, start, windows) come sorted; one row per text with what stands in it, however often a copy of the text reported it."""
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("windows", pa.int64())]))
+    text, found = None, []
+    for batch in batches:
+        texts, lists = [], []
+        for name, start, windows in zip(*(c.to_pylist() for c in batch.columns)):
+            if name != text:
+                if found:
+                    texts.append(text)
+                    lists.append(found)
+                text, found = name, []
+            if not found or found[-1]["start"] != start:
+                found.append({"start": start, "windows": windows})
+        yield pa.record_batch({"text_digest": pa.array(texts, pa.binary()), "found": pa.array(lists, kind)})
+    if found:
+        yield pa.record_batch({"text_digest": pa.array([text], pa.binary()), "found": pa.array([found], kind)})
+
+
+def marked_spans(found: list[dict], width: int) -> list[dict]:
+    """The spans that repeated windows cover together, in order; ``found`` has the bits of windows from a start on."""
+    starts = np.sort(np.concatenate([np.flatnonzero(place["windows"] >> np.arange(SPAN) & 1) + place["start"] for place in found]))
+    apart = np.flatnonzero(np.diff(starts) > width)
+    first, last = np.append(starts[0], starts[apart + 1]), np.append(starts[apart], starts[-1])
+    return [{"start": a, "end": b + width} for a, b in zip(first.tolist(), last.tolist())]
+
+
 def removed(width: int) -> Callable:
     """Spans of marked words and the text without them."""
 
@@ -271,15 +300,13 @@ def removed(width: int) -> Callable:
         for part in slices(batches, 256):
             texts, spans, kept = tokenised(part.column(1)), [], []
             for words, found in zip(texts, part.column(2).to_pylist()):
-                gone = np.zeros(len(words) + 1, dtype=np.int64)
-                for place in found or ():
-                    for at in np.flatnonzero(place["windows"] >> np.arange(SPAN) & 1) + place["start"]:
-                        gone[at] += 1
-                        gone[min(at + width, len(words))] -= 1
-                inside = np.append(np.cumsum(gone)[:-1] > 0, False)
-                edges = np.flatnonzero(np.diff(inside, prepend=False))
-                spans.append([{"start": a, "end": b} for a, b in edges.reshape(-1, 2).tolist()])
-                kept.append(b" ".join(words if not len(edges) else [w for w, x in zip(words, inside.tolist()) if not x]).decode("utf-8"))
+                spans.append(marked_spans(found, width) if found else [])
+                at = 0
+                rest = []
+                for span in spans[-1]:
+                    rest += words[at : span["start"]]
+                    at = span["end"]
+                kept.append(b" ".join(rest + words[at:] if at else words).decode("utf-8"))
             yield pa.record_batch({
                 "key": part.column(0), "n_words": pa.array([len(t) for t in texts], pa.int64()),
                 "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), "kept": pa.array(kept, pa.string()),
@@ -303,13 +330,15 @@ def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", w
     """(key, n_words, spans, kept) of every row: the spans of marked words (``start`` to before ``end``) and the text without them."""
     kind = docs.schema[key].dataType.simpleString()
     texts = docs.select(F.col(text).alias("text"))
-    seen = materialize(texts.mapInArrow(counted(width), "minimiser bigint, n bigint").groupBy("minimiser").agg(F.sum("n").alias("n")).where("n > 1"))
+    rows = ROWS_EACH * docs.count()
+    seen = stored(texts.mapInArrow(counted(width), "minimiser bigint, n bigint").groupBy("minimiser").agg(F.sum("n").alias("n")).where("n > 1"), rows)
     where = filter_files(seen, bits, hot_rows)
     strings = texts.mapInArrow(sent(width, where), "bucket bigint, packed binary, n bigint")
     buckets = strings.repartition("bucket").sortWithinPartitions("bucket")
-    found = materialize(buckets.mapInArrow(sorted_buckets(width), "digest binary, windows bigint"))
+    found = stored(buckets.mapInArrow(sorted_buckets(width), "digest binary, windows bigint"), rows)
     at = texts.mapInArrow(places(width, where), "text_digest binary, start bigint, digest binary")
-    marked = materialize(at.join(found, "digest").groupBy("text_digest").agg(F.collect_set(F.struct("start", "windows")).alias("found")))
+    by_text = at.join(found, "digest").select("text_digest", "start", "windows").repartition("text_digest").sortWithinPartitions("text_digest", "start")
+    marked = stored(by_text.mapInArrow(gathered, f"text_digest binary, found {FOUND}"), rows)
     named = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))).alias("text_digest"))
     joined = named.join(marked, "text_digest", "left").select("key", "text", "found")
     out = joined.mapInArrow(removed(width), f"key {kind}, n_words bigint, spans array<struct<start: bigint, end: bigint>>, kept string")

@@ -3,12 +3,12 @@
 Fingerprints: hashes of word shingles vote per bit. Only distinct fingerprints take part in the search; copies follow their
 fingerprint.
 
-Search: two fingerprints that differ in at most two bits agree in two of any four blocks of bits, so each fingerprint goes to
-the six shards named by two of its four 16-bit blocks. A shard of up to SHARD fingerprints becomes a BK-tree: children hang below their
-parent by integer Hamming distance, and a search follows only the edges within the radius of the distance at hand. A larger shard is
-dealt again by two of the four blocks of the bits not yet fixed, twice at most; then eight bits are left and a shard
-holds no more than 256 fingerprints. So every link is found, no tree exceeds SHARD nodes, and nothing is capped. A tree
-goes to the one task that has its shard's fingerprints; none is sent to all executors.
+Search: two fingerprints that differ in at most two bits agree in one of any three blocks of bits, so each fingerprint goes to
+three shards, one per block. A shard is named by as many bits of its block as give about TREE fingerprints a shard, and becomes one BK-tree: children hang
+below their parent by integer Hamming distance, and a search follows only the edges within the radius of the distance at hand. So every fingerprint is
+searched in three trees of about TREE nodes, however many there are. A shard above SHARD fingerprints is dealt again by the three blocks
+of the bits not yet fixed, five times at most; then so few bits are left that no shard can be larger. So every link is found and nothing is
+capped. A tree goes to the one task that has its shard's fingerprints; none is sent to all executors, for all trees together grow with the corpus.
 
 A shard reports, instead of all its pairs, one link from each fingerprint to the root of its local component. The links of all
 shards go through connected components.
@@ -33,10 +33,13 @@ from .common import materialize, slices, stored
 SEED = 42
 SHINGLE = 3
 RADIUS = 2
+#: Fingerprints of a usual tree, and of the largest.
+TREE = 512
 SHARD = 2048
 #: Hashes turned into bits at a time.
 VOTES = 1 << 15
-LEVELS = 3
+BLOCKS = 3
+LEVELS = 6
 
 
 def simhash(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -143,16 +146,18 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
     return rows.mapInArrow(fingerprinted(shingle, seed), f"key {kind}, fp bigint")
 
 
-def fixed_bits(levels: int = LEVELS) -> list[list[int]]:
-    """Per level, the masks of the bits that a shard fixes; those cut from mask i of a level are 6 i to 6 i + 5 of the next."""
-    out, now = [], [0]
-    for _ in range(levels):
+def fixed_bits(first: int, levels: int = LEVELS) -> list[list[int]]:
+    """Per level, the masks of the bits that a shard fixes: ``first`` bits of a block, then whole blocks of the bits left. Those cut from mask i of a level are the
+    BLOCKS masks from BLOCKS * i on of the next; without ``first`` bits there is one shard to begin with."""
+    out: list[list[int]] = []
+    now = [0]
+    for level in range(levels):
         masks = []
         for mask in now:
             free = [b for b in range(64) if not mask >> b & 1]
-            width = len(free) // 4
-            blocks = [sum(1 << b for b in free[i * width : (i + 1) * width]) for i in range(4)]
-            masks += [mask | blocks[i] | blocks[j] for i in range(4) for j in range(i)]
+            width = len(free) // BLOCKS
+            used = width if level else min(first, width)
+            masks += [mask | sum(1 << b for b in free[i * width : i * width + used]) for i in range(BLOCKS if used else 1)]
         out.append(masks)
         now = masks
     return out
@@ -162,19 +167,21 @@ def signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def links_within(prints: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
+def links_within(prints: DataFrame, radius: int = RADIUS, shard: int = SHARD, tree: int = TREE) -> DataFrame:
     """(u, v) links between distinct fingerprints ``fp`` whose components are those of all pairs within ``radius`` (2 at most)."""
-    if not 0 <= radius <= 2:
-        raise ValueError("shards are cut for a radius of 2 at most")
+    if not 0 <= radius < BLOCKS:
+        raise ValueError(f"shards are cut for a radius below {BLOCKS}")
     rows, n_rows = prints.select("fp", F.lit(0).alias("at")), prints.count()
     found: DataFrame | None = None
-    for level, masks in enumerate(fixed_bits()):
+    levels = fixed_bits((max(1, n_rows // tree) - 1).bit_length())
+    for level, masks in enumerate(levels):
         last = level == LEVELS - 1
         fixed = F.array(*[F.lit(signed(m)) for m in masks])
-        dealt = rows.select("fp", F.explode(F.sequence(F.col("at") * 6, F.col("at") * 6 + 5)).alias("at")).select(
+        cut = len(masks) // (len(levels[level - 1]) if level else 1)
+        dealt = rows.select("fp", F.explode(F.sequence(F.col("at") * cut, F.col("at") * cut + cut - 1)).alias("at")).select(
             "fp", "at", F.col("fp").bitwiseAND(F.element_at(fixed, F.col("at") + 1)).alias("bits")
         )
-        sizes = stored(dealt.groupBy("at", "bits").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), 3 * n_rows)
+        sizes = stored(dealt.groupBy("at", "bits").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), cut * n_rows)
         placed = dealt.join(sizes, ["at", "bits"])
         small = placed if last else placed.where(F.col("n") <= shard)
         by_shard = small.select("at", "bits", "fp").repartition("at", "bits").sortWithinPartitions("at", "bits")
@@ -182,7 +189,7 @@ def links_within(prints: DataFrame, radius: int = RADIUS, shard: int = SHARD) ->
         found = links if found is None else found.unionByName(links)
         if last or sizes.where(F.col("n") > shard).isEmpty():
             break
-        rows = stored(placed.where(F.col("n") > shard).select("fp", "at"), 6 * n_rows)
+        rows = stored(placed.where(F.col("n") > shard).select("fp", "at"), cut * n_rows)
         n_rows = rows.count()
     return found
 

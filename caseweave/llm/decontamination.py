@@ -12,7 +12,7 @@ shuffled join. A passage that a third of the documents share gives a few rows pe
 
 Edges: null and empty texts have no words. Items without words are left out; an item shorter than the window is one window. Items with the
 same words count each; repeated item rows count once. Repeated document rows are judged each, with the same result. A null key is judged as any other.
-Empty tables give zero hits or an empty result. Extra columns are kept by ``contamination`` unless they are named like those it adds.
+Rows meet their alignments by a hash of key and text, so rows without a key, or of one key, try their own only. Empty tables give zero hits or an empty result. Extra columns are kept by ``contamination`` unless they are named like those it adds.
 """
 
 from __future__ import annotations
@@ -24,7 +24,8 @@ from .common import materialize, once, stored
 
 WINDOW = 13
 DEPTH = 2
-#: Test terms and probes are broadcast up to this many rows, each of a few dozen bytes; beyond it the join is left to Spark.
+#: Test terms and probes are broadcast up to this many rows of a few numbers or one term each, and items up to this many words in all; beyond it the
+#: join is left to Spark.
 FEW = 500_000
 #: Everything outside [^\x00-\x2F\x3A-\x60\x7B-\x7F], and outside A-Z, which count as their lower-case letters.
 BREAKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -52,9 +53,14 @@ def test_items(benchmark: DataFrame, item: str = "item_id", text: str = "text")
     return benchmark.select(F.col(item).alias("item"), words.alias("words")).where(F.size("words") > 0).distinct()
 
 
-def build_index(docs: DataFrame, terms: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The stored postings (term, doc, position) of the words of ``docs``; with ``terms`` (term) only of those."""
-    split = docs.select(F.col(key).alias("doc"), F.split(F.coalesce(F.col(text), F.lit("")), BREAKS).alias("words"))
+def row_hash(key: str, text: str) -> Column:
+    """What tells rows apart; rows that share it by chance only try each other's alignments too."""
+    return F.xxhash64(F.col(key), F.col(text))
+
+
+def build_index(docs: DataFrame, terms: DataFrame | None = None, key: str = "doc_id", text: str = "text", doc: Column | None = None) -> DataFrame:
+    """The stored postings (term, doc, position) of the words of ``docs``; with ``terms`` (term) only of those. ``doc`` is the key unless given."""
+    split = docs.select((F.col(key) if doc is None else doc).alias("doc"), F.split(F.coalesce(F.col(text), F.lit("")), BREAKS).alias("words"))
     # A text that starts with a break has an empty first word, which takes no position.
     led = split.withColumn("lead", (F.get("words", F.lit(0)) == "").cast("int"))
     words = led.select("doc", "lead", F.posexplode("words").alias("place", "word")).where("word <> ''")
@@ -63,7 +69,7 @@ def build_index(docs: DataFrame, terms: DataFrame | None = None, key: str = "doc
 
 
 def probes(items: DataFrame, index: DataFrame, window: int = WINDOW, depth: int = DEPTH) -> DataFrame:
-    """(probe, item, words, size, y, term): for each window of an item the places ``y`` of its rarest terms, the same set once."""
+    """(probe, entry, size, y, term): for each window of an item the places ``y`` of its rarest terms, the same set once. ``entry`` stands for item and words."""
     frequency = index.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     places = items.select("item", "words", F.posexplode("words").alias("y", "term"))
     known = places.join(frequency, "term", "left").fillna(0, ["n"])
@@ -74,8 +80,8 @@ def probes(items: DataFrame, index: DataFrame, window: int = WINDOW, depth: int
     windows = item.select("item", "words", F.explode(F.transform(starts, rarest)).alias("r"))
     able = windows.where(F.get(F.col("r")["n"], F.lit(0)) > 0)
     sets = able.select("item", "words", F.sort_array(F.col("r")["y"]).alias("ys")).distinct()
-    named = sets.withColumn("probe", F.xxhash64("item", "words", "ys"))
-    return named.select("probe", "item", "words", F.size("ys").alias("size"), F.explode("ys").alias("y")).withColumn("term", F.get("words", F.col("y")))
+    named = sets.withColumns({"probe": F.xxhash64("item", "words", "ys"), "entry": F.xxhash64("item", "words")})
+    return named.select("probe", "entry", "words", F.size("ys").alias("size"), F.explode("ys").alias("y")).withColumn("term", F.get("words", F.col("y"))).drop("words")
 
 
 def alignments(index: DataFrame, probed: DataFrame) -> DataFrame:
@@ -86,15 +92,18 @@ def alignments(index: DataFrame, probed: DataFrame) -> DataFrame:
 
 
 def phrase_matches(docs: DataFrame, items: DataFrame, index: DataFrame, window: int = WINDOW, depth: int = DEPTH, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with n_words and ``hits``: (item, start, length) of every stretch of words covered by exact occurrences of an item's windows."""
+    """``docs`` with n_words and ``hits``: (item, start, length) of every stretch of words covered by exact occurrences of an item's windows. ``index`` names rows by
+    ``row_hash``."""
     spread = items.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
     probed = stored(probes(items, index, window, depth), depth * spread)
     aligned = alignments(index, probed)
-    of_probe = probed.select("probe", "item", "words").distinct()
-    rows = aligned.join(small(stored(of_probe, spread)), "probe").select("doc", "item", "words", "shift").distinct()
+    of_probe = probed.select("probe", "entry").distinct()
+    entries = items.withColumn("entry", F.xxhash64("item", "words"))
+    entries = F.broadcast(entries) if spread <= FEW else entries
+    rows = aligned.join(small(stored(of_probe, spread)), "probe").select("doc", "entry", "shift").distinct().join(entries, "entry").select("doc", "item", "words", "shift")
     found = materialize(rows.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("item", "words", "shift")).alias("_tries")))
     # Always by shuffle, each text once, for the documents with alignments grow with the input. Words are made after it.
-    joined = docs.drop("n_words", "hits", "_doc", "_tries", "_words").join(found.hint("merge"), F.col(key).eqNullSafe(F.col("_doc")), "left")
+    joined = docs.drop("n_words", "hits", "_doc", "_tries", "_words").join(found.hint("merge"), row_hash(key, text) == F.col("_doc"), "left")
     split = joined.withColumn("_words", once(split_words(F.col(text))))
     low = split.withColumn("_words", once(F.when(F.col("_tries").isNotNull(), F.transform("_words", lowered)).otherwise(F.col("_words"))))
 
@@ -124,7 +133,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, d
     items = stored(test_items(benchmark, item), benchmark.count())
     spread = items.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
     terms = stored(items.select(F.explode("words").alias("term")).distinct(), spread)
-    index = build_index(docs, terms, key, text)
+    index = build_index(docs, terms, key, text, row_hash(key, text))
     found = phrase_matches(docs.drop("n_hit", "n_items", "items_sha256", "contaminated"), items, index, window, depth, key, text)
     names = F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["item"].cast("string"))))
     out = found.withColumns({"n_hit": once(covered(F.col("hits"))), "_names": once(names)})

@@ -1,8 +1,9 @@
 """URL filter: listed rules first; other urls by host words and naive Bayes.
 
-Host words: the labels of a host are split into words by a unigram Viterbi search. Word counts come from all page texts. A distinct label is
-cut into its possible words, those are joined with the counts, and the search runs over the words that exist, so neither the vocabulary nor
-the labels go to any one place.
+Host words: the labels of a host are split at everything that is no letter and no digit, and what is between by a unigram Viterbi search. Word counts come from
+all page texts without their markup. A distinct stretch is cut into its possible words, those are joined with the counts, and the search runs over
+the words that exist, so neither the vocabulary nor the labels go to any one place. A word has at most LONGEST letters, as many as a
+host name may have, so both the cutting and the search are linear in a stretch of any length.
 
 Naive Bayes: the urls that a rule decides are the examples. Tokens are host words and path tokens (numbers become ``<n>``); each token is counted
 by itself, multinomial with add-one smoothing over the distinct tokens of all urls. The counts stay a table that the tokens of the urls are joined
@@ -26,6 +27,12 @@ from pyspark.sql import functions as F
 from ..operators.scale import skew_safe_join
 from .common import materialize
 
+#: Letters of the longest host name.
+LONGEST = 253
+#: Letters of a stretch that are cut into words at a time.
+PIECE = 1024
+#: What is no text: comments, scripts and styles with their bodies, tags, and entities.
+MARKUP = r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[a-z/!?][^>]*>|&#?\w+;"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host, path).
 RULES = [
@@ -37,6 +44,9 @@ RULES = [
 ]
 
 
+BREAKS = r"[^\p{L}\p{M}\p{N}]+"
+
+
 def host_and_path(url: Column) -> dict[str, Column]:
     parts = r"(?s)^.*?://([^/?#]*)([^?#]*)"
     whole = F.coalesce(url, F.lit(""))
@@ -54,22 +64,25 @@ def by_rules(rules: Sequence[tuple[str, str, str]], host: str = "host", path: st
 
 
 def word_counts(texts: DataFrame, text: str) -> DataFrame:
-    """(word, n) over all texts: runs of letters with their marks, and digits, of any script and length, lower-cased."""
-    words = texts.select(F.explode(F.split(F.lower(F.col(text)), r"[^\p{L}\p{M}\p{N}]+")).alias("word"))
+    """(word, n) over all texts without markup: runs of letters with their marks, and digits, of any script and length, lower-cased."""
+    words = texts.select(F.explode(F.split(F.lower(F.regexp_replace(F.col(text), MARKUP, " ")), BREAKS)).alias("word"))
     return words.where(F.col("word") != "").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def best_split(label: str, counts: dict[str, int], total: float) -> list[str]:
-    """The most likely words of a label; an unknown stretch of k letters costs as much as a word of 1 / (total 10^k)."""
+    """The most likely words of a label; an unknown stretch of k letters costs as much as a word of 1 / (total 10^k). Of equal ones the longest last word wins."""
     best: list[tuple[float, int]] = [(0.0, 0)]
     unknown, letter = math.log(total), math.log(10.0)
+    lengths = sorted({len(w) for w in counts if len(w) <= LONGEST}, reverse=True)
+    open_cost, open_start = math.inf, 0  # of the best unknown stretch that reaches this far
     for end in range(1, len(label) + 1):
-        options = []
-        for start in range(end):
-            n = counts.get(label[start:end])
-            cost = math.log(total / n) if n else unknown + (end - start) * letter
-            options.append((best[start][0] + cost, start))
-        best.append(min(options))
+        open_cost, open_start = min((open_cost + letter, open_start), (best[end - 1][0] + unknown + letter, end - 1))
+        found = (open_cost, open_start)
+        for length in lengths:
+            start = end - length
+            if start >= 0 and (n := counts.get(label[start:end])):
+                found = min(found, (best[start][0] + math.log(total / n), start))
+        best.append(found)
     words, end = [], len(label)
     while end:
         start = best[end][1]
@@ -90,20 +103,24 @@ def segmented(total: float) -> Callable:
 
 def label_words(labels: DataFrame, counts: DataFrame) -> DataFrame:
     """(label, words) of distinct ``labels`` (label), by ``counts`` (word, n)."""
-    total, longest = counts.agg(F.coalesce(F.sum("n"), F.lit(0)) + 1, F.coalesce(F.max(F.length("word")), F.lit(0))).first()
-    size = F.length("label")
-    starts = labels.where("label <> ''").select("label", F.explode(F.sequence(F.lit(1), size)).alias("start"))
-    lengths = F.sequence(F.lit(1), F.least(F.lit(max(1, longest)), size - F.col("start") + 1))  # of the known words, up to the label's own
-    pieces = starts.select("label", "start", F.explode(lengths).alias("length")).select("label", F.substr("label", "start", "length").alias("word"))
-    known = pieces.join(counts, "word").groupBy("label").agg(F.collect_set(F.struct("word", "n")).alias("known"))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)) + 1).first()[0]
+    lengths = [r[0] for r in counts.select(F.length("word").alias("l")).where(F.col("l") <= LONGEST).distinct().collect()]  # LONGEST numbers at most
+    named = labels.where("label <> ''").withColumn("id", F.md5("label"))
+    # Pieces of a stretch, which overlap by a word, so that no row holds more than the words of one piece.
+    starts = F.sequence(F.lit(1), F.length("label"), F.lit(PIECE))
+    parts = named.select("id", F.explode(F.transform(starts, lambda s: F.substr("label", s, F.lit(PIECE + LONGEST)))).alias("part"))
+    cut = lambda n: F.transform(F.sequence(F.lit(1), F.length("part") - n + 1), lambda s: F.substr("part", s, n))
+    fitting = F.filter(F.lit(lengths).cast("array<int>"), lambda n: n <= F.length("part"))
+    pieces = parts.select("id", F.explode(F.array_distinct(F.flatten(F.transform(fitting, cut)))).alias("word"))
+    known = pieces.join(counts, "word").groupBy("id").agg(F.collect_set(F.struct("word", "n")).alias("known"))
     nothing = F.array().cast("array<struct<word:string,n:bigint>>")
-    every = labels.where("label <> ''").join(known, "label", "left").select("label", F.coalesce("known", nothing).alias("known"))
+    every = named.join(known, "id", "left").select("label", F.coalesce("known", nothing).alias("known"))
     return every.mapInArrow(segmented(float(total)), "label string, words array<string>")
 
 
 def host_words(hosts: DataFrame, counts: DataFrame) -> DataFrame:
-    """(host, words) of distinct ``hosts`` (host): each label's words in order."""
-    placed = hosts.select("host", F.posexplode(F.split("host", r"\.")).alias("place", "label"))
+    """(host, words) of distinct ``hosts`` (host): the words of its labels in order."""
+    placed = hosts.select("host", F.posexplode(F.split("host", BREAKS)).alias("place", "label"))
     split = materialize(label_words(placed.select("label").distinct(), counts))
     joined = placed.join(split, "label").groupBy("host").agg(F.sort_array(F.collect_list(F.struct("place", "words"))).alias("parts"))
     return joined.select("host", F.flatten(F.col("parts")["words"]).alias("words"))

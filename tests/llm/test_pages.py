@@ -3,7 +3,9 @@
 import gzip
 import hashlib
 import io
+import itertools
 import random
+import time
 
 import duckdb
 import numpy as np
@@ -153,6 +155,35 @@ def test_segmentation():
     assert url_filter.best_split("", counts, 1000.0) == []
 
 
+def test_markup_is_no_text_and_hyphens_part_words(spark):
+    html = "<!-- pills --><style>li {casino: win}</style><ul><li><a href='x'>Casino &amp; win</a></li></ul><script type='a'>track(ads)</script><p>ads, track bets free cheap < 3 </p>"
+    counts = url_filter.word_counts(spark.createDataFrame([(html,), (None,), ("casino win",)], "html string"), "html")
+    assert {r.word: r.n for r in counts.collect()} == {"casino": 2, "win": 2, "ads": 1, "track": 1, "bets": 1, "free": 1, "cheap": 1, "3": 1}
+    hosts = spark.createDataFrame([(h,) for h in ("casino-win.ads-track.com", "freebets", "cheap--pills.", "...", "a" * 100_000 + ".casinowin")], "host string")
+    out = {r.host: r.words for r in url_filter.host_words(hosts, counts).collect()}
+    assert out["casino-win.ads-track.com"] == ["casino", "win", "ads", "track", "com"]
+    assert out["freebets"] == ["free", "bets"] and out["cheap--pills."] == ["cheap", "pills"]
+    assert "..." not in out and out["a" * 100_000 + ".casinowin"] == ["a" * 100_000, "casino", "win"]
+
+
+def test_long_labels_take_linear_time():
+    began = time.process_time()
+    label = "goodnews" * 6_000 + "q" * 52_000
+    assert url_filter.best_split(label, {"good": 50, "news": 40}, 1000.0) == ["good", "news"] * 6_000 + ["q" * 52_000]
+    assert time.process_time() - began < 1.5
+
+
+def test_split_is_the_best_of_all():
+    counts = {w: DICE.randint(1, 50) for w in ("a", "ab", "ba", "abc", "cab", "bca", "cc")}
+    cost = lambda w: np.log(300 / counts[w]) if w in counts else np.log(300) + len(w) * np.log(10)
+    for _ in range(60):
+        label = "".join(DICE.choice("abc") for _ in range(DICE.randint(1, 9)))
+        ways = [[label[i:j] for i, j in zip((0, *cut), (*cut, len(label)))] for n in range(len(label)) for cut in itertools.combinations(range(1, len(label)), n)]
+        got = url_filter.best_split(label, counts, 300.0)
+        assert "".join(got) == label
+        assert sum(map(cost, got)) <= min(sum(map(cost, w)) for w in ways) + 1e-9
+
+
 def test_long_and_accented_words_are_known(spark):
     long = "donaudampfschifffahrtsgesellschaft"
     assert url_filter.best_split(long, {long: 5, "schiff": 9}, 100.0) == [long]

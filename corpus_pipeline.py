@@ -2,12 +2,16 @@
 
 Each stage takes (spark, docs, folder) and returns all rows it keeps, with the columns of ``documents``; the last returns the pieces and
 their places. A stage works on what its predecessor kept.
+
+Edges: documents may have columns of any name besides doc_id and text, null or repeated ids, null or empty texts; rows stay rows, and each is judged by its own text. A text of
+any length is judged whole. Of equal texts the stage of near-duplicates keeps one. Empty tables give an empty result.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from caseweave.llm import decontamination, near_duplicates, packing, quality_classifier, quality_rules
 from caseweave.llm.common import materialize, table
@@ -29,8 +33,9 @@ def deduplicate(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents that repeat the benchmark go."""
-    return decontamination.contamination(docs, table(spark, folder, "benchmark")).where("not contaminated").select(*docs.columns)
+    """Documents that repeat the benchmark go. The row travels whole, so no column of its own can clash."""
+    rows = docs.select(F.struct("*").alias("doc"))
+    return decontamination.contamination(rows, table(spark, folder, "benchmark"), key="doc.doc_id", text="doc.text").where("not contaminated").select("doc.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

@@ -18,8 +18,10 @@ import re
 
 import numpy as np
 
-#: Distinct stretches remembered by one Python worker, about 200 bytes each.
-REMEMBERED = 300_000
+#: Distinct stretches of usual length that one Python worker remembers, at STRETCH_BYTES each; longer ones count for more.
+REMEMBERED = 1_000_000
+STRETCH_BYTES = 200
+ENTRY_BYTES = 150
 RUN = re.compile(r"\s\s")
 EDGE = re.compile(r"(?<=\S)(?=[ \n]\S)")
 PLAIN_WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
@@ -28,29 +30,30 @@ ENDINGS = frozenset(".,;:!?")
 CLOSED_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]+)")
 
 
-class Seen(dict):
-    """Ids by stretch in two generations; stretches asked for in vain are noted in ``wanted``.
-
-    Once ``limit`` stretches were asked for, they become the older generation, from which those asked for again return.
-    """
+class Seen:
+    """Ids by stretch in two generations. Once those asked for take ``limit`` bytes, they become the older generation, from which those asked for again return."""
 
     def __init__(self, limit: int) -> None:
-        self.limit = limit
-        self.wanted: dict[str, None] = {}
+        self.limit, self.held = limit, 0
+        self.now: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def __missing__(self, key: str) -> bytes | None:
-        value = self.older.get(key)
-        if value is None:
-            self.wanted[key] = None
-        else:
-            self[key] = value
-        return value
+    def missing(self, keys: list[str]) -> set[str]:
+        """The keys that neither generation has."""
+        new = set(keys).difference(self.now)
+        back = [k for k in new if k in self.older] if self.older else []
+        if back:
+            self.learnt([(k, self.older[k]) for k in back])
+            new.difference_update(back)
+        return new
+
+    def learnt(self, pairs: list[tuple[str, bytes]]) -> None:
+        self.now.update(pairs)
+        self.held += sum([len(k) + len(v) for k, v in pairs]) + ENTRY_BYTES * len(pairs)
 
     def turn(self) -> None:
-        if len(self) > self.limit:
-            self.older = dict(self)
-            self.clear()
+        if self.held > self.limit:
+            self.older, self.now, self.held = self.now, {}, 0
 
 
 class TextEncoder:
@@ -69,7 +72,7 @@ class TextEncoder:
         if any(re.search(r"\s", s) for s in self.specials) or len(added) < len(self.specials):
             self.kind = "whole"
         self.edges = self._edges()
-        self.seen = Seen(remembered // 2)
+        self.seen = Seen(remembered * STRETCH_BYTES // 2)
         self.heads: dict[str, bytes] = {}
 
     def _edges(self) -> np.ndarray:
@@ -82,26 +85,36 @@ class TextEncoder:
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        if self.kind == "whole" or self._respelled(text):
-            return self._whole(text)
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of some texts; what is new in any of them goes to the library together."""
         self.seen.turn()
         if len(self.heads) > self.remembered // 10:
             self.heads.clear()
-        keys = self.cut(text)
-        head = b""
-        if self.kind == "leading":
-            first = keys.pop(0)
-            head = self.heads.get(first)
-            if head is None:
-                head = self.heads[first] = self._whole(first) if first else b""
-        parts = list(map(self.seen.__getitem__, keys))
-        if self.seen.wanted:
-            self._learn(self.separator is not None and not any(s in text for s in self.specials))
-            seen = self.seen
-            parts = [seen[k] if p is None else p for p, k in zip(parts, keys)]
-        return head + b"".join(parts)
+        out: list[bytes] = []
+        cuts: list[tuple[int, list[str]]] = []
+        wanted: set[str] = set()
+        for text in texts:
+            out.append(b"")
+            if text and (self.kind == "whole" or self._respelled(text)):
+                out[-1] = self._whole(text)
+            elif text:
+                keys = self.cut(text)
+                if self.kind == "leading":
+                    first = keys.pop(0)
+                    head = self.heads.get(first)
+                    if head is None:
+                        head = self.heads[first] = self._whole(first) if first else b""
+                    out[-1] = head
+                cuts.append((len(out) - 1, keys))
+                wanted |= self.seen.missing(keys)
+        if wanted:
+            self._learn(wanted)
+        known = self.seen.now.__getitem__
+        for i, keys in cuts:
+            out[i] += b"".join(map(known, keys))
+        return out
 
     def cut(self, text: str) -> list[str]:
         """Stretches of a text. In a ``leading`` one, all but the first lost their space or start with a line feed."""
@@ -127,56 +140,47 @@ class TextEncoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn(self, together: bool) -> None:
-        """Encode what was asked for in vain; ``together``: words of letters as one text, the rest with a special token between."""
-        wanted, self.seen.wanted = self.seen.wanted, {}
-        seen, closed, todo = self.seen, [], {}
-        older = seen.older
+    def _learn(self, wanted: set[str]) -> None:
+        """Encode new stretches: words of letters as one text, the rest with a special token between, and what has a special string alone."""
+        seen, closed, words, joined = self.seen, [], set(), []
         for key in wanted:
-            parts = None if key.isalpha() else CLOSED_WORD.fullmatch(key)
-            if parts is None:
-                todo[key] = None
-            else:
-                word = parts[1]
-                closed.append((key, word, parts[2]))
-                if word not in seen and word not in older:
-                    todo[word] = None
-        joined, words = [], []
-        for key in todo:
-            if key == "" and self.kind == "dropped":  # nothing between two blanks
-                seen[key] = b""
-            elif not together:
-                seen[key] = self._whole(self._spelled(key))
-            elif key.isalpha():
-                words.append(key)
+            if key.isalpha():
+                words.add(key)
+                continue
+            parts = CLOSED_WORD.fullmatch(key)
+            if parts is not None:
+                closed.append((key, parts[1], parts[2]))
+            elif key == "" and self.kind == "dropped":  # nothing between two blanks
+                seen.learnt([(key, b"")])
+            elif self.separator is None or any(s in key for s in self.specials):
+                seen.learnt([(key, self._whole(self._spelled(key)))])
             else:
                 joined.append(key)
-        if words and not self._learn_words(words):
+        if closed:
+            words |= seen.missing([word for _, word, _ in closed])
+        if self.separator is None:
+            seen.learnt([(key, self._whole(self._spelled(key))) for key in words])
+        elif words and not self._learn_words(list(words)):
             joined += words
         if joined:
             text, mark = self.separator
             ids = np.array(self.tokenizer.encode_batch_fast([text.join(map(self._spelled, joined))], add_special_tokens=False)[0].ids, dtype="<u4")
-            data, start = ids.tobytes(), 0
-            for key, end in zip(joined, [*(np.flatnonzero(ids == mark) * 4).tolist(), len(data)]):
-                seen[key] = data[start:end]
-                start = end + 4
-        for key, word, marks in closed:
-            tail = self.heads.get(marks)
-            if tail is None:
-                tail = self.heads[marks] = self._whole(marks)
-            seen[key] = (seen.get(word) or older[word]) + tail
-
+            data, ends = ids.tobytes(), (np.flatnonzero(ids == mark) * 4).tolist()
+            seen.learnt([(key, data[start:end]) for key, start, end in zip(joined, [0, *(e + 4 for e in ends)], [*ends, len(data)])])
+        tails = {marks for _, _, marks in closed}.difference(self.heads)
+        self.heads.update((marks, self._whole(marks)) for marks in tails)
+        seen.learnt([(key, seen.now[word] + self.heads[marks]) for key, word, marks in closed])
 
     def _learn_words(self, words: list[str]) -> bool:
         """Encode words of letters as one text, told apart by their edges; False if these do not fit the words one to one."""
-        ids = np.array(self.tokenizer.encode_batch_fast(["".join(map(self._spelled, words)) if self.kind == "leading" else " ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        text = " " + " ".join(words) if self.kind == "leading" else " ".join(words)
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
         places = np.flatnonzero(self.edges[ids])
         if len(places) != len(words) or self.kind == "leading" and places[0]:
             return False
         cuts = [*(places * 4).tolist(), 4 * len(ids)] if self.kind == "leading" else [0, *(places * 4 + 4).tolist()]
-        data, seen = ids.tobytes(), self.seen
-        for key, start, end in zip(words, cuts, cuts[1:]):
-            seen[key] = data[start:end]
+        data = ids.tobytes()
+        self.seen.learnt([(key, data[start:end]) for key, start, end in zip(words, cuts, cuts[1:])])
         return True
 
 

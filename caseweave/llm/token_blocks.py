@@ -172,12 +172,13 @@ def written(vocabulary: str, folder: str, end_id: int) -> Callable:
         first_key, docs = None, 0
         uri = f"{folder}/{uuid.uuid4().hex}.pfor"
         for part in slices(batches):
-            for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+            texts = [t or "" for t in part.column(1).to_pylist()]
+            for key, ids in zip(part.column(0).to_pylist(), encoder.encode_all(texts)):
                 if writer is None:
                     store, path = open_store(uri)
                     stream = store.open_output_stream(path)
                     writer, first_key = BlockWriter(stream), key
-                writer.add(key, encoder.encode(text or "") + end)
+                writer.add(key, ids + end)
                 docs += 1
         if writer is not None:
             writer.close()

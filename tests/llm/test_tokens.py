@@ -143,3 +143,29 @@ def test_best_fit_is_bounded_and_closes_the_fullest():
         bins.place(n)
         assert bins.n_open <= 50
     assert bins.n_bins < 1.06 * sum(lengths) / 2048
+
+
+def test_bound_acts_at_the_query_s_own_settings():
+    """In tasks of the query bins close before they are full, and yet few more sequences are made than must be."""
+    dice = random.Random(3)
+    lengths = np.array([min(2048, int(dice.lognormvariate(5.3, 1.0)) + 1) for _ in range(packing.BLOCK_PIECES)])
+    bins, closed = packing.BestFit(packing.CAPACITY, packing.OPEN_BINS), 0
+    for start in range(0, len(lengths), packing.LOOKAHEAD):
+        for n in np.sort(lengths[start : start + packing.LOOKAHEAD])[::-1].tolist():
+            closed += not bins.bits >> n and bins.n_open == packing.OPEN_BINS
+            bins.place(n)
+            assert bins.n_open <= packing.OPEN_BINS
+    assert closed > 0
+    assert bins.n_bins <= 1.015 * lengths.sum() / packing.CAPACITY
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_texts_encoded_together(path):
+    """What is new in several texts goes to the library at once; special strings, blanks and empty texts among them."""
+    ids = library(path)
+    mixed = texts(300) + ["", "<|endoftext|>", "a <|endoftext|> b", " ", "x" * 5000, "new<|endoftext|>words here"]
+    for size in (1, 7, 400):
+        encoder = TextEncoder(path, 500)
+        for start in range(0, len(mixed), size):
+            part = mixed[start : start + size]
+            assert encoder.encode_all(part) == [ids(t).tobytes() for t in part]

@@ -4,8 +4,9 @@ Bounded-space online best-fit: each task keeps at most ``open_bins`` bins. A bit
 tokens; the best bin for a piece of n tokens is found from the lowest set bit at or above n. When a new bin would exceed the
 bound, the fullest open bin closes, found from the lowest set bit of all.
 
-Pieces reach a task in descending length, in blocks of about ``block_pieces`` pieces dealt by hash, so that the number of blocks
-grows with the input, one block wastes about one sequence, and no task holds more than its bins.
+Pieces are dealt by hash into blocks of about ``block_pieces``, so that the number of blocks grows with the input, and come to a task in the order of
+another hash, the same on every attempt. The task looks at ``lookahead`` pieces at a time and places the longest of them first, ties in their
+order of arrival; it never holds more than these and its bins. A block wastes about one sequence.
 
 Edges: a null or empty text is the end id alone. Longer documents are cut into whole sequences and a last piece; nothing else is
 cut. Repeated rows are packed each. An empty table gives an empty result. Extra columns are ignored.
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +25,8 @@ from .common import crc_of_ids, kept_in_worker, materialize, slices
 from .encode import TextEncoder
 
 CAPACITY = 2048
-OPEN_BINS = 4096
+OPEN_BINS = 512
+LOOKAHEAD = 1024
 BLOCK_PIECES = 20_000
 
 
@@ -68,10 +71,11 @@ def cut_pieces(vocabulary: str, capacity: int, end_id: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = kept_in_worker(("encoder", vocabulary), lambda: TextEncoder(vocabulary))
         end = end_id.to_bytes(4, "little")
-        for part in slices(batches, 256):
+        for part in slices(batches):
             keys, pieces, starts, lengths, sums = [], [], [], [], []
-            for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                ids = encoder.encode(text or "") + end
+            texts = [t or "" for t in part.column(1).to_pylist()]
+            for key, ids in zip(part.column(0).to_pylist(), encoder.encode_all(texts)):
+                ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     cut = ids[at : at + 4 * capacity]
                     keys.append(key)
@@ -87,17 +91,19 @@ def cut_pieces(vocabulary: str, capacity: int, end_id: int) -> Callable:
     return run
 
 
-def packed(capacity: int, open_bins: int) -> Callable:
+def packed(capacity: int, open_bins: int, lookahead: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         first = TaskContext.get().partitionId() << 33
         bins = BestFit(capacity, open_bins)
-        for batch in batches:
-            places = [bins.place(n) for n in batch.column(3).to_pylist()]
+        for part in slices(batches, lookahead):
+            lengths = part.column(3).to_numpy()
+            places = np.empty((part.num_rows, 2), dtype=np.int64)
+            for i in np.argsort(-lengths, kind="stable").tolist():
+                places[i] = bins.place(int(lengths[i]))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([first + b for b, _ in places], pa.int64()), pa.array([o for _, o in places], pa.int64())],
-                names=[*batch.schema.names, "sequence_id", "offset"],
+                [*part.columns, pa.array(places[:, 0] + first), pa.array(places[:, 1])], names=[*part.schema.names, "sequence_id", "offset"],
             )
 
     return run
@@ -110,13 +116,13 @@ def document_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY,
     return rows.mapInArrow(cut_pieces(vocabulary, capacity, end_id), f"key {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, block_pieces: int = BLOCK_PIECES) -> DataFrame:
+def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, block_pieces: int = BLOCK_PIECES, lookahead: int = LOOKAHEAD) -> DataFrame:
     """Adds (sequence_id, offset) to (key, piece, start, length, ids_crc32); ``pieces`` should be materialized, for it is read twice."""
     blocks = max(1, -(-pieces.count() // block_pieces))
     dealt = pieces.repartition(blocks, F.xxhash64("key", "piece", "ids_crc32", F.lit(7)))
-    ordered = dealt.sortWithinPartitions(F.col("length").desc(), "key", "piece", "ids_crc32")
+    ordered = dealt.sortWithinPartitions(F.xxhash64("key", "piece", "ids_crc32", F.lit(11)), "key", "piece", "ids_crc32")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    return ordered.mapInArrow(packed(capacity, open_bins), f"{fields}, sequence_id bigint, offset bigint")
+    return ordered.mapInArrow(packed(capacity, open_bins, lookahead), f"{fields}, sequence_id bigint, offset bigint")
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, end_id: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -26,7 +26,7 @@ from .encode import EDGE, ENDINGS, PLAIN_WORD, RUN
 
 #: Fixed: the pattern of byte-level pre-tokenizers.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 #: Longer stretches are not remembered.
 MEMORABLE = 64
 #: Bits of a symbol's number in a pair, and of a place in a heap entry.

@@ -90,6 +90,30 @@ def test_query_decontaminate(spark):
 
 @pytest.mark.parametrize("name", [n for n in QUERIES if n != "op2_page_archives"])
 def test_every_document_or_page_has_its_rows(spark, name):
-    source, key = ("pages", "page_id") if name.startswith("op10") else ("documents", "doc_id")
+    source, key = {"op10": ("pages", "page_id"), "op13": ("conversations", "conv_id")}.get(name.split("_")[0], ("documents", "doc_id"))
     every = table(spark, FOLDER, source)
     assert QUERIES[name][0](spark, FOLDER).select(key).distinct().count() == every.select(key).distinct().count()
+
+
+def test_stages_take_any_rows(spark, tmp_path):
+    """Columns that clash with what stages add, null texts, null and repeated ids, a very long text, and empty tables."""
+    good = [r["text"] for r in pq.read_table(f"{FOLDER}/documents.parquet").to_pylist()][:60]
+    names = ["n_words", "hits", "n_hit", "words", "doc", "row", "key", "text_digest", "contaminated", "_doc", "score", "stratum"]
+    rows = [(None if i % 7 == 0 else i // 2, t, "en", "s", *["mine"] * len(names)) for i, t in enumerate([*good, None, "", " ", " ".join(good) * 3])]
+    schema = "doc_id bigint, text string, lang string, source string, " + ", ".join(f"{n} string" for n in names)
+    for part, n in ((rows, "some"), ([], "none")):
+        folder = f"{tmp_path}/{n}"
+        spark.createDataFrame(part, schema).write.parquet(f"{folder}/documents.parquet")
+        for other in ("labels", "benchmark"):
+            frame = table(spark, FOLDER, other)
+            (frame if part else frame.limit(0)).write.parquet(f"{folder}/{other}.parquet")
+        docs = table(spark, folder, "documents")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            kept = materialize(stage(spark, docs, folder))
+            assert kept.columns == docs.columns
+            assert kept.where(" or ".join(f"{c} <> 'mine'" for c in names)).isEmpty()
+            assert kept.exceptAll(docs).isEmpty()
+            docs = kept
+        pieces = corpus_pipeline.STAGES[-1][1](spark, docs, folder)
+        assert pieces.where("piece = 0").count() == docs.count()
+        assert (docs.count() > 0) == bool(part)

@@ -8,8 +8,9 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,12 +71,10 @@ def fit_trees(matrix: DataFrame, seed: int = 42, trees: int = TREES, sample: int
     """
 
     share = F.least(F.lit(1.0), F.lit(4.0 * sample) / scalar_of(matrix, F.count(F.lit(1))))
-    numbers = F.sequence(F.lit(0), F.lit(trees - 1))
-    hashed = F.transform(numbers, lambda t: F.struct(t.alias("tree"), F.xxhash64(F.lit(seed), t, F.col("incident_id")).alias("h")))
-    below = lambda x: F.shiftrightunsigned(x["h"], 11).cast("double") / F.lit(float(2**53)) <= F.col("_share")
-    drawn = matrix.select("incident_id", "features", share.alias("_share")).select(
-        "incident_id", "features", F.explode(F.filter(hashed, below)).alias("_t")
-    ).select("incident_id", "features", "_t.tree", "_t.h")
+    # A row meets all trees in one compiled loop; what the bound rejects is never copied.
+    met = matrix.select("incident_id", "features", share.alias("_share"), F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    hashed = met.withColumn("h", F.xxhash64(F.lit(seed), F.col("tree"), F.col("incident_id")))
+    drawn = hashed.where(F.shiftrightunsigned("h", 11).cast("double") / F.lit(float(2**53)) <= F.col("_share")).drop("_share")
     first = F.row_number().over(Window.partitionBy("tree").orderBy("h", "incident_id"))
     samples = drawn.withColumn("r", first).where(F.col("r") <= sample).select("tree", "incident_id", "features")
 
@@ -90,37 +89,43 @@ def fit_trees(matrix: DataFrame, seed: int = 42, trees: int = TREES, sample: int
     return samples.groupBy("tree").applyInPandas(fit, TREE_SCHEMA)
 
 
+def _flat(tree: Row) -> tuple:
+    """A tree as arrays to walk: feature, cut, the right and left child of each node in turn, depth, and its number of levels."""
+    feature, left, right = (np.asarray(tree[name], dtype=np.int64) for name in ("feature", "left", "right"))
+    level = np.zeros(len(feature), dtype=np.int64)
+    for at in np.flatnonzero(feature >= 0):  # a parent comes before its children
+        level[left[at]] = level[right[at]] = level[at] + 1
+    return np.maximum(feature, 0), np.asarray(tree["cut"]), np.stack([right, left], axis=1).ravel(), np.asarray(tree["depth"]), int(level.max())
+
+
 def score_rows(matrix: DataFrame, trees: DataFrame, sample_rows: int) -> DataFrame:
     """(incident_id, raw): minus the anomaly score of the forest, lower is more unusual.
 
     The model is collected once: ``TREES`` rows of at most 2 * SAMPLE nodes, whatever the table.
+    Rows are walked a level at a time, a batch at once; a leaf leads to itself, so nothing is asked of rows that have arrived.
     """
-    model = [
-        tuple(np.asarray(row[name]) for name in ("feature", "cut", "left", "right", "depth"))
-        for row in trees.orderBy("tree").collect()
-    ]
+    model = [_flat(row) for row in trees.orderBy("tree").collect()]
     shared = matrix.sparkSession.sparkContext.broadcast(model)
     norm = _average_path(sample_rows)
 
-    @F.pandas_udf(T.DoubleType())
-    def raw(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data = np.array(batch.tolist(), dtype=float)
-            rows = np.arange(len(data))
-            total = np.zeros(len(data))
-            for feature, cut, left, right, depth in shared.value:
-                at = np.zeros(len(data), dtype=int)
-                while True:
-                    f = feature[at]
-                    open_ = f >= 0
-                    if not open_.any():
-                        break
-                    low = data[rows, np.maximum(f, 0)] <= cut[at]
-                    at = np.where(open_, np.where(low, left[at], right[at]), at)
-                total += depth[at]
-            yield pd.Series(-np.power(2.0, -(total / len(shared.value)) / norm))
-
-    return matrix.select("incident_id", raw("features").alias("raw"))
+            n = batch.num_rows
+            if n:
+                data = batch.column("features").flatten().to_numpy(zero_copy_only=False).astype(float, copy=False)
+                rows = np.arange(n) * (len(data) // n)
+                total = np.zeros(n)
+                for feature, cut, child, depth, levels in shared.value:
+                    at = np.zeros(n, dtype=np.int64)
+                    for _ in range(levels):
+                        at = child.take(2 * at + (data.take(rows + feature.take(at)) <= cut.take(at)))
+                    total += depth.take(at)
+                raw = -np.power(2.0, -(total / len(shared.value)) / norm)
+                yield pa.RecordBatch.from_arrays([batch.column("incident_id"), pa.array(raw)], ["incident_id", "raw"])
+
+    kept = matrix.select("incident_id", "features")
+    schema = T.StructType([kept.schema["incident_id"], T.StructField("raw", T.DoubleType())])
+    return kept.mapInArrow(score, schema)
 
 
 def isolation_scores(

@@ -108,8 +108,8 @@ class KeyedTable:
         return rows.groupBy(*more, *self.keys).agg(*self.merge()).select(*more, *self.schema.names)
 
     def _write(self, rows: DataFrame, path: str) -> None:
-        """Rows with ``bucket``; one sorted file a bucket."""
-        placed = rows.repartition(self.buckets, "bucket").sortWithinPartitions("bucket", *self.keys)
+        """Rows with ``bucket``; one sorted file a bucket, or several where a bucket is more than a task should sort."""
+        placed = rows.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", *self.keys)
         placed.write.mode("overwrite").partitionBy("bucket").parquet(path)
 
     def append(self, rows: DataFrame, batch: int) -> None:

@@ -80,37 +80,39 @@ def graph_edges(
     bridge needs no array per incident, however many people it names."""
     p = _prepared(incidents)
 
-    def bridged(links: DataFrame, relation: str, rank: int) -> DataFrame:
+    def bridged(links: DataFrame, rank: int) -> DataFrame:
         weight = F.least(F.col("n"), F.lit(weight_cap)).cast("bigint")
         return _linked(incidents, links).select(
-            "_pos", "source", "target", F.lit(relation).alias("relation"), weight.alias("weight"), F.lit(rank).alias("_rank")
+            "_pos", "source", "target", weight.alias("weight"), F.lit(rank).alias("_rank")
         )
 
-    def people(column: str, relation: str, rank: int) -> DataFrame:
+    def people(column: str, rank: int) -> DataFrame:
         ids = F.array_distinct(F.col(column))
         repeats = F.transform(
             ids, lambda i: F.struct(i.alias("target"), F.size(F.filter(F.col(column), lambda x: x == i)).alias("n"))
         )
         return p.select("_pos", F.col("incident").alias("source"), F.explode(repeats).alias("t")).select(
-            "_pos", "source", F.col("t.target").alias("target"), F.lit(relation).alias("relation"),
+            "_pos", "source", F.col("t.target").alias("target"),
             F.least(F.col("t.n"), F.lit(weight_cap)).cast("bigint").alias("weight"), F.lit(rank).alias("_rank"),
         )
 
     places = p.select(
         "_pos", F.col("incident").alias("source"), F.col("location").alias("target"),
-        F.lit("occurred_at").alias("relation"), F.lit(1).cast("bigint").alias("weight"), F.lit(1).alias("_rank"),
+        F.lit(1).cast("bigint").alias("weight"), F.lit(1).alias("_rank"),
     )
-    every = places.unionByName(people("offenders", "involved_in", 2)).unionByName(people("victims", "victim_of", 3))
+    every = places.unionByName(people("offenders", 2)).unionByName(people("victims", 3))
     if offender_links is not None:
-        every = every.unionByName(bridged(offender_links, "involved_in", 2))
+        every = every.unionByName(bridged(offender_links, 2))
     if victim_links is not None:
-        every = every.unionByName(bridged(victim_links, "victim_of", 3))
-    first = F.min_by(F.struct("source", "target", "relation", "weight"), F.struct("_pos", "_rank"))
-    return (
-        every.groupBy(F.least("source", "target").alias("_a"), F.greatest("source", "target").alias("_b"))
-        .agg(first.alias("e"))
-        .select("e.source", "e.target", "e.relation", "e.weight")
-    )
+        every = every.unionByName(bridged(victim_links, 3))
+    # One end of a pair is the source, and the rank names the relation: neither travels twice.
+    forward = F.col("source") <= F.col("target")
+    first = F.min_by(F.struct("weight", "_rank", forward.alias("forward")), F.struct("_pos", "_rank"))
+    kept = every.groupBy(F.least("source", "target").alias("_a"), F.greatest("source", "target").alias("_b")).agg(first.alias("e"))
+    source = F.when(F.col("e.forward"), F.col("_a")).when(~F.col("e.forward"), F.col("_b"))  # null for an incident without an id
+    target = F.when(F.col("e.forward"), F.col("_b")).otherwise(F.col("_a"))
+    relation = F.when(F.col("e._rank") == 1, "occurred_at").when(F.col("e._rank") == 2, "involved_in").otherwise("victim_of")
+    return kept.select(source.alias("source"), target.alias("target"), relation.alias("relation"), F.col("e.weight").alias("weight"))
 
 
 def _raw_nodes(incidents: DataFrame, links: dict[str, DataFrame | None]) -> DataFrame:

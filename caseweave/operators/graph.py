@@ -106,9 +106,11 @@ def graph_edges(
     if victim_links is not None:
         every = every.unionByName(bridged(victim_links, 3))
     # One end of a pair is the source, and the rank names the relation: neither travels twice.
-    forward = F.col("source") <= F.col("target")
-    first = F.min_by(F.struct("weight", "_rank", forward.alias("forward")), F.struct("_pos", "_rank"))
-    kept = every.groupBy(F.least("source", "target").alias("_a"), F.greatest("source", "target").alias("_b")).agg(first.alias("e"))
+    ends = every.select(
+        "_pos", "_rank", "weight", F.least("source", "target").alias("_a"), F.greatest("source", "target").alias("_b"), (F.col("source") <= F.col("target")).alias("forward")
+    )
+    first = F.min_by(F.struct("weight", "_rank", "forward"), F.struct("_pos", "_rank"))
+    kept = ends.groupBy("_a", "_b").agg(first.alias("e"))
     source = F.when(F.col("e.forward"), F.col("_a")).when(~F.col("e.forward"), F.col("_b"))  # null for an incident without an id
     target = F.when(F.col("e.forward"), F.col("_b")).otherwise(F.col("_a"))
     relation = F.when(F.col("e._rank") == 1, "occurred_at").when(F.col("e._rank") == 2, "involved_in").otherwise("victim_of")

@@ -201,7 +201,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     least = stored(prints.groupBy("fp").agg(F.min("key").alias("least")), rows)
     links = links_within(least, radius, shard)
     ends = links.select(F.col("u").alias("fp")).unionByName(links.select(F.col("v").alias("fp"))).distinct()
-    roots = stored(connected_components(links, ends, "u", "v", "fp").withColumnRenamed("component", "root"), rows)
+    once = links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()  # found in up to three shards
+    roots = stored(connected_components(once, ends, "u", "v", "fp").withColumnRenamed("component", "root"), rows)
     first = stored(least.join(roots, "fp").groupBy("root").agg(F.min("least").alias("component")), rows)
     named = stored(least.join(roots.join(first, "root").drop("root"), "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id")), rows)
     return prints.join(named, "fp").select(

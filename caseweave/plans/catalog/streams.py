@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ...operators import graph
-from ...operators.scale import shared_folder
+from ...operators.scale import materialize, shared_folder
 from ...sources import store
 from ...sources.keyed import KeyedTable
 from ...streaming import enrich, groups, intake, tables, text_index, windows
@@ -77,7 +77,7 @@ def windowed_daily_counts(spark, d):
 
 def streamed_components(spark, d):
     folder = _folder(spark)
-    edges = graph.graph_edges(inputs.event_case_graph(spark, d)).select("source", "target")
+    edges = materialize(graph.graph_edges(inputs.event_case_graph(spark, d)).select("source", "target"))
     run = lambda _, stream: groups.run_components(stream, f"{folder}/tables", f"{folder}/checkpoint", buckets=_BUCKETS)
     _in_turn(spark, _cut(edges, F.pmod(F.xxhash64("source"), F.lit(4)), 4), folder, run)
     return shaped(groups.Groups(spark, f"{folder}/tables", buckets=_BUCKETS).current().withColumnRenamed("node", "id"))

@@ -37,12 +37,12 @@ class Groups:
         """Add the links of a batch, and ``nodes`` (a column ``node``) that may have none. What is there from this batch on is replaced."""
         compact_every(self.tables(), batch, COMPACT_EVERY)
         before = batch - 1  # a replay sees what the first try saw
-        pairs = links.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null").distinct()
+        pairs = materialize(links.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null").distinct())
         ends = pairs.select(F.explode(F.array("u", "v")).alias("node"))
-        ends = ends if nodes is None else ends.unionByName(nodes.select("node").where("node is not null"))
-        known = self.labels.lookup(ends, before)
+        ends = materialize((ends if nodes is None else ends.unionByName(nodes.select("node").where("node is not null"))).distinct())
+        known = materialize(self.labels.lookup(ends, before))
         placed = materialize(
-            ends.distinct().join(known, "node", "left").join(self.roots.lookup(known.select("label"), before), "label", "left")
+            ends.join(known, "node", "left").join(self.roots.lookup(known.select("label"), before), "label", "left")
             .select("node", F.col("root").alias("old"), F.coalesce("root", "node").alias("at"))
         )
         at = placed.select("node", "at")
@@ -50,7 +50,7 @@ class Groups:
         found = materialize(connected_components(joined, placed.select("at"), "a", "b", "at"))
         moved = found.where("at <> component")
         changed = self.named.lookup(moved.select(F.col("at").alias("root")), before).join(moved.withColumnRenamed("at", "root"), "root").select("label", "component")
-        fresh = placed.where("old is null").join(found, "at").select("node", "component")
+        fresh = materialize(placed.where("old is null").join(found, "at").select("node", "component"))
         now = materialize(changed.unionByName(fresh.select(F.col("component").alias("label"), "component")).distinct())
         self.labels.append(fresh.select("node", F.col("component").alias("label")), batch)
         self.roots.append(now.select("label", F.col("component").alias("root")), batch)
@@ -64,4 +64,4 @@ class Groups:
 def run_components(links: DataFrame, folder: str, checkpoint: str, src: str = "source", dst: str = "target", buckets: int = BUCKETS) -> None:
     """Keep the components of a stream of links below ``folder``."""
     groups = Groups(links.sparkSession, folder, links.schema[src].dataType.simpleString(), buckets)
-    run_available(links.writeStream.foreachBatch(lambda df, batch: groups.add(materialize(df), batch, src, dst)), checkpoint)
+    run_available(links.writeStream.foreachBatch(lambda df, batch: groups.add(df, batch, src, dst)), checkpoint)

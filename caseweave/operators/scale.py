@@ -83,7 +83,7 @@ def scalar_of(df: DataFrame, expr: Column) -> Column:
 def hot_keys(df: DataFrame, keys: Sequence[str], rows: int | None = None) -> DataFrame:
     """(keys, _spread): every hot key, and the number of tasks it is spread over."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    share = F.greatest(F.lit(HOT_ROWS if rows is None else rows).cast("double"), scalar_of(counts, F.sum("_n")) / HOT_KEYS)
+    share = F.greatest(F.lit(HOT_ROWS if rows is None else rows).cast("double"), scalar_of(df, F.count(F.lit(1))) / HOT_KEYS)
     return counts.where(F.col("_n") >= share).select(*keys, (F.ceil(F.col("_n") / share) + 1).cast("bigint").alias("_spread"))
 
 

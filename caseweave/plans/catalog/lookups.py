@@ -116,10 +116,11 @@ def batch_summary(spark, d):
 
 def scoring_facts(spark, d):
     """Headline facts of the clusters and of the district scores."""
-    geo, stats, *rest = scores._risk_inputs(spark, d)
+    clustered = scores._clustered(spark, d)
+    geo, stats, *rest = scores._risk_inputs(spark, d, clustered)
     tiered = hotspots.relative_tiers(stats)
     found, _ = risk.risk_scores(geo, stats, *rest)
-    return shaped(views.hotspot_facts(dbscan.assignments(dbscan.assign_clusters(geo)), tiered).unionByName(views.score_facts(materialize(found))))
+    return shaped(views.hotspot_facts(dbscan.assignments(clustered[1]), tiered).unionByName(views.score_facts(materialize(found))))
 
 
 _COUNTED = {

@@ -31,9 +31,16 @@ def isolation_scores(spark, d):
     return shaped(forest.isolation_scores(_gappy_orders(spark, d), feature_columns=_MATRIX_COLUMNS))
 
 
-def _risk_inputs(spark, d):
+def _clustered(spark, d):
+    """(incidents of the risk scores, the same with their clusters)."""
     geo = inputs.geo_incidents(spark, d).withColumns({"repeat_offender": F.col("k") % 3 == 0, "population_density": F.col("k")})
-    clusters = materialize(hotspots.cluster_statistics(materialize(dbscan.assign_clusters(geo))))
+    return geo, materialize(dbscan.assign_clusters(geo))
+
+
+def _risk_inputs(spark, d, clustered=None):
+    """``clustered`` is what ``_clustered`` gave, if the caller needs it too."""
+    geo, assigned = clustered or _clustered(spark, d)
+    clusters = materialize(hotspots.cluster_statistics(assigned))
     summary = materialize(trend.trend_summary(trend.daily_grid(trend.daily_counts(geo))))
     found = materialize(trend.anomalies(summary))
     return geo, clusters, materialize(trend.series_statistics(summary, found)), found, summary, materialize(trend.spike_events(found))

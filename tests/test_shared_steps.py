@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from caseweave.operators import components
-from caseweave.plans.catalog import streams
+from caseweave.operators import components, dbscan
+from caseweave.plans.catalog import lookups, scores, streams
 
 
 def test_what_hangs_on_hubs_is_gone_after_few_rounds(spark, monkeypatch):
@@ -38,3 +38,16 @@ def test_slices_of_a_stream_share_their_edges(spark, monkeypatch):
     except StopIteration:
         pass
     assert len(plans) == 4 and not any("min_by" in p for p in plans)
+
+
+def test_facts_cluster_once(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(dbscan, "assign_clusters", lambda rows: calls.append(1) or rows.withColumn("cluster_id", F.lit(-1).cast("bigint")))
+    stats = "cluster_id bigint, district string, number_of_incidents bigint, cluster_radius_metres double, severity_score double, risk_level string"
+    monkeypatch.setattr(scores.hotspots, "cluster_statistics", lambda rows: spark.createDataFrame([], stats))
+    found = spark.createDataFrame([], "district string, risk_score double, risk_level string")
+    monkeypatch.setattr(lookups.risk, "risk_scores", lambda *_: (found, None))
+    monkeypatch.setattr(scores, "materialize", lambda df: df)
+    monkeypatch.setattr(lookups, "materialize", lambda df: df)
+    assert lookups.scoring_facts(spark, "/root/testdata/sf0.001").columns == ["fact", "value"]
+    assert len(calls) == 1

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_ids, kept_in_worker, materialize, slices
+from .common import crc_of_ids, kept_in_worker, materialize, slices, slices_of_bytes
 from .encode import TextEncoder
 
 CAPACITY = 2048
@@ -71,7 +71,7 @@ def cut_pieces(vocabulary: str, capacity: int, end_id: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = kept_in_worker(("encoder", vocabulary), lambda: TextEncoder(vocabulary))
         end = end_id.to_bytes(4, "little")
-        for part in slices(batches):
+        for part in slices_of_bytes(batches, 1):
             keys, pieces, starts, lengths, sums = [], [], [], [], []
             texts = [t or "" for t in part.column(1).to_pylist()]
             for key, ids in zip(part.column(0).to_pylist(), encoder.encode_all(texts)):

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_of_ids, kept_in_worker, materialize, open_store, slices, work_folder
+from .common import crc_of_ids, kept_in_worker, materialize, open_store, slices_of_bytes, work_folder
 from .encode import TextEncoder
 
 MAGIC = b"CWPFOR01"
@@ -171,7 +171,7 @@ def written(vocabulary: str, folder: str, end_id: int) -> Callable:
         writer = stream = None
         first_key, docs = None, 0
         uri = f"{folder}/{uuid.uuid4().hex}.pfor"
-        for part in slices(batches):
+        for part in slices_of_bytes(batches, 1):
             texts = [t or "" for t in part.column(1).to_pylist()]
             for key, ids in zip(part.column(0).to_pylist(), encoder.encode_all(texts)):
                 if writer is None:

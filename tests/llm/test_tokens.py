@@ -7,11 +7,13 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from caseweave.llm import packing, token_blocks, token_counts
-from caseweave.llm.encode import TextEncoder
+from caseweave.llm.common import slices_of_bytes
+from caseweave.llm.encode import TextEncoder, never_joined
 
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -169,3 +171,53 @@ def test_texts_encoded_together(path):
         for start in range(0, len(mixed), size):
             part = mixed[start : start + size]
             assert encoder.encode_all(part) == [ids(t).tobytes() for t in part]
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_closing_marks_and_accents(path):
+    """Marks after a word are taken off it, also where the text itself has the character that stands for that; accented words are spelled in bytes."""
+    dice, ids = random.Random(11), library(path)
+    parts = [*PARTS, "\0", ", ", ". ", ",", " \0,", "\0. ", "été", " Éa", "ß ÿ", "Ġ", "Ģ", "word", ".,", ")", "9", "\x85", " ª", "\u2028"]
+    mixed = ["".join(dice.choice(parts) for _ in range(dice.randint(1, 25))) for _ in range(3000)] + ["a,", "a, \0, b", "à, â.", ", a", ".\n,\n9."]
+    for size in (1, 50, len(mixed)):
+        encoder = TextEncoder(path, 2000)
+        for start in range(0, len(mixed), size):
+            part = mixed[start : start + size]
+            assert encoder.encode_all(part) == [ids(t).tobytes() for t in part]
+
+
+def test_library_gets_each_word_once_and_without_its_marks():
+    """Plain words reach the library through the bare model only, a distinct one once, whatever closes it; the pattern runs for none of them."""
+    encoder, got = TextEncoder(BYTES), []
+
+    class Bare:
+        def __init__(self, tokenizer):
+            self.tokenizer = tokenizer
+
+        def encode_batch_fast(self, texts, **options):
+            got.extend(texts)
+            return self.tokenizer.encode_batch_fast(texts, **options)
+
+    encoder.bare = Bare(encoder.bare)
+    words = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiouéà" for c in "lmnrst"]
+    text = "The " + " ".join(w + m for m in ("", ",", ".") for w in words) + " end."
+    want = library(BYTES)(text).tobytes()
+    assert encoder.encode_all([text, "", text]) == [want, b"", want]
+    assert sum(t.count("\u0120") for t in got) == len(words) + 1
+    keys = set(encoder.seen.now)
+    assert keys == {*words, "end", "\0,", "\0."}
+
+
+def test_slices_of_bytes():
+    batch = pa.record_batch({"key": pa.array(range(7)), "text": pa.array(["a" * 4, None, "b" * 4, "c" * 30, "", "d" * 4, "e"])})
+    parts = list(slices_of_bytes([batch, batch.slice(0, 0), batch.slice(5)], 1, 8))
+    assert [p.column(0).to_pylist() for p in parts] == [[0, 1, 2], [3], [4, 5, 6], [5, 6]]
+
+
+def test_merges_over_a_space_keep_the_pattern():
+    """Words are put together for the bare model only if no merge reaches from one to the next."""
+    model = {"type": "BPE", "merges": ["a b", ["\u0120\u00c2\u0142", "\u0120\u00c2\u0142"]]}
+    assert never_joined({"model": model})
+    assert not never_joined({"model": model | {"merges": [*model["merges"], ["ab", "\u0120c"]]}})
+    assert not never_joined({"model": model | {"ignore_merges": True}})
+    assert not never_joined({"model": model, "added_tokens": [{"content": "abc"}]})

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
 from pyspark.ml.feature import MinMaxScaler, OneHotEncoder, StringIndexer, TargetEncoder, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbers import min_max
@@ -18,6 +22,13 @@ from .scale import materialize, skew_safe_join
 
 BUCKETS = ("Night", "Morning", "Afternoon", "Evening")
 
+DEPTHS = (4, 8)
+# Training rows are dealt over all cores as long as a task has this many, and over more tasks once one would have more than the second number.
+LEAST_TASK_ROWS, MOST_TASK_ROWS = 5_000, 250_000
+# A forest keeps its rows with a count per tree while it grows, and the statistics of its nodes meet in the driver. So many forests grow side by side at
+# most, and only as long as they keep no more rows than this in all.
+SIDE_BY_SIDE, KEPT_ROWS = 3, 2_000_000
+
 
 def station_ratio(incidents: DataFrame, as_of: Column, days: int = 30, baseline_days: int = 365) -> DataFrame:
     """log of (1 + last ``days`` count) over (1 + mean count of a span of that length in the year)."""
@@ -85,19 +96,53 @@ def model_stages(forest: RandomForestClassifier, smoothing: float = 10.0) -> lis
     ]
 
 
+def _tasks(rows: int, cores: int) -> int:
+    """Parts that training rows are dealt into."""
+    return max(1, min(cores, math.ceil(rows / LEAST_TASK_ROWS)), math.ceil(rows / MOST_TASK_ROWS))
+
+
+def _side_by_side(spark: SparkSession, jobs: list[Callable], threads: int) -> list:
+    """Results of the jobs in their order."""
+    with ThreadPool(threads) as pool:
+        return pool.map(lambda job: job(), [inheritable_thread_target(spark)(job) for job in jobs], chunksize=1)
+
+
 def train_tier_model(rows: DataFrame, folds: int = 5, seed: int = 42, trees: int = 50, key: str = "incident_id") -> tuple[PipelineModel, DataFrame]:
-    """Cross-validation on the training part of ``raw_features``; the model and (metric, value) on the held-out part, read once."""
-    marked = materialize(rows.withColumn("_held", held_out(F.col(key))))
-    train, test = marked.where("not _held").drop("_held"), marked.where("_held").drop("_held")
-    forest = RandomForestClassifier(labelCol="_label", featuresCol="_x", seed=seed, numTrees=trees)
-    f1 = MulticlassClassificationEvaluator(labelCol="_label", metricName="f1")
-    grid = ParamGridBuilder().addGrid(forest.maxDepth, [4, 8]).build()
-    fitted = CrossValidator(estimator=Pipeline(stages=model_stages(forest)), estimatorParamMaps=grid, evaluator=f1, numFolds=folds, seed=seed).fit(train)
-    scored = materialize(fitted.bestModel.transform(test).select("_label", "probability", "prediction"))
+    """Cross-validation on the training part of ``raw_features``; the model and (metric, value) on the held-out part, read once.
+
+    The encoders of a fold do not depend on the depth of its trees: they are fitted and its rows encoded once. Folds and depths are independent of each
+    other and grow side by side.
+    """
+    spark = rows.sparkSession
+    marked = materialize(rows.withColumns({"_held": held_out(F.col(key)), "_fold": F.floor(F.rand(seed) * folds).cast("int")}))
     sizes = {r["_held"]: r["count"] for r in marked.groupBy("_held").count().collect()}
-    values = {"train_rows": float(sizes.get(False, 0)), "held_out_rows": float(sizes.get(True, 0)), "validation_f1": float(max(fitted.avgMetrics)), "f1": f1.evaluate(scored)}
-    if len(fitted.bestModel.stages[0].labels) == 2:
+    learnt = sizes.get(False, 0)
+    train = materialize(marked.where("not _held").drop("_held").repartition(_tasks(learnt, spark.sparkContext.defaultParallelism)))
+    test = marked.where("_held").drop("_held", "_fold")
+    *encoders, forest = model_stages(RandomForestClassifier(labelCol="_label", featuresCol="_x", seed=seed, numTrees=trees))
+    f1 = MulticlassClassificationEvaluator(labelCol="_label", metricName="f1")
+    threads = max(1, min(SIDE_BY_SIDE, KEPT_ROWS // max(1, learnt)))
+
+    def encode(fold: int | None) -> tuple[PipelineModel, DataFrame]:
+        """Encoders of a fold's training rows, or of all, and all rows encoded by them."""
+        model = Pipeline(stages=encoders).fit(train if fold is None else train.where(F.col("_fold") != fold))
+        return model, materialize(model.transform(train).select("_fold", "_label", "_x"))
+
+    def grow(encoded: DataFrame, depth: int):
+        return forest.copy({forest.maxDepth: depth}).fit(encoded)
+
+    def judge(encoded: DataFrame, fold: int, depth: int) -> float:
+        return f1.evaluate(grow(encoded.where(F.col("_fold") != fold), depth).transform(encoded.where(F.col("_fold") == fold)))
+
+    *by_fold, (encoder, every) = _side_by_side(spark, [lambda i=i: encode(i) for i in [*range(folds), None]], threads)
+    tried = [(depth, i) for depth in sorted(DEPTHS, reverse=True) for i in range(folds)]  # the longest first
+    values = dict(zip(tried, _side_by_side(spark, [lambda d=d, i=i: judge(by_fold[i][1], i, d) for d, i in tried], threads)))
+    means = [sum(values[depth, i] for i in range(folds)) / folds for depth in DEPTHS]
+    best = PipelineModel(stages=[*encoder.stages, grow(every, DEPTHS[means.index(max(means))])])
+    scored = materialize(best.transform(test).select("_label", "probability", "prediction"))
+    values = {"train_rows": float(learnt), "held_out_rows": float(sizes.get(True, 0)), "validation_f1": float(max(means)), "f1": f1.evaluate(scored)}
+    if len(best.stages[0].labels) == 2:
         second = scored.select("_label", vector_to_array("probability")[1].alias("score"))  # the third class is that of unknown labels
         values["auc"] = BinaryClassificationEvaluator(labelCol="_label", rawPredictionCol="score").evaluate(second)
-    metrics = rows.sparkSession.createDataFrame(list(values.items()), "metric string, value double")
-    return fitted.bestModel, metrics
+    metrics = spark.createDataFrame(list(values.items()), "metric string, value double")
+    return best, metrics
